@@ -66,7 +66,7 @@ def unit_normal(seed: int | str, *ids: Column | str) -> Column:
 def json_quote(text: Column) -> Column:
     """Text as a JSON string literal."""
     wrapped = F.to_json(F.array(text))
-    return wrapped.substr(F.lit(2), F.length(wrapped) - F.lit(2))
+    return F.when(text.isNotNull(), wrapped.substr(F.lit(2), F.length(wrapped) - F.lit(2)))
 
 
 def python_bool(c: Column) -> Column:

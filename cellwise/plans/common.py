@@ -9,8 +9,8 @@ from cellwise.operators.cells import flatten
 from cellwise.sources import fixtures
 
 # Nesting depth of each document view; a deeper record would raise, not be cut.
-DEPTH = {"event": 2, "order": 3, "conv": 3}
-VIEWS = {"event": fixtures.event_docs, "order": fixtures.order_docs, "conv": fixtures.conv_docs}
+DEPTH = {"event": 2, "order": 3, "conv": 3, "customer": 1}
+VIEWS = {"event": fixtures.event_docs, "order": fixtures.order_docs, "conv": fixtures.conv_docs, "customer": fixtures.customer_docs}
 
 
 def docs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

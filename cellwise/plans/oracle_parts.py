@@ -35,7 +35,14 @@ CONV_DOCS = f"""docs AS (
        ',' ORDER BY turn, role, length(text)) || ']}}' AS doc
   FROM conversations GROUP BY conv_id)"""
 
-DOCS = {"event": EVENT_DOCS, "order": ORDER_DOCS, "conv": CONV_DOCS}
+CUSTOMER_DOCS = f"""docs AS (
+  SELECT k.c_custkey AS rid, {SPLIT.format(id='k.c_custkey')} AS split, CAST(k.c_custkey % 3 + 1 AS INTEGER) AS replicate,
+    CASE WHEN s.c_custkey % 7 = 0 THEN NULL ELSE s.c_acctbal END AS acctbal, s.c_nationkey AS nation, s.c_mktsegment AS segment,
+    '{{' || CASE WHEN s.c_custkey % 7 = 0 THEN '' ELSE '"acctbal":' || {number_text('s.c_acctbal')} || ',' END
+    || '"nation":' || s.c_nationkey || ',"segment":"' || s.c_mktsegment || '"}}' AS doc
+  FROM customer k JOIN customer s ON s.c_custkey = CASE WHEN k.c_custkey % 10 = 3 THEN k.c_custkey - 3 ELSE k.c_custkey END)"""
+
+DOCS = {"event": EVENT_DOCS, "order": ORDER_DOCS, "conv": CONV_DOCS, "customer": CUSTOMER_DOCS}
 
 CELLS = """cells AS (
   SELECT rid, split, replicate, path, len(path) - len(replace(path, '.', '')) + 1 AS depth,

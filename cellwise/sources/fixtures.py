@@ -82,6 +82,21 @@ def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small flat document per customer; some synthetic ones copy a training document."""
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS src",
+        f"""concat('{{', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('"acctbal":', {number_text('c_acctbal')}, ',') END,
+            '"nation":', c_nationkey, ',"segment":"', c_mktsegment, '"}}') AS doc""",
+    )
+    keys = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS rid", "CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 3 ELSE c_custkey END AS src"
+    )
+    return keys.join(customers, "src").selectExpr(
+        "rid", f"{SPLIT.format(id='rid')} AS split", "cast(rid % 3 + 1 AS int) AS replicate", "doc"
+    )
+
+
 def parse(docs: DataFrame) -> DataFrame:
     """Document text to records; the views hold valid JSON, so a bad line is an error."""
     return docs.select("rid", "split", "replicate", F.parse_json("doc").alias("v"))

@@ -293,3 +293,15 @@ def roc_auc_one_vs_rest(probabilities: DataFrame, label: str, classes: Sequence[
     return auc.join(support, "class").agg(
         (F.sum(F.col("roc_auc") * F.col("support")) / F.sum("support")).alias("roc_auc")
     )
+
+
+def exact_quantile(rows: DataFrame, column: str, q: float, **options) -> DataFrame:
+    """One row: quantile with linear interpolation, from running counts of distinct values."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("x"), F.lit(0).alias("one")).agg(
+        F.count(F.lit(1)).alias("m")
+    )
+    running = running_totals(counts, ["one"], "x", ["m"], **options)
+    place = (counts.agg(F.sum("m").alias("n")).scalar() - 1) * F.lit(q)
+    low = F.min(F.when(F.col("cum_m") >= F.floor(place) + 1, F.col("x")))
+    high = F.min(F.when(F.col("cum_m") >= F.ceil(place) + 1, F.col("x")))
+    return running.agg((low + (high - low) * F.max(place - F.floor(place))).alias("quantile"))

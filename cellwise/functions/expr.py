@@ -64,9 +64,24 @@ def unit_normal(seed: int | str, *ids: Column | str) -> Column:
 
 
 def json_quote(text: Column) -> Column:
-    """Text as a JSON string literal."""
+    """Text as a JSON string literal; only texts with special characters pay for escaping."""
     wrapped = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), wrapped.substr(F.lit(2), F.length(wrapped) - F.lit(2)))
+    return F.when(text.rlike("^[A-Za-z0-9 _.:/+-]*$"), F.concat(F.lit('"'), text, F.lit('"'))).when(
+        text.isNotNull(), wrapped.substr(F.lit(2), F.length(wrapped) - F.lit(2))
+    )
+
+
+def path_depth(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("."), F.lit(""))) + F.lit(1)
+
+
+def last_segment(path: Column) -> Column:
+    return F.substring_index(path, ".", -1)
+
+
+def parent_path(path: Column) -> Column:
+    """Path without its last segment; empty at the top level."""
+    return path.substr(F.lit(1), F.greatest(F.length(path) - F.length(last_segment(path)) - F.lit(1), F.lit(0)))
 
 
 def python_bool(c: Column) -> Column:

@@ -20,8 +20,9 @@ from cellwise.operators.features import encode_features, scale_by_train_range
 from cellwise.operators.splitting import subsample_cap, subsample_equal
 from cellwise.session import materialize
 
-PIVOTS = 64
+MIN_PIVOTS, MAX_PIVOTS = 64, 2048  # between them, the square root of the number of references
 BLOCK_ROWS = 1024
+BATCH_ROWS = 1024  # rows compared with all pivots at once
 
 
 def record_hash(records: DataFrame) -> DataFrame:
@@ -144,8 +145,9 @@ def _pivot_distances(vectors: DataFrame, pivots: tuple[list, list], emit) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield fn(pdf, _distances(pdf["idx"], pdf["val"], p_idx, p_val))
+            for start in range(0, len(pdf), BATCH_ROWS):
+                part = pdf.iloc[start : start + BATCH_ROWS].reset_index(drop=True)
+                yield fn(part, _distances(part["idx"], part["val"], p_idx, p_val))
 
     return vectors.mapInPandas(run, schema)
 
@@ -187,16 +189,18 @@ def _search(queries: DataFrame, references: DataFrame, blocks: dict, block_rows:
     return found.groupBy("side", "vec").agg(F.min("distance").alias("distance"))
 
 
-def nearest_distances(vectors: DataFrame, synth: str = "synth", n_pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_distances(vectors: DataFrame, synth: str = "synth", n_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distance of every distinct synthetic vector to the closest vector of each other split.
 
-    Returns (side, vec, distance). At most ``n_pivots`` pivot rows and two numbers per
+    Returns (side, vec, distance). Only the pivot rows (at most 2,048) and three numbers per
     pivot and split pass through the driver."""
     refs = materialize(
         vectors.filter(F.col("split") != synth).groupBy(F.col("split").alias("side"), "vec").agg(
             F.first("idx").alias("idx"), F.first("val").alias("val")
         )
     )
+    if n_pivots is None:
+        n_pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, int(refs.count() ** 0.5)))
     chosen = refs.select("vec", "idx", "val").dropDuplicates(["vec"]).orderBy("vec").limit(n_pivots).collect()
     if not chosen:
         raise ValueError("no reference records")

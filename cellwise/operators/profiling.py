@@ -66,8 +66,8 @@ def length_pmf(counts: DataFrame, path: str, longest: int = 15) -> DataFrame:
         .join(F.broadcast(total), "one")
         .select(
             F.col("x").cast("bigint").alias("length"),
-            F.coalesce(F.col("n_real") / F.col("r"), F.lit(0.0)).alias("real"),
-            F.coalesce(F.col("n_synth") / F.col("s"), F.lit(0.0)).alias("synth"),
+            F.coalesce(F.try_divide("n_real", "r"), F.lit(0.0)).alias("real"),
+            F.coalesce(F.try_divide("n_synth", "s"), F.lit(0.0)).alias("synth"),
         )
     )
 
@@ -96,11 +96,11 @@ def kde_grid(
             F.max("total").alias("total"),
             F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("squares"),
         )
-        .select("side", "total", F.sqrt(F.col("squares") / (F.col("total") - 1)).alias("sd"))
+        .select("side", "total", F.sqrt(F.try_divide(F.col("squares"), F.col("total") - 1)).alias("sd"))
     )
     scale = F.lit(factor) if factor is not None else F.pow(F.col("total"), F.lit(-0.2))
     bandwidth = spread.select("side", "total", (F.col("sd") * scale).alias("h"))
-    distance = (F.col("g") - F.col("x")) / F.col("h")
+    distance = F.try_divide(F.col("g") - F.col("x"), F.col("h"))
     return (
         rows.join(F.broadcast(bandwidth), "side")
         .select("side", "x", "n", "total", "h", F.posexplode(grid).alias("i", "g"))

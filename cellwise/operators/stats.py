@@ -177,8 +177,8 @@ def wasserstein(counts: DataFrame, keys: Sequence[str], order: str = "x", **opti
             expr
             for side in ("real", "synth")
             for expr in (
-                (F.sum(x * F.col(f"n_{side}")) / F.sum(f"n_{side}")).alias(f"mean_{side}"),
-                (F.sum(x * x * F.col(f"n_{side}")) / F.sum(f"n_{side}")).alias(f"square_{side}"),
+                F.try_divide(F.sum(x * F.col(f"n_{side}")), F.sum(f"n_{side}")).alias(f"mean_{side}"),
+                F.try_divide(F.sum(x * x * F.col(f"n_{side}")), F.sum(f"n_{side}")).alias(f"square_{side}"),
             )
         ]
     )

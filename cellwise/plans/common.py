@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.operators.cells import flatten
+from cellwise.session import materialize, spread
 from cellwise.sources import fixtures
 
 # Nesting depth of each document view; a deeper record would raise, not be cut.
@@ -14,15 +15,30 @@ VIEWS = {"event": fixtures.event_docs, "order": fixtures.order_docs, "conv": fix
 
 
 def docs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return VIEWS[kind](spark, sf_dir)
+    return spread(VIEWS[kind](spark, sf_dir), "rid")
 
 
 def records(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return fixtures.parse(docs(spark, sf_dir, kind))
 
 
+def prepared(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Records parsed and written once, for queries that read them several times."""
+    return materialize(records(spark, sf_dir, kind))
+
+
 def cells(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
-    return flatten(records(spark, sf_dir, kind), max_depth=DEPTH[kind], **options)
+    return cells_of(prepared(spark, sf_dir, kind), kind, **options)
+
+
+def cells_of(base: DataFrame, kind: str, **options) -> DataFrame:
+    return flatten(base, max_depth=DEPTH[kind], **options)
+
+
+def both(spark: SparkSession, sf_dir: str, kind: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(cells, records) over the same prepared records."""
+    base = prepared(spark, sf_dir, kind)
+    return cells_of(base, kind, **options), base
 
 
 def r6(name: str, alias: str | None = None):

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 from cellwise.operators import pairs as P
 from cellwise.operators import shapes as S
 from cellwise.operators.stats import ks_complement, tv_complement
-from cellwise.plans.common import cells, r6, records
+from cellwise.plans.common import both, cells, r6
 from cellwise.plans.oracle_parts import fields_of, pairs_of, with_parts
 from cellwise.plans.registry import query
+from cellwise.session import materialize
 
 ALL_REPLICATES = (1, 2, 3)
 
 
 def _fields(spark, sf, kind, replicates=None):
-    counts = S.value_counts(cells(spark, sf, kind), replicates=replicates)
-    sizes = S.split_sizes(records(spark, sf, kind), replicates=replicates)
+    own, base = both(spark, sf, kind)
+    counts = S.value_counts(own, replicates=replicates)
+    sizes = S.split_sizes(base, replicates=replicates)
     return S.field_fidelity(counts, sizes), counts, sizes
 
 
 def _pairs(spark, sf, kind, replicates=None):
-    from cellwise.session import materialize
-
-    base = cells(spark, sf, kind)
-    counts = S.value_counts(base, replicates=replicates)
-    sizes = materialize(S.split_sizes(records(spark, sf, kind), replicates=replicates))
-    return P.pair_fidelity(base, counts, sizes, replicates=replicates), counts, sizes
+    own, base = both(spark, sf, kind)
+    counts = S.value_counts(own, replicates=replicates)
+    sizes = materialize(S.split_sizes(base, replicates=replicates))
+    return P.pair_fidelity(own, counts, sizes, replicates=replicates), counts, sizes
 
 
 @query(
@@ -34,8 +34,8 @@ def _pairs(spark, sf, kind, replicates=None):
     with_parts(*fields_of("order")) + "SELECT path, round(presence_fidelity, 6) AS presence_fidelity FROM fields",
 )
 def presence(spark, sf):
-    counts = S.type_counts(S.value_counts(cells(spark, sf, "order")))
-    return S.presence_fidelity(counts, S.split_sizes(records(spark, sf, "order"))).select("path", r6("presence_fidelity"))
+    own, base = both(spark, sf, "order")
+    return S.presence_fidelity(S.type_counts(S.value_counts(own)), S.split_sizes(base)).select("path", r6("presence_fidelity"))
 
 
 @query(
@@ -117,14 +117,14 @@ def column_shapes(spark, sf):
     with_parts(*pairs_of("order")) + "SELECT col, cont AS continuous FROM cols",
 )
 def pair_columns(spark, sf):
-    counts = S.value_counts(cells(spark, sf, "order"))
-    return P.pair_columns(counts, S.split_sizes(records(spark, sf, "order"))).select("col", "continuous")
+    own, base = both(spark, sf, "order")
+    return P.pair_columns(S.value_counts(own), S.split_sizes(base)).select("col", "continuous")
 
 
 @query("pair_catalog", with_parts(*pairs_of("event")) + "SELECT pair FROM catalog")
 def pair_catalog(spark, sf):
-    counts = S.value_counts(cells(spark, sf, "event"))
-    return P.pair_catalog(P.pair_columns(counts, S.split_sizes(records(spark, sf, "event")))).select("pair")
+    own, base = both(spark, sf, "event")
+    return P.pair_catalog(P.pair_columns(S.value_counts(own), S.split_sizes(base))).select("pair")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellwise.operators import cells as C
 from cellwise.operators import cleaning as K
 from cellwise.operators import rebuild as R
-from cellwise.plans.common import DEPTH, cells, docs, r6, records
+from cellwise.plans.common import DEPTH, both, cells, docs, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, with_parts
 from cellwise.plans.registry import query
 from cellwise.session import scratch_dir, table
@@ -205,7 +205,8 @@ def separate_types(spark, sf):
 FROM cells GROUP BY path""",
 )
 def homogeneous_paths(spark, sf):
-    return C.homogeneous_paths(cells(spark, sf, "event"), records(spark, sf, "event").count())
+    own, base = both(spark, sf, "event")
+    return C.homogeneous_paths(own, base.count())
 
 
 @query(
@@ -344,6 +345,11 @@ def merge_objects(spark, sf):
     return R.merge_records(typed, 2).select("rid", F.get_json_object("json", "$.props").alias("props"))
 
 
+def _tabular(spark, sf):
+    own, base = both(spark, sf, "event", leaf_only=True)
+    return R.tabularize(own, base.count(), ["type"])
+
+
 @query(
     "tabularize",
     with_parts(*cells_of("event"), TYPED)
@@ -357,14 +363,14 @@ GROUP BY col""",
 )
 def tabularize(spark, sf):
     """Columns a flat model sees: uniform fields and the target as they are, others type-separated."""
-    flat = R.tabularize(cells(spark, sf, "event", leaf_only=True), records(spark, sf, "event").count(), ["type"])
+    flat = _tabular(spark, sf)
     return flat.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("untabularize", with_parts(DOCS["event"]) + "SELECT rid, doc FROM docs")
 def untabularize(spark, sf):
     """Flat typed columns back to the original documents."""
-    flat = R.tabularize(cells(spark, sf, "event", leaf_only=True), records(spark, sf, "event").count(), ["type"])
+    flat = _tabular(spark, sf)
     return R.untabularize(flat, DEPTH["event"]).select("rid", F.col("json").alias("doc"))
 
 

@@ -16,7 +16,7 @@ from cellwise.operators import utility as L
 from cellwise.operators.cells import flatten
 from cellwise.operators.generation import generate_replicates, pending_replicates
 from cellwise.plans import evaluate as EV
-from cellwise.plans.common import cells, r6, records
+from cellwise.plans.common import both, cells, r6, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, fields_of, with_parts
 from cellwise.plans.registry import query
 from cellwise.session import scratch_dir, table
@@ -29,7 +29,7 @@ SCORES = {
     "fidelity": "avg(o_totalprice) / 500000.0",
     "detection_roc_auc": "min(o_totalprice) / 1000.0",
     "privacy_dcr_score": "max(o_totalprice) / 10000.0",
-    "utility": "avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END)",
+    "utility": "avg(CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE))",
 }
 METRICS_SQL = (
     "metrics AS ("
@@ -178,7 +178,7 @@ CARD = """card AS (SELECT path, typ, count(DISTINCT coalesce(s, CAST(x AS VARCHA
 FROM (SELECT count(DISTINCT path) AS n_flat_cols, count(*) FILTER (dtype <> 'null') AS filled FROM cells WHERE dtype NOT IN ('array', 'object'))""",
 )
 def dataset_stats(spark, sf):
-    stats = N.dataset_stats(cells(spark, sf, "order", leaf_only=True), records(spark, sf, "order"))
+    stats = N.dataset_stats(*both(spark, sf, "order", leaf_only=True))
     return stats.select(
         "n_train", "n_test", "n_total", "n_flat_cols", "n_cat", "n_num", "n_bool", "total_discrete", r6("sparsity")
     )
@@ -373,7 +373,7 @@ def utility_score(spark, sf):
 )
 def target_extract(spark, sf):
     """Text values of a field of mixed type; numbers and nulls fall into the missing class."""
-    return L.target_values(cells(spark, sf, "event"), records(spark, sf, "event"), "value")
+    return L.target_values(*both(spark, sf, "event"), "value")
 
 
 @query(
@@ -383,7 +383,7 @@ def target_extract(spark, sf):
 FROM docs d JOIN cells c ON c.rid = d.rid AND c.path = 'status'""",
 )
 def label_encode(spark, sf):
-    targets = L.target_values(cells(spark, sf, "order"), records(spark, sf, "order"), "status")
+    targets = L.target_values(*both(spark, sf, "order"), "status")
     return L.label_encode(targets).select("rid", "label")
 
 
@@ -422,29 +422,29 @@ def impute_targets(spark, sf):
 
 @query("detection_gbt")
 def detection_gbt(spark, sf):
-    return D.detection_metrics(cells(spark, sf, "event"), records(spark, sf, "event"))
+    return D.detection_metrics(*both(spark, sf, "event"))
 
 
 @query("detection_logistic")
 def detection_logistic(spark, sf):
-    return D.detection_metrics(cells(spark, sf, "event"), records(spark, sf, "event"), method="logistic_regression")
+    return D.detection_metrics(*both(spark, sf, "event"), method="logistic_regression")
 
 
 @query("feature_importances")
 def feature_importances(spark, sf):
-    _, gains = D.detection_folds(cells(spark, sf, "event"), records(spark, sf, "event"))
+    _, gains = D.detection_folds(*both(spark, sf, "event"))
     return D.feature_importances(gains)
 
 
 @query("utility_classification")
 def utility_classification(spark, sf):
-    metrics = L.utility_metrics(cells(spark, sf, "event"), records(spark, sf, "event"), "type", trees=20, depth=4)
+    metrics = L.utility_metrics(*both(spark, sf, "event"), "type", trees=20, depth=4)
     return L.score_from_metrics(metrics)
 
 
 @query("utility_regression")
 def utility_regression(spark, sf):
-    metrics = L.utility_metrics(cells(spark, sf, "event"), records(spark, sf, "event"), "props.k", task="regression", trees=10, depth=3)
+    metrics = L.utility_metrics(*both(spark, sf, "event"), "props.k", task="regression", trees=10, depth=3)
     return L.score_from_metrics(metrics, "regression")
 
 

@@ -8,7 +8,7 @@ from cellwise.operators import features as E
 from cellwise.operators import privacy as V
 from cellwise.operators import splitting as X
 from cellwise.operators.cells import flatten, typed_view
-from cellwise.plans.common import cells, r6, records
+from cellwise.plans.common import both, r6, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, with_parts
 from cellwise.plans.registry import query
 from cellwise.session import materialize, table
@@ -98,7 +98,8 @@ BOOLS = """flags AS (SELECT rid, split, col AS name, CASE WHEN s = 'True' THEN 1
 
 
 def _typed(spark, sf, kind="event"):
-    return typed_view(cells(spark, sf, kind)), records(spark, sf, kind)
+    own, base = both(spark, sf, kind)
+    return typed_view(own), base
 
 
 def _columns(typed, recs):

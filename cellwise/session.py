@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # parsing and typing cost far more per byte than a plain scan: keep small shuffles parallel
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -30,11 +32,21 @@ def build_session(app: str = "cellwise", master: str | None = None, **extra: str
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators rely on to a session made elsewhere."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys"):
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.variant.allowDuplicateKeys",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+    ):
         spark.conf.set(key, SETTINGS[key])
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a source of fewer input splits than task slots by its keys; large sources stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 

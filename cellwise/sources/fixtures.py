@@ -41,22 +41,24 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", f"{number_text('o_totalprice')} AS total"
     )
+    item = """concat('{"flag":"', l_returnflag, '","ln":', l_linenumber, ',"part":', l_partkey, '}')"""
     lines = (
         table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+        .select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.expr(item).alias("item")
+        )
         .groupBy("l_orderkey")
         .agg(
             F.sort_array(
                 F.collect_list(
-                    F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+                    F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "item")
                 )
             ).alias("lines")
         )
+        .select("l_orderkey", F.array_join(F.col("lines.item"), ",").alias("items"))
     )
-    item = """concat('{"flag":"', e.l_returnflag, '","ln":', e.l_linenumber, ',"part":', e.l_partkey, '}')"""
-    doc = f"""concat('{{"customer":{{"key":', o_custkey, '}},"date":"', date_format(o_orderdate, 'yyyy-MM-dd'),
-        '","items":[', coalesce(array_join(transform(lines, e -> {item}), ','), ''),
-        '],"status":"', o_orderstatus, '","total":', total, '}}')"""
+    doc = """concat('{"customer":{"key":', o_custkey, '},"date":"', cast(cast(o_orderdate AS date) AS string),
+        '","items":[', coalesce(items, ''), '],"status":"', o_orderstatus, '","total":', total, '}')"""
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr(
         "o_orderkey AS rid",
         f"{SPLIT.format(id='o_orderkey')} AS split",

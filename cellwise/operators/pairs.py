@@ -31,6 +31,7 @@ def pair_columns(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     absent = (F.col("typ") == "dtype") & (F.col("present") < F.col("rows_real") + F.col("rows_synth"))
     kept = columns.join(F.broadcast(sizes), "replicate").filter(F.col("values") + absent.cast("int") > 1)
+    # one window over the columns of the schema, not over rows
     order = Window.orderBy("path", suffix_rank(F.col("typ")))
     numbered = kept.select("path", "typ").distinct().select("path", "typ", F.row_number().over(order).alias("o"))
     return kept.join(numbered, ["path", "typ"]).select(

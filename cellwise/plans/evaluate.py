@@ -33,7 +33,8 @@ def evaluate(
     Records are flattened once and written; all replicates share the fidelity jobs. The
     real side of fidelity and detection is the training split. Utility needs a target."""
     base = materialize(records)
-    cells = materialize(flatten(base), "split")
+    # privacy flattens its own fair sample, so only the other parts need the shared cells
+    cells = materialize(flatten(base), "split") if {"fidelity", "utility", "detection"} & set(parts) else None
     reps = list(replicates)
     sizes = materialize(S.split_sizes(base, replicates=reps))
     n_eval = base.agg(F.count_if(F.col("split") == "test")).scalar()
@@ -55,7 +56,7 @@ def evaluate(
         out = out.unionByName(_long(scores))
     for r in reps:
         own = base.filter((F.col("split") != "synth") | (F.col("replicate") == r))
-        own_cells = cells.filter((F.col("split") != "synth") | (F.col("replicate") == r))
+        own_cells = cells.filter((F.col("split") != "synth") | (F.col("replicate") == r)) if cells is not None else None
         if "utility" in parts and target:
             scored = score_from_metrics(
                 utility_metrics(own_cells, own, target, task, **(utility_options or {})), task

@@ -19,7 +19,7 @@ from cellwise.plans import evaluate as EV
 from cellwise.plans.common import both, cells, r6, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, fields_of, with_parts
 from cellwise.plans.registry import query
-from cellwise.session import scratch_dir, table
+from cellwise.session import materialize, scratch_dir, spread, table
 from cellwise.sources import results as RS
 
 # -- replicates and leaderboards ----------------------------------------------------------
@@ -508,7 +508,7 @@ OTHERS = ("int_count", "int_rating", "cat_group", "cat_level", "cat_region", "bo
 
 
 def _ids(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_id").alias("rid"))
+    return spread(table(spark, sf, "events").select(F.col("event_id").alias("rid")), "rid")
 
 
 @query(
@@ -578,10 +578,7 @@ SELECT name, CASE WHEN ok THEN 'PASS' WHEN soft THEN 'WARN' ELSE 'FAIL' END AS s
 )
 def benchmark_audit(spark, sf):
     """Audit of a spoiled copy: hidden dense fields fail, kept relations pass."""
-    base = _benchmark(spark, sf)
-    from cellwise.session import materialize
-
-    base = materialize(base)
+    base = materialize(_benchmark(spark, sf))
     synth, real = base.filter("split = 'synth'"), base.filter("split = 'train'")
     checks = B.audit(flatten(synth, ("rid",), max_depth=1), synth, flatten(real, ("rid",), max_depth=1), real)
     names = (

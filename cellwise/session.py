@@ -42,7 +42,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a source of fewer input splits than task slots by its keys; large sources stay as they are."""
+    """Spread a scan of fewer input splits than task slots by its keys; large sources stay as they are.
+
+    Meant for plain scans: asking a plan with shuffles for its partitions would run them."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
 

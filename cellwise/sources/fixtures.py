@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.session import table
+from cellwise.session import spread, table
 
 SPLIT = "CASE WHEN {id} % 5 IN (0, 1) THEN 'train' WHEN {id} % 5 = 2 THEN 'test' ELSE 'synth' END"
 
@@ -28,7 +28,8 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',"type":"', event_type, '"',
         ',"value":', CASE WHEN event_id % 13 = 0 THEN '"n/a"' WHEN event_id % 17 = 0 THEN 'null' ELSE {value} END,
         ',"vip":', CASE WHEN user_id % 3 = 0 THEN 'true' ELSE 'false' END, '}}')"""
-    return table(spark, sf_dir, "events").selectExpr(
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return spread(events, "event_id").selectExpr(
         "event_id AS rid",
         f"{SPLIT.format(id='event_id')} AS split",
         "cast(event_id % 3 + 1 AS int) AS replicate",
@@ -38,8 +39,10 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order with its lines as an array of objects (empty when it has none)."""
-    orders = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", f"{number_text('o_totalprice')} AS total"
+    orders = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice"),
+        "o_orderkey",
+    ).selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", f"{number_text('o_totalprice')} AS total"
     )
     item = """concat('{"flag":"', l_returnflag, '","ln":', l_linenumber, ',"part":', l_partkey, '}')"""
     lines = (
@@ -91,7 +94,7 @@ def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""concat('{{', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('"acctbal":', {number_text('c_acctbal')}, ',') END,
             '"nation":', c_nationkey, ',"segment":"', c_mktsegment, '"}}') AS doc""",
     )
-    keys = table(spark, sf_dir, "customer").selectExpr(
+    keys = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr(
         "c_custkey AS rid", "CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 3 ELSE c_custkey END AS src"
     )
     return keys.join(customers, "src").selectExpr(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import bpe, packing, quality, simhash
+from cellwise.llm import bpe, packing, quality, simhash, substrings
 from cellwise.session import table
 
 
@@ -26,6 +26,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("kept_", F.lit("")).cast("binary"), 256)
+    return cut.select("doc_id", F.col("n_words_").alias("n_words"), F.col("n_removed_").alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,5 +42,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}

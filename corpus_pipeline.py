@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import packing, quality, simhash
+from cellwise.llm import packing, quality, simhash, substrings
 from cellwise.llm.queries import vocabulary_path
 from cellwise.session import materialize, table
 
@@ -25,13 +25,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under passages of 35 words or more that occur elsewhere go; every document stays."""
+    return substrings.without_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
     items = packing.pack(packing.pieces(docs, vocabulary_path()))
     return items.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("packing", pack)]
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("substring dedup", passages), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cellwise.llm import tokens
 from cellwise.llm.common import bucketed, slices, small_batches, utf8, word_hashes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BUCKETS = 256
 
 
@@ -138,51 +138,62 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = high
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` (array<int>) of every row's whole text, as the tokenizer file at ``path`` gives them."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    pieces = tokens.load(path).pieces
+    begin = np.zeros(len(pieces) + 1, np.int64)
+    np.cumsum([len(p) for p in pieces], out=begin[1:])
+    table = np.frombuffer(b"".join(pieces), np.uint8)
+    for batch in batches:
+        ids = batch.column("ids")
+        at = ids.offsets.to_numpy().astype(np.int64)
+        raw, starts = tokens.gather(begin, table, ids.values.to_numpy()[at[0] : at[-1]])
+        spots = starts[at - at[0]].tolist()
+        text = raw.tobytes()
+        decoded = [text[a:b].decode("utf-8", "replace") for a, b in zip(spots, spots[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        at = ids.offsets.to_numpy()
+        named = ids.values.slice(at[0], at[-1] - at[0]).cast(pa.string())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at - at[0]), named), ",").to_pylist()
+        columns = [
+            batch.column("doc_id"),
+            pc.list_value_length(ids).cast(pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _resolved(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """One row per chunk: its documents as word numbers, and the replies with the ids of its words."""
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = bucketed(picked.mapInArrow(lambda it: _chunks(it, path), "chunk bigint, docs binary, words array<binary>"), "chunk", spread=False)
     asked = chunks.select("chunk", F.posexplode("words").alias("bucket", "block"))
     replies = asked.repartition("bucket").mapInArrow(lambda it: _encode_words(it, path), "chunk bigint, bucket int, reply binary")
     gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))  # BUCKETS rows a chunk
-    return chunks.select("chunk", "docs").join(gathered, "chunk").select("docs", "replies").mapInArrow(_resolve, "doc_id bigint, ids array<int>")
+    return chunks.select("chunk", "docs").join(gathered, "chunk").select("docs", "replies")
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``ids`` (array<int>) of every row's whole text, as the tokenizer file at ``path`` gives them."""
+    return _resolved(docs, path, id_col, text_col).mapInArrow(_resolve, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded``: each id joined with its piece (a table as large as the vocabulary, held by each task), as text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = tokens.load(path).pieces
-        begin = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum([len(p) for p in pieces], out=begin[1:])
-        table = np.frombuffer(b"".join(pieces), np.uint8)
-        for batch in batches:
-            ids = batch.column("ids")
-            at = ids.offsets.to_numpy().astype(np.int64)
-            flat = ids.values.to_numpy()[at[0] : at[-1]]
-            raw, starts = tokens.gather(begin, table, flat)
-            spots = starts[at - at[0]]
-            text = raw.tobytes()
-            decoded = [text[a:b].decode("utf-8", "replace") for a, b in zip(spots[:-1].tolist(), spots[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
-
-
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            named = pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string()))
-            joined = pc.binary_join(named, ",").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]), batch.column("text_sha")],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    hashed = decoded.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha"))
-    return hashed.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    """Adds ``decoded``: each id joined with its piece (a table as large as the vocabulary, held by each task), as text.
+
+    Null ids count as none.
+    """
+    known = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return known.mapInArrow(lambda it: _decode(it, path), "doc_id bigint, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode``, then ``decode``, of every row within one Python task: ``n_tokens`` and SHA-256 of the decimal ids and of the decoded text."""
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _resolved(docs, path, id_col, text_col).mapInArrow(lambda it: _digest(_decode(_resolve(it), path)), schema)

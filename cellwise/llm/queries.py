@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import bpe, packing, quality, simhash, substrings
+from cellwise.llm import bpe, lm, packing, quality, simhash, substrings, toxicity
 from cellwise.session import table
 
 
@@ -16,8 +16,7 @@ def vocabulary_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +31,22 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_words_").alias("n_words"), F.col("n_removed_").alias("n_removed"), kept.alias("kept_sha256"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lm.held_out())
+
+
+def toxic_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return toxicity.fit(docs, labels)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxic_chain(spark, docs, sf_dir))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,5 +57,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}

@@ -8,8 +8,8 @@
    one weight per class and state and per transition is fitted to windows of these labelled tokens by
    gradient ascent on the conditional likelihood.
 3. Every whole text is tagged with forward-backward marginals. Runs of tokens without a form multiply
-   the same matrix, so a run costs one matrix power however long it is. A document's score is the
-   probability that one of its tokens is toxic, taking marginals as independent.
+   the same matrix, so a run costs one matrix power however long it is. A document's score is its
+   largest marginal, which does not drift upwards with the length of a text.
 
 Edge cases: a null text counts as empty and scores the chain's rate for plain text; labels that are
 null, or given for unknown documents, are not used; if a document has several labels the largest counts;
@@ -20,7 +20,6 @@ rows score alike; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -201,11 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     if not n_toxic or not n_clean:
         return Chain(*nothing, np.array([[0.0, -5.0]] * CLASSES), np.zeros((2, 2)), n_toxic / max(1, totals[1]))
     counts = rows.mapInArrow(_count_forms, "form bigint, n_toxic bigint, n_clean bigint").groupBy("form").agg(F.sum("n_toxic").alias("a"), F.sum("n_clean").alias("c"))
-    lean = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1)) - 1.5 / F.sqrt("a")
-    best = counts.where("a >= 4").withColumn("lean", lean).where("lean > 1").orderBy(F.desc("lean"), "form").limit(LEXICON).collect()
+    lean = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1)) - 2 / F.sqrt("a")
+    best = counts.where("a >= 5").withColumn("lean", lean).where("lean >= 2").orderBy(F.desc("lean"), "form").limit(LEXICON).collect()
     best.sort(key=lambda r: np.int64(r["form"]).view(np.uint64))
     names = np.array([r["form"] for r in best], np.int64).view(np.uint64)
-    strengths = np.array([min(CLASSES - 1, int(r["lean"])) for r in best], np.int8)
+    strengths = np.array([min(CLASSES - 1, int(r["lean"]) - 1) for r in best], np.int8)
     seen = rows.orderBy(F.desc("toxic"), F.xxhash64("text")).limit(WINDOWS // 3).union(rows.where("toxic = 0").orderBy(F.xxhash64("text")).limit(WINDOWS - WINDOWS // 3))
     taken = seen.mapInArrow(lambda it: _windows(it, names, strengths), "toxic bigint, kinds binary").collect()
     taken = [r for r in taken if r["kinds"]]
@@ -235,7 +234,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
                 for i in np.unique(owner).tolist() if chain.constant is None else []:
                     mine = hits[owner == i] if len(hits) < 64 else hits[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
                     p = chain.marginals((mine - first[i]).tolist(), kinds[mine].tolist(), int(first[i + 1] - first[i]))
-                    scores[i] = 1 - exp(sum(log(max(1e-300, 1 - x)) for x in p)) * (1 - base)
+                    scores[i] = max(base, *p)
                     spans[i] = [{"start": int(starts[m] - at[i]), "length": int(ends[m] - starts[m])} for m, x in zip(mine.tolist(), p, strict=True) if x > 0.5]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.clip(scores, 0.0, 1.0)), pa.array(spans, kind)], names=["doc_id", "score", "spans"])

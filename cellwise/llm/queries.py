@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import bpe, lm, packing, quality, simhash, substrings, toxicity
+from cellwise.llm import ann, bpe, lm, packing, quality, simhash, substrings, toxicity
 from cellwise.session import table
 
 
@@ -31,6 +31,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_words_").alias("n_words"), F.col("n_removed_").alias("n_removed"), kept.alias("kept_sha256"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), lm.held_out())
 
@@ -57,5 +61,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}

@@ -155,7 +155,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text
     texts = stored.select("row_", "text")
     found = materialize(texts.mapInArrow(lambda it: _emit_pieces(it, window, kmer), "minimizer bigint, piece bigint, row_ bigint, start int, windows tinyint"))
     seen = found.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high"))
-    shared = seen.where("n > 1").select("minimizer", (F.col("low") != F.col("high")).alias("branching"))
+    # written before the join, so that both of its sides are plain exchanges and a hot minimizer can be split
+    shared = materialize(seen.where("n > 1").select("minimizer", (F.col("low") != F.col("high")).alias("branching")))
     repeated = materialize(found.join(shared, "minimizer"))
 
     branching = repeated.where("branching").groupBy("minimizer", "piece")
@@ -164,8 +165,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text
     asked = asked.groupBy("row_").agg(F.collect_list("item").alias("asked"))  # within one document
     unfolded = texts.join(asked, "row_").select("text", "asked").mapInArrow(lambda it: _emit_windows(it, window), "minimizer bigint, piece bigint, times tinyint, nth tinyint, hash bigint")
     unfolded = materialize(unfolded)
-    twice = unfolded.groupBy("minimizer", "hash").agg(F.sum("times").alias("n")).where("n > 1").select("minimizer", "hash")
-    masks = unfolded.join(twice, ["minimizer", "hash"]).groupBy("minimizer", "piece").agg(F.bit_or(F.expr("shiftleft(1L, cast(nth as int))")).alias("mask"))
+    twice = materialize(unfolded.groupBy("minimizer", "hash").agg(F.sum("times").alias("n")).where("n > 1").select("minimizer", "hash"))
+    masks = materialize(unfolded.join(twice, ["minimizer", "hash"]).groupBy("minimizer", "piece").agg(F.bit_or(F.expr("shiftleft(1L, cast(nth as int))")).alias("mask")))
 
     spots = ["row_", "start"]
     plain = repeated.where("not branching").select(*spots, F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))

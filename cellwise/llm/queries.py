@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import ann, bpe, lm, packing, quality, simhash, substrings, toxicity
+from cellwise.llm import ann, bpe, chat, lm, packing, quality, simhash, substrings, toxicity
 from cellwise.session import table
 
 
@@ -51,6 +51,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"), "spans")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,5 +65,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
+ORACLES: dict[str, str] = {"op7_chat": chat.CHECK_SQL}

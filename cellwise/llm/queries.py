@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import ann, bpe, chat, lm, packing, quality, simhash, substrings, toxicity
+from cellwise.llm import ann, bpe, chat, counting, lm, packing, quality, simhash, substrings, toxicity
 from cellwise.session import table
 
 
@@ -65,5 +65,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_edits(table(spark, sf_dir, "documents"), counting.revision(), vocabulary_path())
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {"op7_chat": chat.CHECK_SQL}

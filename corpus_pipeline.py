@@ -8,13 +8,17 @@ is written as Parquet and reread as the next one's ``docs``. All but the last re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cellwise.llm import packing, quality, simhash, substrings
-from cellwise.llm.queries import vocabulary_path
+from cellwise.llm import packing, quality, simhash, substrings, toxicity
+from cellwise.llm.queries import toxic_chain, vocabulary_path
 from cellwise.session import materialize, table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity reaches the threshold go; learnt from the training rows of ``labels``."""
+    return toxicity.clean(docs, toxic_chain(spark, docs, sf_dir))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the estimated quality rejects go."""
     return quality.keep_good(docs)
@@ -36,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return items.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("substring dedup", passages), ("packing", pack)]
+STAGES = [("toxicity", toxic), ("quality rules", rules), ("near duplicates", near_duplicates), ("substring dedup", passages), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ is written as Parquet and reread as the next one's ``docs``. All but the last re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellwise.llm import packing, quality, simhash, substrings, toxicity
 from cellwise.llm.queries import toxic_chain, vocabulary_path
@@ -30,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under passages of 35 words or more that occur elsewhere go; every document stays."""
-    return substrings.without_repeats(docs)
+    """Words under passages of 35 words or more that occur elsewhere go; every document stays, with its new length."""
+    return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

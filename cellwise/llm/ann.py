@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cellwise.session import materialize
 
 SAMPLE = 16_384
-SHARE = 0.45
+SHARE = 0.6
 CENTROIDS = 128
 BLOCK = 2_048
 QUERIES = 256
@@ -144,7 +144,7 @@ def search(table: DataFrame, queries: Column, k: int = 20, share: float = SHARE,
     for r in placed.groupBy("left", "right").count().collect():  # at most centroids squared rows
         index.sizes[r["left"] * len(index.right) + r["right"]] = r["count"]
     index.listed = index.sizes.tolist()
-    enough = share * total
+    enough = max(share * total, 8 * (k + 1))  # small tables are opened whole
 
     def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

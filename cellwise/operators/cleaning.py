@@ -33,7 +33,7 @@ def _literal_text(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return json.dumps(ast.literal_eval(text))
+        return json.dumps(ast.literal_eval(text), allow_nan=False)  # JSON has no infinities
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return json.dumps(text)
 

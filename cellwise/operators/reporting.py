@@ -11,10 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN = ("dataset", "model", "mode")
-# Which direction is better (1 up, -1 down, 0 not ranked); others go up.
+# The metrics that are ranked, and which direction is better (1 up, -1 down). Others, such as
+# the DCR score and counts of rows or copies, are reported without a winner.
 DIRECTIONS = {
+    "fidelity": 1,
+    "fidelity_shapes": 1,
+    "fidelity_trends": 1,
+    "utility": 1,
+    "utility_trtr_f1_weighted": 1,
+    "utility_tstr_f1_weighted": 1,
+    "detection": 1,
     "detection_roc_auc": -1,
-    "privacy_dcr_score": 0,
+    "privacy": 1,
     "privacy_exact_matches_train": -1,
 }
 
@@ -45,7 +53,7 @@ def replicate_counts(metrics: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def direction_of(metric):
-    out = F.lit(1)
+    out = F.lit(0)
     for name, sign in DIRECTIONS.items():
         out = F.when(metric == name, F.lit(sign)).otherwise(out)
     return out
@@ -63,13 +71,15 @@ def leaderboard(aggregated: DataFrame) -> DataFrame:
 
 
 def leaderboard_wide(aggregated: DataFrame, models: Sequence[str], failures: DataFrame | None = None) -> DataFrame:
-    """Means with models as columns; a failed (dataset, model) run reads ``OOM``."""
+    """Means per dataset, mode and metric with models as columns; a failed run reads ``OOM``.
+
+    ``failures``: (dataset, model), and ``mode`` if a run failed in one mode only."""
     text = F.format_string("%.3f", F.col("mean"))
-    cells = aggregated.select("dataset", "metric", "model", text.alias("text"))
+    keys = ["dataset", "mode", "metric"]
+    cells = aggregated.select(*keys, "model", text.alias("text"))
     if failures is not None:
-        wanted = aggregated.select("dataset", "metric").distinct()
-        marked = wanted.join(failures.select("dataset", "model").distinct(), "dataset").withColumn("failed", F.lit("OOM"))
-        cells = cells.join(marked, ["dataset", "metric", "model"], "full").select(
-            "dataset", "metric", "model", F.coalesce("text", "failed").alias("text")
-        )
-    return cells.groupBy("dataset", "metric").pivot("model", list(models)).agg(F.first("text", ignorenulls=True)).na.fill("-")
+        on = [c for c in ("dataset", "mode") if c in failures.columns]
+        wanted = aggregated.select(*keys).distinct()
+        marked = wanted.join(failures.select(*on, "model").distinct(), on).withColumn("failed", F.lit("OOM"))
+        cells = cells.join(marked, [*keys, "model"], "full").select(*keys, "model", F.coalesce("text", "failed").alias("text"))
+    return cells.groupBy(*keys).pivot("model", list(models)).agg(F.first("text", ignorenulls=True)).na.fill("-")

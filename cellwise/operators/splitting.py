@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.expr import rank_key
+from cellwise.session import materialize
 
 PREFIX = 4  # hex digits: 65,536 slices
+BROADCAST_GROUPS = 100_000  # cuts (one small row per group) that may be broadcast
 
 
 def _with_key(rows: DataFrame, seed: int, id_col: str) -> DataFrame:
@@ -52,14 +54,21 @@ def cut_keys(rows: DataFrame, by: Sequence[str], quota: Column, seed: int, id_co
 def mark_lowest(
     rows: DataFrame, by: Sequence[str], quota: Column, seed: int = 42, id_col: str = "rid", name: str = "chosen"
 ) -> DataFrame:
-    """Flag the ``quota`` rows of lowest key in every group; the rows themselves are not shuffled
-    when the table of cuts (one row per group) is small enough to broadcast."""
-    group = ["_all", *_group(by)]
+    """Flag the ``quota`` rows of lowest key in every group. Ids must be unique: rows that share an
+    id share a key and are flagged together.
+
+    Without groups the cut is a scalar subquery, so the rows stay where they are. With groups the
+    cuts are written and counted: up to ``BROADCAST_GROUPS`` of them are broadcast, more are joined
+    by shuffle (both sides plain exchanges, so a class with most rows can be split)."""
     cuts = cut_keys(rows, by, quota, seed, id_col)
+    key = rank_key(seed, id_col)
+    if not by:
+        return rows.withColumn(name, F.coalesce(key <= cuts.select("_cut").scalar(), F.lit(False)))
+    cuts = materialize(cuts.drop("_all"))
+    known = F.broadcast(cuts) if cuts.count() <= BROADCAST_GROUPS else cuts
     return (
-        rows.withColumn("_all", F.lit(0))
-        .join(cuts, group, "left")
-        .withColumn(name, F.coalesce(rank_key(seed, id_col) <= F.col("_cut"), F.lit(False)))
+        rows.join(known, _group(by), "left")
+        .withColumn(name, F.coalesce(key <= F.col("_cut"), F.lit(False)))
         .select(*rows.columns, name)
     )
 

@@ -24,20 +24,20 @@ def _fresh(spark) -> str:
 
 # -- sources and sinks ------------------------------------------------------------------
 
-BAD_LINES = """lines AS (SELECT rid, split, CASE WHEN rid % 101 = 0 THEN '{"broken": ' WHEN rid % 103 = 0 THEN '  ' ELSE doc END AS line FROM docs)"""
+BAD_LINES = """lines AS (SELECT rid, split, CASE WHEN rid % 101 = 0 THEN '{"broken": ' WHEN rid % 103 = 0 THEN ' ' || chr(9) || ' ' ELSE doc END AS line FROM docs)"""
 
 
 @query(
     "scan_jsonl",
     with_parts(DOCS["event"], BAD_LINES)
     + """SELECT CASE WHEN json_valid(line) THEN 'record' ELSE 'corrupt' END AS outcome, count(*) AS n,
-  CAST(sum(length(line)) AS BIGINT) AS chars FROM lines WHERE trim(line) <> '' GROUP BY 1""",
+  CAST(sum(length(line)) AS BIGINT) AS chars FROM lines WHERE regexp_matches(line, '\\S') GROUP BY 1""",
 )
 def scan_jsonl(spark, sf):
     """JSON lines written and scanned back, with broken and blank lines among them."""
     path = _fresh(spark)
     docs(spark, sf, "event").selectExpr(
-        """CASE WHEN rid % 101 = 0 THEN '{"broken": ' WHEN rid % 103 = 0 THEN '  ' ELSE doc END AS value"""
+        """CASE WHEN rid % 101 = 0 THEN '{"broken": ' WHEN rid % 103 = 0 THEN ' \t ' ELSE doc END AS value"""
     ).write.text(path)
     parsed = IO.read_lines(spark, path)
     return parsed.groupBy(F.when(F.col("v").isNotNull(), "record").otherwise("corrupt").alias("outcome")).agg(
@@ -213,12 +213,12 @@ def homogeneous_paths(spark, sf):
     "null_coercion",
     with_parts(*cells_of("event"))
     + """, numeric AS (SELECT path FROM cells GROUP BY path HAVING bool_and(dtype IN ('num', 'null')) AND bool_or(dtype = 'num'))
-SELECT path, dtype, count(*) AS n FROM cells WHERE NOT (dtype = 'null' AND path IN (SELECT path FROM numeric)) AND rid % 13 <> 0
-GROUP BY path, dtype""".replace("FROM cells GROUP BY path HAVING", "FROM cells WHERE rid % 13 <> 0 GROUP BY path HAVING"),
+SELECT path, dtype, count(*) AS n FROM cells WHERE NOT (dtype = 'null' AND path IN (SELECT path FROM numeric))
+GROUP BY path, dtype""",
 )
 def null_coercion(spark, sf):
-    """Nulls of numeric fields counted as absent, on the documents without text values."""
-    kept = C.numeric_null_as_missing(cells(spark, sf, "event").filter("rid % 13 <> 0"))
+    """Nulls of numeric fields counted as absent."""
+    kept = C.numeric_null_as_missing(cells(spark, sf, "event"))
     return kept.groupBy("path", "dtype").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -400,14 +400,14 @@ def split_to_array(spark, sf):
 
 @query(
     "literal_to_json",
-    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"' || event_type || '"'
-  WHEN 2 THEN '{"k": ' || user_id || ', "on": false}' WHEN 3 THEN '"plain ' || event_type || '"' ELSE '' || user_id END AS json FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 35 = 0 THEN '"1e999"' WHEN event_id % 5 = 0 THEN 'true' WHEN event_id % 5 = 1 THEN '"' || event_type || '"'
+  WHEN event_id % 5 = 2 THEN '{"k": ' || user_id || ', "on": false}' WHEN event_id % 5 = 3 THEN '"plain ' || event_type || '"' ELSE '' || user_id END AS json FROM events""",
 )
 def literal_to_json(spark, sf):
     """Attribute texts in Python notation, derived from the events."""
     text = F.expr(
-        """CASE event_id % 5 WHEN 0 THEN 'True' WHEN 1 THEN concat("u'", event_type, "'")
-           WHEN 2 THEN concat("{'k': ", user_id, ", 'on': False}") WHEN 3 THEN concat('plain ', event_type)
+        """CASE WHEN event_id % 35 = 0 THEN '1e999' WHEN event_id % 5 = 0 THEN 'True' WHEN event_id % 5 = 1 THEN concat("u'", event_type, "'")
+           WHEN event_id % 5 = 2 THEN concat("{'k': ", user_id, ", 'on': False}") WHEN event_id % 5 = 3 THEN concat('plain ', event_type)
            ELSE cast(user_id AS string) END"""
     )
     return table(spark, sf, "events").select("event_id", K.literal_to_json(text).alias("json"))

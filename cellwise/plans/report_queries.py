@@ -30,12 +30,16 @@ SCORES = {
     "detection_roc_auc": "min(o_totalprice) / 1000.0",
     "privacy_dcr_score": "max(o_totalprice) / 10000.0",
     "utility": "avg(CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE))",
+    "privacy_exact_matches_train": "sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)",
+    "privacy_exact_matches_train_only": "sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)",
+    "num_train": "count(*)",
 }
+MODE = "CASE WHEN o_orderkey % 7 < 3 THEN 'dcr' ELSE 'base' END"
 METRICS_SQL = (
     "metrics AS ("
     + " UNION ALL ".join(
-        f"""SELECT 'set' || (o_custkey % 4) AS dataset, o_orderpriority AS model, 'base' AS mode, CAST(o_orderkey % 3 + 1 AS INTEGER) AS replicate,
-  '{name}' AS metric, CAST({expr} AS DOUBLE) AS value FROM orders GROUP BY o_custkey % 4, o_orderpriority, o_orderkey % 3"""
+        f"""SELECT 'set' || (o_custkey % 4) AS dataset, o_orderpriority AS model, {MODE} AS mode, CAST(o_orderkey % 3 + 1 AS INTEGER) AS replicate,
+  '{name}' AS metric, CAST({expr} AS DOUBLE) AS value FROM orders GROUP BY o_custkey % 4, o_orderpriority, {MODE}, o_orderkey % 3"""
         for name, expr in SCORES.items()
     )
     + ")"
@@ -51,7 +55,7 @@ def metrics_table(spark, sf):
         .selectExpr(
             "concat('set', o_custkey % 4) AS dataset",
             "o_orderpriority AS model",
-            "'base' AS mode",
+            f"{MODE} AS mode",
             "cast(o_orderkey % 3 + 1 AS int) AS replicate",
             "o_totalprice",
             "o_orderstatus",
@@ -65,12 +69,13 @@ def metrics_table(spark, sf):
 @query(
     "aggregate_replicates",
     with_parts(METRICS_SQL, AGG_SQL)
-    + """SELECT dataset, model, metric, round(mean, 6) AS mean, round(std, 6) AS std, len(vals) AS n_values, round(vals[1], 6) AS first_value FROM agg""",
+    + """SELECT dataset, mode, model, metric, round(mean, 6) AS mean, round(std, 6) AS std, len(vals) AS n_values,
+  list_aggregate(list_transform(vals, lambda v: CAST(round(v, 3) AS DECIMAL(30, 3))::VARCHAR), 'string_agg', ',') AS all_values FROM agg""",
 )
 def aggregate_replicates(spark, sf):
     return O.aggregate_replicates(metrics_table(spark, sf)).select(
-        "dataset", "model", "metric", r6("mean"), r6("std"), F.size("values").cast("bigint").alias("n_values"),
-        F.round(F.col("values")[0], 6).alias("first_value"),
+        "dataset", "mode", "model", "metric", r6("mean"), r6("std"), F.size("values").cast("bigint").alias("n_values"),
+        F.array_join(F.transform("values", lambda v: F.round(v, 3).cast("decimal(30,3)").cast("string")), ",").alias("all_values"),
     )
 
 
@@ -88,12 +93,12 @@ def replicate_counts(spark, sf):
 @query(
     "leaderboard",
     with_parts(METRICS_SQL, AGG_SQL)
-    + """SELECT dataset, model, metric, round(mean, 6) AS mean,
-  metric <> 'privacy_dcr_score' AND rank() OVER (PARTITION BY dataset, mode, metric
-    ORDER BY mean * CASE WHEN metric = 'detection_roc_auc' THEN -1 ELSE 1 END DESC) = 1 AS is_best FROM agg""",
+    + """SELECT dataset, mode, model, metric, round(mean, 6) AS mean,
+  metric NOT IN ('privacy_dcr_score', 'privacy_exact_matches_train_only', 'num_train') AND rank() OVER (PARTITION BY dataset, mode, metric
+    ORDER BY mean * CASE WHEN metric IN ('detection_roc_auc', 'privacy_exact_matches_train') THEN -1 ELSE 1 END DESC) = 1 AS is_best FROM agg""",
 )
 def leaderboard(spark, sf):
-    return O.leaderboard(O.aggregate_replicates(metrics_table(spark, sf))).select("dataset", "model", "metric", r6("mean"), "is_best")
+    return O.leaderboard(O.aggregate_replicates(metrics_table(spark, sf))).select("dataset", "mode", "model", "metric", r6("mean"), "is_best")
 
 
 FAILED = "dataset = 'set0' AND model = '5-LOW'"
@@ -102,11 +107,11 @@ FAILED = "dataset = 'set0' AND model = '5-LOW'"
 @query(
     "leaderboard_wide",
     with_parts(METRICS_SQL, AGG_SQL)
-    + "SELECT dataset, metric, "
+    + "SELECT dataset, mode, metric, "
     + ", ".join(
         f"coalesce(max(CASE WHEN {FAILED} THEN 'OOM' ELSE printf('%.3f', mean) END) FILTER (model = '{m}'), '-') AS \"{m}\"" for m in MODELS
     )
-    + " FROM agg GROUP BY dataset, metric",
+    + " FROM agg GROUP BY dataset, mode, metric",
 )
 def leaderboard_wide(spark, sf):
     base = metrics_table(spark, sf)
@@ -128,22 +133,22 @@ def metrics_sink(spark, sf):
 @query(
     "result_scan",
     with_parts(METRICS_SQL)
-    + "SELECT dataset, model, metric, round(avg(value), 6) AS mean FROM metrics WHERE dataset = 'set1' GROUP BY dataset, model, metric",
+    + "SELECT dataset, mode, model, metric, round(avg(value), 6) AS mean FROM metrics WHERE dataset = 'set1' GROUP BY dataset, mode, model, metric",
 )
 def result_scan(spark, sf):
     """One data set's folders are read, the others are pruned by their names."""
     kept = _written(spark, sf).filter("dataset = 'set1'")
-    return O.aggregate_replicates(kept).select("dataset", "model", "metric", r6("mean"))
+    return O.aggregate_replicates(kept).select("dataset", "mode", "model", "metric", r6("mean"))
 
 
-RUNS = """SELECT o_orderkey % 5000 AS id, lower(replace(o_orderpriority, ' ', '')) || '-' || CASE WHEN o_orderkey % 2 = 0 THEN 'forest' ELSE 'x' END
+RUNS = """SELECT o_orderkey AS id, lower(replace(o_orderpriority, ' ', '')) || '-' || CASE WHEN o_orderkey % 2 = 0 THEN 'forest' ELSE 'x' END
   || CASE WHEN o_orderkey % 5 = 0 THEN '-dcr' ELSE '' END AS name,
   CASE WHEN o_orderkey % 11 = 0 THEN '-' WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS utility FROM orders"""
 
 
 @query(
     "run_metrics",
-    f"""WITH runs AS (SELECT DISTINCT id, name, utility FROM ({RUNS.replace('FROM orders', 'FROM orders WHERE o_orderkey < 5000')}))
+    f"""WITH runs AS (SELECT DISTINCT id, name, utility FROM ({RUNS}))
 SELECT id, CASE WHEN name LIKE '1-urgent%' THEN 'urgent' WHEN name LIKE '5-low%' THEN 'low' END AS dataset,
   CASE WHEN contains(name, 'forest') THEN 'forest' ELSE 'plain' END AS model, CASE WHEN contains(name, 'dcr') THEN 'dcr' ELSE 'base' END AS mode,
   'utility' AS metric, CAST(utility AS DOUBLE) AS value
@@ -151,8 +156,8 @@ FROM runs WHERE (name LIKE '1-urgent%' OR name LIKE '5-low%') AND utility NOT IN
 )
 def run_metrics(spark, sf):
     """Run names told apart; every run id occurs once or twice with the same row."""
-    base = table(spark, sf, "orders").filter("o_orderkey < 5000").selectExpr(
-        "o_orderkey % 5000 AS id",
+    base = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS id",
         """concat(lower(replace(o_orderpriority, ' ', '')), '-', CASE WHEN o_orderkey % 2 = 0 THEN 'forest' ELSE 'x' END,
            CASE WHEN o_orderkey % 5 = 0 THEN '-dcr' ELSE '' END) AS name""",
         "CASE WHEN o_orderkey % 11 = 0 THEN '-' WHEN o_orderkey % 13 = 0 THEN '' ELSE cast(o_custkey AS string) END AS utility",

@@ -31,13 +31,15 @@ def build_session(app: str = "cellwise", master: str | None = None, **extra: str
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings the operators rely on to a session made elsewhere."""
-    for key in (
-        "spark.sql.session.timeZone",
-        "spark.sql.variant.allowDuplicateKeys",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize",
-    ):
+    """Apply the run-time settings the operators rely on to a session made elsewhere.
+
+    Results depend on the first two. The partition size is a preference: what the session's maker
+    has set is kept."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys"):
         spark.conf.set(key, SETTINGS[key])
+    preferred = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    if not spark.sparkContext.getConf().contains(preferred):
+        spark.conf.set(preferred, SETTINGS[preferred])
     return spark
 
 

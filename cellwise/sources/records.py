@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of JSON files with their parse result: ``line``, ``v`` (NULL when malformed), ``file``.
 
-    Blank lines are skipped."""
+    Lines of white space alone are skipped."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    return lines.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
+    return lines.filter(F.col("line").rlike(r"\S")).withColumn("v", F.try_parse_json("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -27,9 +28,15 @@ def write_jsonl(records: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def prepare_splits(records: DataFrame, path: str) -> DataFrame:
-    """Write records once, partitioned by split; an existing prepared folder is kept."""
-    records.write.mode("ignore").partitionBy("split").parquet(path)
-    return records.sparkSession.read.parquet(path)
+    """Write records once, partitioned by split; a folder that an earlier call completed is kept.
+
+    A folder without the success mark of its writer is left over from a failed write and replaced."""
+    spark = records.sparkSession
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").isEmpty()
+    except AnalysisException:
+        records.write.mode("overwrite").partitionBy("split").parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_replicates(spark: SparkSession, folder: str, stem: str = "synthetic") -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwise.session import materialize
+
 SLICE_BYTES = 2 << 20
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_WORD = np.ones(256, bool)
@@ -146,9 +148,18 @@ def bucketed(df: DataFrame, key: str, buckets: int | None = None, spread: bool =
     return spark.table(name)
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """Adds ``row_``, a number that is unique even if ids repeat or are null; write the result before use."""
-    return docs.withColumn("row_", F.monotonically_increasing_id())
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number per row (unique even if ids repeat or are null), and that column's name."""
+    row = fresh(docs.columns, "row_")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
@@ -157,3 +168,8 @@ def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -
         now = spark.conf.get(key).rstrip("bB")
         if not (now.isdigit() and 0 < int(now) <= bound):
             spark.conf.set(key, str(bound))
+
+
+def bucket_bits(chunks: int, per_bucket: int = 1) -> int:
+    """Bits of a hash that name a bucket: about one bucket for ``per_bucket`` chunks, 64 to 65,536 of them."""
+    return min(16, max(6, (max(1, chunks // per_bucket) - 1).bit_length()))

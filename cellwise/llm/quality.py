@@ -19,6 +19,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.llm.common import numbered
 from cellwise.session import materialize
 
 SEPARATORS = " \t\n\x0b\f\r"
@@ -148,6 +149,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that ``judge`` keeps, unchanged."""
-    keyed = materialize(docs.withColumn("row_", F.monotonically_increasing_id()))
-    kept = judge(keyed, "row_").where("kept").select(F.col("doc_id").alias("keep_"))
-    return keyed.join(kept, keyed["row_"] == kept["keep_"], "left_semi").drop("row_")
+    keyed, row = numbered(docs)
+    kept = judge(keyed, row).where("kept").select(F.col("doc_id").alias("keep_"))
+    return keyed.join(kept, keyed[row] == kept["keep_"], "left_semi").drop(row)

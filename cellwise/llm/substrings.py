@@ -16,7 +16,7 @@ Windows are told apart by 128 bits (64 of the minimizer, 64 of the window or pie
 
 Edge cases: a null text has no words (its row stays, with a null text); texts shorter than the window
 keep all words; repeated rows count as separate documents, so their passages repeat; ids may be null;
-an empty table gives no rows; input columns with any name pass through (``row_`` is replaced).
+an empty table gives no rows; input columns with any other name than those it adds pass through.
 """
 
 from __future__ import annotations
@@ -149,8 +149,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text
     With ``verbatim``, a text that loses no word stays as it is.
     """
     small_batches(docs.sparkSession)
-    others = [docs[c] for c in docs.columns if c not in (text_col, "kept_", "n_words_", "n_removed_")]
-    source = docs.select(F.monotonically_increasing_id().alias("row_"), F.struct(F.lit(True).alias("row_"), *others).alias("rest_"), docs[text_col].alias("text"))
+    others = [c for c in docs.columns if c not in (text_col, "kept_", "n_words_", "n_removed_")]
+    rest = F.struct(F.lit(True).alias("_"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
+    source = docs.select(F.monotonically_increasing_id().alias("row_"), rest.alias("rest_"), docs[text_col].alias("text"))
     stored = bucketed(source, "row_")
     texts = stored.select("row_", "text")
     found = materialize(texts.mapInArrow(lambda it: _emit_pieces(it, window, kmer), "minimizer bigint, piece bigint, row_ bigint, start int, windows tinyint"))
@@ -176,7 +177,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text
     ready = stored.join(marks, "row_", "left").select("rest_", "text", F.coalesce("marks", none).alias("marks"))
     schema = T.StructType([T.StructField("rest_", stored.schema["rest_"].dataType)]).add("kept_", "string").add("n_words_", "long").add("n_removed_", "long")
     cut = ready.mapInArrow(lambda it: _cut(it, window, verbatim), schema)
-    return cut.select(*[F.col("rest_").getField(c.name).alias(c.name) for c in schema["rest_"].dataType.fields[1:]], "kept_", "n_words_", "n_removed_")
+    return cut.select(*[F.col("rest_").getField(f"c{i}").alias(c) for i, c in enumerate(others)], "kept_", "n_words_", "n_removed_")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 1. Over a bounded sample of labelled documents, Spark counts in how many toxic and clean texts each
-   word form occurs: the lower-cased word, and its first four and five bytes. Forms that lean to toxic
+   word form occurs: the lower-cased word, and its first four to eight bytes. Forms that lean to toxic
    texts, at most ``LEXICON`` of them, become the lexicon; a token's observation is the strength class
    of its strongest form, or none.
 2. Tokens of toxic texts with such a form are labelled toxic, all others clean. A two-state chain with
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import lowered, signed, slices, small_batches, utf8, word_hashes, word_spans
+from cellwise.llm.common import lowered, numbered, signed, slices, small_batches, utf8, word_hashes, word_spans
 from cellwise.session import materialize
 
 SAMPLE = 24_000  # labelled documents the model is fitted on, at most
@@ -34,7 +34,7 @@ LEXICON = 4_096  # word forms, at most
 WINDOWS = 6_000  # token windows for the chain, at most
 WINDOW = 48
 CLASSES = 6  # 0: no form
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}"]] = True
@@ -250,6 +250,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, unchanged."""
-    numbered = materialize(docs.withColumn("row_", F.monotonically_increasing_id()))
-    bad = score(numbered, chain, "row_").where(F.col("score") >= threshold).select(F.col("doc_id").alias("bad_"))
-    return numbered.join(bad, numbered["row_"] == bad["bad_"], "left_anti").select(*[numbered[c] for c in docs.columns])
+    keyed, row = numbered(docs)
+    bad = score(keyed, chain, row).where(F.col("score") >= threshold).select(F.col("doc_id").alias("bad_"))
+    return keyed.join(bad, keyed[row] == bad["bad_"], "left_anti").drop(row)

@@ -1,7 +1,7 @@
 """BPE encoding by a table of distinct words, and decoding by a join of ids with their pieces.
 
 1. Tasks split whole texts into words and gather chunks of documents of bounded size. A chunk holds
-   its distinct words once, dealt into buckets by hash, and each document as word numbers. Chunks are
+   its distinct words once, in order of their hashes, and each document as word numbers. Chunks are
    written as a table bucketed by chunk, so texts and word numbers are not shuffled again.
 2. The chunks' words meet by bucket: each distinct word is encoded once, and a reply with its ids goes
    back to the chunks that hold it. A frequent word is one entry per chunk, however often it occurs.
@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.llm import tokens
-from cellwise.llm.common import bucketed, slices, small_batches, utf8, word_hashes
+from cellwise.llm.common import bucket_bits, bucketed, slices, small_batches, utf8, word_hashes
 
 CHUNK_BYTES = 8 << 20
-BUCKETS = 256
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -63,8 +62,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         renumber = coded.indices.to_numpy(zero_copy_only=False)
         words = coded.dictionary
         data, at = utf8(words)
-        bucket = (word_hashes(data, at[:-1], at[1:]) % np.uint64(BUCKETS)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(word_hashes(data, at[:-1], at[1:]), kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         base, index, counts, ids = 0, [], [], []
@@ -80,15 +78,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             np.concatenate(counts).astype("<i4"),
             np.concatenate(index).astype("<i4"),
         )
-        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        sorted_words = words.take(pa.array(order))
-        blocks = []
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            raw, spots = utf8(sorted_words.slice(low, high - low))
-            blocks.append(_pack(np.diff(spots).astype("<i4"), raw))
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([docs], pa.binary()), pa.array([blocks], pa.list_(pa.binary()))], names=["chunk", "docs", "words"]
-        )
+        raw, spots = utf8(words.take(pa.array(order)))
+        packed = _pack(np.diff(spots).astype("<i4"), raw)
+        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "docs", "words"])
         held, size, number = [], 0, number + 1
         return out
 
@@ -104,6 +96,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield closed()
 
 
+def _deal_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's words, which are in order of their hashes, as one block per bucket (the hashes' high bits)."""
+    buckets = 1 << bits
+    for batch in batches:
+        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            lengths, raw = _unpack(packed, "<i4", "u1")
+            spots = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+            hashes = word_hashes(raw, spots[:-1], spots[1:])
+            edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(buckets + 1)).tolist()
+            blocks = [_pack(lengths[a:b], raw[spots[a] : spots[b]]) for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array(blocks, pa.binary())], names=["chunk", "bucket", "block"])
+
+
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocabulary = tokens.load(path)
     cache: dict[bytes, list[int]] = {}  # this task's share of the distinct words
@@ -172,10 +177,11 @@ def _resolved(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     """One row per chunk: its documents as word numbers, and the replies with the ids of its words."""
     small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = bucketed(picked.mapInArrow(lambda it: _chunks(it, path), "chunk bigint, docs binary, words array<binary>"), "chunk", spread=False)
-    asked = chunks.select("chunk", F.posexplode("words").alias("bucket", "block"))
+    chunks = bucketed(picked.mapInArrow(lambda it: _chunks(it, path), "chunk bigint, docs binary, words binary"), "chunk", spread=False)
+    bits = bucket_bits(chunks.count(), 4)
+    asked = chunks.select("chunk", "words").mapInArrow(lambda it: _deal_words(it, bits), "chunk bigint, bucket int, block binary")
     replies = asked.repartition("bucket").mapInArrow(lambda it: _encode_words(it, path), "chunk bigint, bucket int, reply binary")
-    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))  # BUCKETS rows a chunk
+    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))  # as many rows a chunk as there are buckets
     return chunks.select("chunk", "docs").join(gathered, "chunk").select("docs", "replies")
 
 

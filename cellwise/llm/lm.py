@@ -32,11 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.llm.bpe import _pack, _unpack
-from cellwise.llm.common import bucketed, lowered, mix, slices, small_batches, utf8, word_hashes, word_spans
+from cellwise.llm.common import bucket_bits, bucketed, lowered, mix, slices, small_batches, utf8, word_hashes, word_spans
 from cellwise.session import materialize
 
 ORDER = 2
-BUCKETS = 128
 CHUNK_WORDS = 1 << 20
 PRIORS = (0.5, 2.0, 8.0, 32.0, 128.0, 1024.0, 1e9)  # the last one is the base alone
 END = np.uint64(0x5851F42D4C957F2D)  # an end token, unlike any word
@@ -123,16 +122,17 @@ def _open(docs: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, tuple]:
     return ids, absent, (counts.astype(np.int64), numbers, held, np.frombuffer(names, np.uint64))
 
 
-def _ask(batches: Iterator[pa.RecordBatch], orders: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], orders: int, bits: int) -> Iterator[pa.RecordBatch]:
+    buckets = 1 << bits
     for batch in batches:
         for chunk, docs, names in zip(batch.column("chunk").to_pylist(), batch.column("docs"), batch.column("names"), strict=True):
             _, _, opened = _open(docs.as_py(), names.as_py())
             for order, keys, counts in _requests(opened, orders):
                 # keys are sorted: a bucket is a range of their high bits
-                edges = np.searchsorted(keys >> np.uint64(57), np.arange(BUCKETS + 1))
+                edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(buckets + 1))
                 blocks = [_pack(keys[a:b], counts[a:b].astype("<u4")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * BUCKETS, pa.int64()), pa.array([order] * BUCKETS, pa.int32()), pa.array(range(BUCKETS), pa.int32()), pa.array(blocks, pa.binary())],
+                    [pa.array([chunk] * buckets, pa.int64()), pa.array([order] * buckets, pa.int32()), pa.array(range(buckets), pa.int32()), pa.array(blocks, pa.binary())],
                     names=["chunk", "order", "bucket", "block"],
                 )
 
@@ -219,12 +219,13 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, priors: tuple[float
     small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     chunks = bucketed(picked.mapInArrow(_chunks, "chunk bigint, docs binary, names binary"), "chunk", spread=False)
-    asked = chunks.mapInArrow(lambda it: _ask(it, order), "chunk bigint, order int, bucket int, block binary")
+    bits = bucket_bits(chunks.count())  # more chunks, more buckets: what one bucket adds up stays about as large
+    asked = chunks.mapInArrow(lambda it: _ask(it, order, bits), "chunk bigint, order int, bucket int, block binary")
     spread = asked.repartition("order", "bucket").sortWithinPartitions("order", "bucket", "chunk")
     replies = materialize(spread.mapInArrow(_add_up, "chunk bigint, order int, bucket int, reply binary, total bigint, kinds bigint"))
     sums = replies.where(F.col("order") == 1).agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = sums[0] or 0, sums[1] or 0
-    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("order", "bucket", "reply")).alias("replies"))  # a fixed number a chunk
+    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("order", "bucket", "reply")).alias("replies"))  # orders x buckets rows a chunk
     ready = chunks.join(gathered, "chunk").select("docs", "names", "replies")
     scored = ready.mapInArrow(
         lambda it: _traverse(it, order, total, kinds, priors),

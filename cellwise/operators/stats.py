@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from cellwise.session import materialize
 
-# Largest plan size (bytes, optimizer estimate) whose groups are windowed in one task each.
-ONE_TASK_BYTES = 256 * 1024 * 1024
-
 
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; exact file sizes for a frame read from a table."""
@@ -60,30 +57,15 @@ def paired_counts(
 
 
 def running_totals(
-    counts: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    sums: Sequence[str],
-    next_value: bool = False,
-    one_task_bytes: int | None = None,
+    counts: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], next_value: bool = False
 ) -> DataFrame:
     """Add ``cum_<c>``: sum of ``c`` over all rows of the key up to this one, by ``order``.
 
-    Small inputs use one window per key. Beyond the size limit the rows are
-    range-partitioned by (key, order) and written once; each range is summed on its
-    own and lifted by the total of the ranges before it, so a key holding most rows
-    is spread over many tasks. ``next_value`` adds ``next_<order>``.
+    Rows are range-partitioned by (key, order) and written once; each range is summed on its own and
+    lifted by the total of the ranges before it, so a key holding most rows is spread over many tasks.
+    ``next_value`` adds ``next_<order>``.
     """
     keys = list(keys)
-    limit = ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes
-    if plan_bytes(counts) <= limit:
-        whole = Window.partitionBy(*keys).orderBy(order)
-        running = whole.rowsBetween(Window.unboundedPreceding, 0)
-        out = counts.select("*", *[F.sum(c).over(running).alias(f"cum_{c}") for c in sums])
-        if next_value:
-            out = out.withColumn(f"next_{order}", F.lead(order).over(whole))
-        return out
-
     ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(
         counts.repartitionByRange(ranges, *keys, order).withColumn("range_id", F.spark_partition_id())
@@ -135,24 +117,24 @@ def tv_complement(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cdf_gaps(counts: DataFrame, keys: Sequence[str], order: str = "x", **options) -> DataFrame:
+def cdf_gaps(counts: DataFrame, keys: Sequence[str], order: str = "x", next_value: bool = False) -> DataFrame:
     """Both cumulative shares at every distinct value, per key."""
     keys = list(keys)
-    running = running_totals(counts, keys, order, ["n_real", "n_synth"], **options)
+    running = running_totals(counts, keys, order, ["n_real", "n_synth"], next_value)
     return running.join(side_totals(counts, keys), keys).select(
         *keys,
         order,
-        *([f"next_{order}"] if options.get("next_value") else []),
+        *([f"next_{order}"] if next_value else []),
         "t_real",
         "t_synth",
         (share("cum_n_real", "t_real") - share("cum_n_synth", "t_synth")).alias("gap"),
     )
 
 
-def ks_complement(counts: DataFrame, keys: Sequence[str], order: str = "x", **options) -> DataFrame:
+def ks_complement(counts: DataFrame, keys: Sequence[str], order: str = "x") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov complement per key; a side without rows scores 0."""
     return (
-        cdf_gaps(counts, keys, order, **options)
+        cdf_gaps(counts, keys, order)
         .groupBy(*keys)
         .agg(
             F.max("t_real").alias("t_real"),
@@ -162,12 +144,12 @@ def ks_complement(counts: DataFrame, keys: Sequence[str], order: str = "x", **op
     )
 
 
-def wasserstein(counts: DataFrame, keys: Sequence[str], order: str = "x", **options) -> DataFrame:
+def wasserstein(counts: DataFrame, keys: Sequence[str], order: str = "x") -> DataFrame:
     """Wasserstein-1 distance per key (area between the cumulative shares), with the
     mean and population standard deviation of both sides."""
     keys = list(keys)
     area = (
-        cdf_gaps(counts, keys, order, next_value=True, **options)
+        cdf_gaps(counts, keys, order, next_value=True)
         .groupBy(*keys)
         .agg(F.coalesce(F.sum(F.abs("gap") * (F.col(f"next_{order}") - F.col(order))), F.lit(0.0)).alias("wasserstein"))
     )
@@ -195,7 +177,7 @@ def wasserstein(counts: DataFrame, keys: Sequence[str], order: str = "x", **opti
     )
 
 
-def roc_auc(scored: DataFrame, keys: Sequence[str], score: str, positive: Column, **options) -> DataFrame:
+def roc_auc(scored: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
     """Exact area under the ROC curve per key (rank statistic, ties count one half).
 
     Only distinct scores are sorted. A key with a single class gives NULL."""
@@ -203,10 +185,10 @@ def roc_auc(scored: DataFrame, keys: Sequence[str], score: str, positive: Column
     counts = scored.groupBy(*keys, F.col(score).alias("x")).agg(
         F.count_if(positive).alias("n_pos"), F.count_if(~positive).alias("n_neg")
     )
-    running = running_totals(counts, keys or ["n_all"], "x", ["n_neg"], **options) if keys else None
+    running = running_totals(counts, keys or ["n_all"], "x", ["n_neg"]) if keys else None
     if running is None:
         counts = counts.withColumn("n_all", F.lit(0))
-        running = running_totals(counts, ["n_all"], "x", ["n_neg"], **options)
+        running = running_totals(counts, ["n_all"], "x", ["n_neg"])
     wins = F.sum(F.col("n_pos") * (F.col("cum_n_neg") - F.col("n_neg") / F.lit(2.0)))
     pairs = F.sum("n_pos").cast("double") * F.sum("n_neg").cast("double")
     return running.groupBy(*keys).agg(F.when(pairs > 0, wins / pairs).alias("roc_auc"))
@@ -295,12 +277,12 @@ def roc_auc_one_vs_rest(probabilities: DataFrame, label: str, classes: Sequence[
     )
 
 
-def exact_quantile(rows: DataFrame, column: str, q: float, **options) -> DataFrame:
+def exact_quantile(rows: DataFrame, column: str, q: float) -> DataFrame:
     """One row: quantile with linear interpolation, from running counts of distinct values."""
     counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("x"), F.lit(0).alias("one")).agg(
         F.count(F.lit(1)).alias("m")
     )
-    running = running_totals(counts, ["one"], "x", ["m"], **options)
+    running = running_totals(counts, ["one"], "x", ["m"])
     place = (counts.agg(F.sum("m").alias("n")).scalar() - 1) * F.lit(q)
     low = F.min(F.when(F.col("cum_m") >= F.floor(place) + 1, F.col("x")))
     high = F.min(F.when(F.col("cum_m") >= F.ceil(place) + 1, F.col("x")))

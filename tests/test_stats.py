@@ -1,4 +1,4 @@
-"""Two-sample statistics against brute force, on both execution routes."""
+"""Two-sample statistics against brute force."""
 
 import random
 
@@ -29,24 +29,21 @@ def brute(rows, key):
     return 1 - np.abs(f - g).max(), float(np.sum(np.abs(f - g)[:-1] * np.diff(x)))
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_ks_and_wasserstein(counts, limit):
-    """A limit of 0 bytes forces the range-partitioned route."""
+def test_ks_and_wasserstein(counts):
     df, rows = counts
-    ks = {r["k"]: r["score"] for r in T.ks_complement(df, ["k"], one_task_bytes=limit).collect()}
-    w1 = {r["k"]: r["wasserstein"] for r in T.wasserstein(df, ["k"], one_task_bytes=limit).collect()}
+    ks = {r["k"]: r["score"] for r in T.ks_complement(df, ["k"]).collect()}
+    w1 = {r["k"]: r["wasserstein"] for r in T.wasserstein(df, ["k"]).collect()}
     for key in ("hot", "cold"):
         want_ks, want_w1 = brute(rows, key)
         assert ks[key] == pytest.approx(want_ks)
         assert w1[key] == pytest.approx(want_w1)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_quantile(spark, limit):
+def test_quantile(spark):
     xs = [float(x) for x in np.random.default_rng(0).normal(size=501).round(2)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for q in (0.0, 0.35, 0.65, 1.0):
-        got = T.exact_quantile(df, "x", q, one_task_bytes=limit).first()["quantile"]
+        got = T.exact_quantile(df, "x", q).first()["quantile"]
         assert got == pytest.approx(float(np.quantile(xs, q)))
 
 

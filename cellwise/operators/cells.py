@@ -75,6 +75,7 @@ def explode_paths(
 def type_cells(paths: DataFrame, keys: Sequence[str] = KEYS, with_json: bool = False) -> DataFrame:
     """Give every path its dtype and put its value in the column of that type."""
     text = F.try_variant_get("v", "$", "string")
+    # whole numbers that a double may not tell from their neighbours keep their text beside it
     base = paths.withColumn("dtype", cell_dtype(F.col("v")))
     cols = [
         *keys,
@@ -86,6 +87,7 @@ def type_cells(paths: DataFrame, keys: Sequence[str] = KEYS, with_json: bool = F
         F.when(F.col("dtype") == "date", try_timestamp(text)).alias("date"),
         F.when(F.col("dtype") == "bool", F.try_variant_get("v", "$", "boolean")).alias("bool"),
         F.when(F.col("dtype") == "array", F.size(F.expr("try_cast(v AS array<variant>)"))).alias("alen"),
+        F.when((F.col("dtype") == "num") & F.to_json("v").rlike("^-?[0-9]{16,}$"), F.to_json("v")).alias("whole"),
     ]
     if with_json:
         cols.append(F.to_json("v").alias("json"))
@@ -123,14 +125,16 @@ def numeric_null_as_missing(cells: DataFrame) -> DataFrame:
 def typed_view(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cells as (field, typed column, value) rows: one ``dtype`` row per cell and one
     row for its value when there is one. Numbers, dates (epoch microseconds) and
-    lengths are in ``x``; categories, dtypes and booleans are in ``s``."""
+    lengths are in ``x``; categories, dtypes and booleans are in ``s``, and so is the exact text of
+    a whole number of 16 digits or more."""
     empty_x, empty_s = F.lit(None).cast("double"), F.lit(None).cast("string")
     value = (
         F.when(F.col("dtype") == "num", F.col("num"))
         .when(F.col("dtype") == "date", F.unix_micros("date").cast("double"))
         .when(F.col("dtype") == "array", F.col("alen").cast("double"))
     )
-    label = F.when(F.col("dtype") == "cat", F.col("cat")).when(F.col("dtype") == "bool", python_bool(F.col("bool")))
+    exact = F.col("whole") if "whole" in cells.columns else empty_s
+    label = F.when(F.col("dtype") == "cat", F.col("cat")).when(F.col("dtype") == "num", exact).when(F.col("dtype") == "bool", python_bool(F.col("bool")))
     rows = F.array(
         F.struct(F.lit("dtype").alias("typ"), empty_x.alias("x"), F.col("dtype").alias("s")),
         F.struct(

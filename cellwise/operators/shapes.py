@@ -72,19 +72,19 @@ def presence_fidelity(types: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def value_scores(counts: DataFrame, **options) -> DataFrame:
+def value_scores(counts: DataFrame) -> DataFrame:
     """Score of every typed value column: KS for numbers, dates and lengths, TV for the rest."""
     keys = [*FIELD, "typ"]
-    ordered = ks_complement(counts.filter(F.col("typ").isin("num", "date", "alen")), keys, **options)
+    ordered = ks_complement(counts.filter(F.col("typ").isin("num", "date", "alen")), keys)
     labelled = tv_complement(counts.filter(F.col("typ").isin("cat", "bool")), keys)
     return ordered.unionByName(labelled)
 
 
-def field_fidelity(counts: DataFrame, sizes: DataFrame, **options) -> DataFrame:
+def field_fidelity(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Score of every field: presence x type x (length for arrays, values for scalars)."""
     fields = presence_fidelity(type_counts(counts), sizes).withColumn("type_fidelity", _type_score())
     scores = (
-        value_scores(counts, **options)
+        value_scores(counts)
         .groupBy(*FIELD)
         .agg(*[F.max(F.when(F.col("typ") == t, F.col("score"))).alias(f"score_{t}") for t in (*VALUE_TYPES, "alen")])
     )

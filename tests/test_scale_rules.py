@@ -61,3 +61,16 @@ def test_a_half_written_folder_is_replaced(spark, tmp_path):
 def test_literals_stay_json(spark):
     got = spark.createDataFrame([("1e999",), ("True",), ("[1, -1e999]",)], "t string").select(literal_to_json("t").alias("j")).collect()
     assert [r.j for r in got] == ['"1e999"', "true", '"[1, -1e999]"']
+
+
+def test_long_integers_survive_type_separation(spark):
+    from cellwise.operators.cells import flatten, typed_view
+    from cellwise.operators.rebuild import merge_records, tabularize, untabularize
+
+    texts = ['{"a":9007199254740993,"b":[1,-12345678901234567890]}', '{"a":"x","b":[2.5]}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid bigint, t string")
+    records_ = docs.select("rid", F.lit("train").alias("split"), F.lit(1).alias("replicate"), F.parse_json("t").alias("v"))
+    merged = merge_records(typed_view(flatten(records_)), 3)
+    assert sorted(r["json"] for r in merged.collect()) == sorted(texts)
+    flat = tabularize(flatten(records_, leaf_only=True), 2)
+    assert sorted(r["json"] for r in untabularize(flat, 3).collect()) == sorted(texts)

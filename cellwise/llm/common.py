@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.session import materialize
+from cellwise.session import scratch_dir
 
 SLICE_BYTES = 2 << 20
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -38,7 +38,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``limit`` bytes of ``column``, one row at least."""
     _, at = utf8(batch.column(column))
     low = 0
@@ -148,18 +148,12 @@ def bucketed(df: DataFrame, key: str, buckets: int | None = None, spread: bool =
     return spark.table(name)
 
 
-def fresh(columns: list[str], name: str) -> str:
-    """``name``, lengthened until no column has it (names are compared without case)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written once with a number per row (unique even if ids repeat or are null), and that column's name."""
-    row = fresh(docs.columns, "row_")
-    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
+def stored(df: DataFrame) -> DataFrame:
+    """``materialize`` with a denser codec, for intermediate tables that hold texts or ids."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.llm import tokens
-from cellwise.llm.common import binary_column, slices, small_batches, utf8
-from cellwise.session import materialize
+from cellwise.llm.common import binary_column, slices, small_batches, stored, utf8
 
 CACHE_WORDS = 300_000
 
@@ -126,7 +125,7 @@ def pack(items: DataFrame, capacity: int = 1024, max_docs: float = float("inf"),
     """Adds ``sequence_id`` and ``offset`` to pieces (see ``pieces``); a sequence's pieces lie gapless from 0."""
     spark = items.sparkSession
     parts = 4096
-    written = materialize(items.withColumn("order_", F.monotonically_increasing_id()))
+    written = stored(items.withColumn("order_", F.monotonically_increasing_id()))
     light = written.select("length", "order_", F.pmod(F.xxhash64("order_"), F.lit(parts)).alias("part_"))
     counts = {row["length"]: row["count"] for row in light.groupBy("length").count().collect()}  # one row per length
     limits = (float(capacity), float(max_docs if max_docs != float("inf") else capacity), float(max_cost if max_cost != float("inf") else capacity**2))

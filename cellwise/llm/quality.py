@@ -19,7 +19,6 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import numbered
 from cellwise.session import materialize
 
 SEPARATORS = " \t\n\x0b\f\r"
@@ -147,8 +146,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return measured.withColumn("base_failed", failed).withColumn("quality", posterior(share, table)).withColumn("kept", ~failed & (F.col("quality") >= least))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that ``judge`` keeps, unchanged."""
-    keyed, row = numbered(docs)
-    kept = judge(keyed, row).where("kept").select(F.col("doc_id").alias("keep_"))
-    return keyed.join(kept, keyed[row] == kept["keep_"], "left_semi").drop(row)
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, unchanged.
+
+    A verdict follows from the text alone, so rows meet their verdict by 128 bits of hashes of it:
+    no copy of the texts is written, and equal texts share one verdict row.
+    """
+    def marks(column: Column) -> list[Column]:
+        return [F.xxhash64(column), F.xxhash64(F.lit(1), column, F.lit(2))]
+
+    verdicts = judge(docs.select(F.struct(*[m.alias(f"m{i}") for i, m in enumerate(marks(docs[text_col]))]).alias("doc_id"), docs[text_col].alias("text")))
+    # written, so that both sides of the join are plain exchanges and a frequent text can be split
+    kept = materialize(verdicts.where("kept").select("doc_id.*").distinct().withColumnsRenamed({"m0": "m0_", "m1": "m1_"}))
+    one, two = marks(docs[text_col])
+    return docs.join(kept, (one == kept["m0_"]) & (two == kept["m1_"]), "left_semi")

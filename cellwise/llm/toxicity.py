@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import lowered, numbered, signed, slices, small_batches, utf8, word_hashes, word_spans
+from cellwise.llm.common import lowered, signed, slices, small_batches, utf8, word_hashes, word_spans
 from cellwise.session import materialize
 
 SAMPLE = 24_000  # labelled documents the model is fitted on, at most
@@ -217,27 +217,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return Chain(names, strengths, emit, move)
 
 
+def _tag(part: pa.RecordBatch, chain: Chain, text: int) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score and offending words of each text in column ``text`` of a slice."""
+    data, at = utf8(part.column(text))
+    base = chain.plain_rate if chain.constant is None else chain.constant
+    scores, spans = np.full(len(at) - 1, base), [[] for _ in range(len(at) - 1)]
+    if chain.constant is not None:
+        return np.clip(scores, 0.0, 1.0), spans
+    forms, starts, ends, first, _ = _forms(data, at)
+    kinds = _classes(forms, chain.names, chain.strengths)
+    hits = np.flatnonzero(kinds)
+    owner = np.searchsorted(first, hits, "right") - 1
+    for i in np.unique(owner).tolist():
+        mine = hits[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
+        p = chain.marginals((mine - first[i]).tolist(), kinds[mine].tolist(), int(first[i + 1] - first[i]))
+        scores[i] = max(base, *p)
+        spans[i] = [{"start": int(starts[m] - at[i]), "length": int(ends[m] - starts[m])} for m, x in zip(mine.tolist(), p, strict=True) if x > 0.5]
+    return np.clip(scores, 0.0, 1.0), spans
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``score`` and ``spans``: words (array of start and length in bytes) whose marginal is over one half."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                data, at = utf8(part.column("text"))
-                forms, starts, ends, first, _ = _forms(data, at)
-                kinds = _classes(forms, chain.names, chain.strengths)
-                base = chain.plain_rate if chain.constant is None else chain.constant
-                scores, spans = np.full(len(at) - 1, base), [[] for _ in range(len(at) - 1)]
-                hits = np.flatnonzero(kinds)
-                owner = np.searchsorted(first, hits, "right") - 1
-                for i in np.unique(owner).tolist() if chain.constant is None else []:
-                    mine = hits[owner == i] if len(hits) < 64 else hits[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
-                    p = chain.marginals((mine - first[i]).tolist(), kinds[mine].tolist(), int(first[i + 1] - first[i]))
-                    scores[i] = max(base, *p)
-                    spans[i] = [{"start": int(starts[m] - at[i]), "length": int(ends[m] - starts[m])} for m, x in zip(mine.tolist(), p, strict=True) if x > 0.5]
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.clip(scores, 0.0, 1.0)), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+                scores, spans = _tag(part, chain, 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "doc_id bigint, score double, spans array<struct<start: bigint, length: bigint>>")
@@ -248,8 +256,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, unchanged."""
-    keyed, row = numbered(docs)
-    bad = score(keyed, chain, row).where(F.col("score") >= threshold).select(F.col("doc_id").alias("bad_"))
-    return keyed.join(bad, keyed[row] == bad["bad_"], "left_anti").drop(row)
+def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged; they pass through without a join."""
+    small_batches(docs.sparkSession)
+    text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(_tag(part, chain, text)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,8 +21,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = packing.pieces(table(spark, sf_dir, "documents"), vocabulary_path())
-    placed = packing.pack(items)
-    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(items.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ fingerprints (longer keys for more of them) and never changes the result. Inside
 tasks compare members with numpy and emit a spanning forest of the links, never all pairs; runs above
 ``RUN_LIMIT`` are dealt out as pairs of tiles. Components come from hooking and contraction over joins.
 
+``keep_one`` takes Hamming distances over 128 bits for candidates only. They meet under keys of shingle minima,
+because 34 of 128 bits leave no block choice that is selective. The components of the candidates bound where links
+can be; inside them the five-word shingle sets are compared, and only pairs of Jaccard 0.8 or more are linked.
+
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like
 any other; rows are never dropped; repeated rows and equal ids share a fingerprint and a component;
 a component without any non-null id has a null ``component_id``; an empty table gives no rows; other
@@ -26,12 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import lowered, mix, packed_words, slices, small_batches, utf8, word_spans
+from cellwise.llm.common import binaries, lowered, mix, packed_words, signed, slices, small_batches, utf8, word_spans
 from cellwise.session import materialize
 
 SEED = 42
 RUN_LIMIT = 8192
+SET_LIMIT = 2048  # documents whose shingle sets meet in one task
 BITS = 64
+BANDS, MINIMA = 30, 6  # a pair of Jaccard 0.8 shares one of the keys with probability 0.9999
+SIMILARITY = (4, 5)
+_FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, (2, BANDS * MINIMA), dtype=np.uint64) | np.uint64(1)
 
 
 def _shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,21 +88,69 @@ def _majority(hashes: np.ndarray, index: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (64 bits as BIGINT) and, for ``words`` = 2, ``more`` (64 further bits), one row per input row."""
+def _bands(hashes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Per document with shingles, ``BANDS`` keys of ``MINIMA`` minima each."""
+    heads = index[:-1][np.diff(index) > 0]
+    out = np.zeros((len(heads), BANDS), np.uint64)
+    if len(heads):
+        for i in range(BANDS * MINIMA):
+            least = np.minimum.reduceat(hashes * _FACTORS[0, i] + _FACTORS[1, i], heads)
+            out[:, i // MINIMA] = mix(out[:, i // MINIMA] ^ least ^ np.uint64(i + 1))
+    return out
+
+
+def _shingle_sets(hashes: np.ndarray, index: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per document, its different hashes in order and a hash of all of them."""
+    sets = [np.unique(hashes[a:b]) for a, b in zip(index[:-1].tolist(), index[1:].tolist(), strict=True)]
+    return sets, np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+
+
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp`` (64 bits as BIGINT), one row per input row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                hashes, index = _shingle_hashes(*utf8(part.column("text")), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), signed(_majority(hashes, index))], names=["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+
+
+def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id``, ``digest`` of the shingle set, 128 fingerprint bits (``fp``, ``more``) and ``bands``, one row per input row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 hashes, index = _shingle_hashes(*utf8(part.column("text")), size)
-                columns = [part.column("doc_id"), pa.array(_majority(hashes, index).view(np.int64))]
-                if words > 1:
-                    columns.append(pa.array(_majority(mix(hashes + np.uint64(SEED)), index).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "more"][: 1 + words])
+                keys = np.r_[0, np.cumsum((np.diff(index) > 0) * BANDS)].astype(np.int32)
+                columns = [
+                    part.column("doc_id"),
+                    signed(_shingle_sets(hashes, index)[1]),
+                    signed(_majority(hashes, index)),
+                    signed(_majority(mix(hashes + np.uint64(SEED)), index)),
+                    pa.ListArray.from_arrays(pa.array(keys), signed(_bands(hashes, index).ravel())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "more", "bands"])
+
+    schema = "doc_id bigint, digest bigint, fp bigint, more bigint, bands array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """``digest`` and ``shingles`` (sorted hashes of the set), one row per different set."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets, digests = _shingle_sets(*_shingle_hashes(*utf8(part.column("text")), size))
+                yield pa.RecordBatch.from_arrays([signed(digests), binaries([x.tobytes() for x in sets])], names=["digest", "shingles"])
 
-    schema = "doc_id bigint, fp bigint" + ", more bigint" * (words > 1)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "digest bigint, shingles binary").dropDuplicates(["digest"])
 
 
 def block_plan(distinct: int, distance: int) -> tuple[int, int]:
@@ -116,23 +172,40 @@ def _key_expressions(blocks: int, keep: int) -> list:
     return keys
 
 
-def _forest(fp: np.ndarray, more: np.ndarray | None, distance: int, total: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that span the links of one run. ``side`` keeps only links between tiles 0 and 1 in view."""
+def _forest(fp: np.ndarray, more: np.ndarray | None, distance: int, sets: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the links of one run: ``distance`` bits or fewer and, with ``sets``, a Jaccard of ``SIMILARITY`` or more."""
     n = len(fp)
-
-    def close(a, b_fp, b_more):
-        d = np.bitwise_count(fp[a] ^ b_fp)
-        ok = d <= distance
+    sizes = np.array([len(x) for x in sets]) if sets is not None else None
+
+    def alike(a, b):
+        """Which of the members ``b`` share enough shingles with ``a``."""
+        part, whole = SIMILARITY
+        near = whole * np.minimum(sizes[b], sizes[a]) >= part * np.maximum(sizes[b], sizes[a])
+        if not sizes[a]:
+            return near
+        spots = np.flatnonzero(near)
+        for low in range(0, len(spots), 256):
+            some = b[spots[low : low + 256]]
+            flat = np.concatenate([sets[x] for x in some])
+            found = sets[a][np.minimum(np.searchsorted(sets[a], flat), sizes[a] - 1)] == flat
+            common = np.add.reduceat(found, np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+            near[spots[low : low + 256]] = whole * common >= part * (sizes[some] + sizes[a] - common)
+        return near
+
+    def close(a, b):
+        d = np.bitwise_count(fp[a] ^ fp[b])
         if more is not None:
-            ok &= d.astype(np.int16) + np.bitwise_count(more[a] ^ b_more) <= total
+            d = d + np.bitwise_count(more[a] ^ more[b])
+        ok = d <= distance
+        if sets is not None and ok.any():
+            ok[ok] = alike(a, b[ok])
         return ok
 
-    if n <= 512:
+    if n <= 512 and sets is None:
         d = np.bitwise_count(fp[:, None] ^ fp[None, :])
-        ok = d <= distance
         if more is not None:
-            ok &= d.astype(np.int16) + np.bitwise_count(more[:, None] ^ more[None, :]) <= total
-        left, right = np.nonzero(np.triu(ok, 1))
+            d = d + np.bitwise_count(more[:, None] ^ more[None, :])
+        left, right = np.nonzero(np.triu(d <= distance, 1))
         if len(left) <= n:
             return left, right
     waiting, left, right = np.arange(n), [], []
@@ -140,7 +213,7 @@ def _forest(fp: np.ndarray, more: np.ndarray | None, distance: int, total: int,
         queue, waiting = [waiting[0]], waiting[1:]
         while queue and len(waiting):
             node = queue.pop(0)
-            hit = close(node, fp[waiting], more[waiting] if more is not None else None)
+            hit = close(node, waiting)
             if hit.any():
                 found = waiting[hit]
                 waiting = waiting[~hit]
@@ -152,30 +225,33 @@ def _forest(fp: np.ndarray, more: np.ndarray | None, distance: int, total: int,
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, distance: int, total: int | None = None, count: int | None = None) -> DataFrame:
-    """Pairs ``a``, ``b`` of distinct fingerprints that span all links of ``distance`` bits or fewer.
-
-    With a column ``more`` the pair must also differ in at most ``total`` of all 128 bits.
-    """
-    wide = "more" in distinct.columns
+def links(distinct: DataFrame, distance: int, count: int | None = None) -> DataFrame:
+    """Pairs ``a``, ``b`` of distinct fingerprints that span all links of ``distance`` bits or fewer."""
     blocks, keep = block_plan(distinct.count() if count is None else count, distance)
-    members = distinct.select("fp", *(["more"] if wide else []), F.explode(F.array(*_key_expressions(blocks, keep))).alias("key"))
-    sizes = members.groupBy("key").count().where(f"count > {RUN_LIMIT}").selectExpr("key", f"cast(ceil(2 * count / {RUN_LIMIT}) as int) tiles")
+    members = distinct.select("fp", F.explode(F.array(*_key_expressions(blocks, keep))).alias("key"))
+    return _linked(members, members, "fp", distance, RUN_LIMIT)
+
+
+def _linked(members: DataFrame, keyed: DataFrame, node: str, distance: int, limit: int) -> DataFrame:
+    """Pairs of nodes that span the links inside each key's run of ``members``; ``keyed`` has the same keys."""
+    wide, full = "more" in members.columns, "shingles" in members.columns
+    sizes = keyed.groupBy("key").count().where(f"count > {limit}").selectExpr("key", f"cast(ceil(2 * count / {limit}) as int) tiles")
     sizes = materialize(sizes)
     if sizes.isEmpty():
         placed = members.withColumn("pair", F.lit(0))
     else:
         # a large run is dealt out over pairs of tiles, each of bounded size
         known = members.join(sizes, "key", "left")
-        tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
+        tile = F.pmod(F.xxhash64(node), F.col("tiles"))
         spots = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(tile, t) * F.col("tiles") + F.greatest(tile, t))
         placed = known.select(*members.columns, F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(spots, lambda x: x.cast("bigint")))).alias("pair"))
-    placed = placed.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")  # the same hubs under every key
+    placed = placed.repartition("key", "pair").sortWithinPartitions("key", "pair", node)  # the same hubs under every key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def solve(table: pa.Table) -> pa.RecordBatch:
+            names = table.column(node).to_numpy()
             fp = table.column("fp").to_numpy().view(np.uint64)
             more = table.column("more").to_numpy().view(np.uint64) if wide else None
             key, pair = table.column("key").to_numpy(), table.column("pair").to_numpy()
@@ -183,13 +259,14 @@ def links(distinct: DataFrame, distance: int, total: int | None = None, count: i
             stops = np.r_[heads[1:], len(key)]
             out_a, out_b = [], []
             for low, high in zip(heads[stops - heads > 1].tolist(), stops[stops - heads > 1].tolist(), strict=True):
-                a, b = _forest(fp[low:high], more[low:high] if wide else None, distance, total or 0)
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").slice(low, high - low).to_pylist()] if full else None
+                a, b = _forest(fp[low:high], more[low:high] if wide else None, distance, sets)
                 if len(a):
-                    out_a.append(fp[low:high][a])
-                    out_b.append(fp[low:high][b])
-            a = np.concatenate(out_a) if out_a else np.zeros(0, np.uint64)
-            b = np.concatenate(out_b) if out_b else np.zeros(0, np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    out_a.append(names[low:high][a])
+                    out_b.append(names[low:high][b])
+            a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+            b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -237,27 +314,38 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle; raise rounds")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4, total: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``fp`` and ``component_id``, the smallest id linked to it directly or over others."""
-    wide = ["more"] if total is not None else []
-    rows = materialize(fingerprints(docs, size, 1 + len(wide), id_col, text_col))
-    distinct = materialize(rows.groupBy("fp", *wide).agg(F.min("doc_id").alias("low")))
-    by_fp = distinct.groupBy("fp").agg(F.min("low").alias("low"))  # equal first words are linked whatever follows
-    roots = components(links(distinct if wide else by_fp, distance, total))
+    rows = materialize(fingerprints(docs, size, id_col, text_col))
+    by_fp = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(by_fp, distance))
     known = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
     named = known.join(lowest, "root").select("fp", "component_id")
     return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, distance: int = 11, total: int = 24) -> DataFrame:
+def similar(docs: DataFrame, distinct: DataFrame, size: int, distance: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of digests that span all links of ``SIMILARITY`` or more among the candidates of ``distinct``."""
+    members = distinct.select("digest", "fp", "more", F.explode("bands").alias("key"))
+    groups = components(_linked(members, members, "digest", distance, RUN_LIMIT))
+    inside = materialize(distinct.join(groups, F.col("digest") == F.col("node")).select("digest", "fp", "more", "low", F.col("root").alias("key")))
+    wanted = inside.select(F.col("low").alias("low_")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low_")), "left_semi")
+    members = inside.select("digest", "fp", "more", "key").join(_sets(texts, size), "digest")
+    return _linked(members, inside, "digest", distance, SET_LIMIT)
+
+
+def keep_one(docs: DataFrame, size: int = 5, distance: int = 34) -> DataFrame:
     """The rows whose id is the smallest of its near-duplicate group; repeated rows of that id count as that document.
 
-    A similarity of 0.8 (Jaccard, five-word shingles) is a cosine of 0.89 between shingle sets: 9.7 of 64
-    fingerprint bits are expected to differ, 19.4 of 128, with standard deviations of 2.9 and 4. The bounds leave
-    room for that spread; the 64 further bits rule out chance meetings.
-    Rows with a null id are kept if their whole group has none.
+    Documents are linked when the Jaccard similarity of their five-word shingle sets is 0.8 or more. That is a cosine
+    of 0.89: 19.4 of 128 fingerprint bits are expected to differ, with a standard deviation of 4.1, so a bound of 34
+    leaves out about one pair in 10,000 at 0.8. Rows with a null id are kept if their whole group has none.
     """
-    groups = near_duplicates(docs, size, distance, total)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_")).distinct()
+    rows = materialize(signatures(docs, size))
+    distinct = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "more", "bands")]))
+    roots = components(similar(docs, distinct, size, distance))
+    known = distinct.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left")
+    stay = known.groupBy(F.coalesce("root", "digest")).agg(F.min("low").alias("stay_")).select("stay_").distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_"]), "left_semi")

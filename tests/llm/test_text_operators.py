@@ -140,6 +140,57 @@ def test_keep_one(docs_of):
     assert simhash.keep_one(docs_of([])).count() == 0
 
 
+def pairs_near(similarity: float, many: int, seed: int) -> tuple[list, list]:
+    """Rows of pairs with about this Jaccard of five-word shingles, and the exact similarity of each pair."""
+    rng = random.Random(seed)
+    rows, exact = [], []
+    for k in range(many):
+        n = 400
+        one = [f"w{seed}x{k}x{i}" for i in range(n)]
+        two = list(one)
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        spots = rng.sample(range(2, n, 5), n // 5)
+        jaccard = 1.0
+        for spot in spots:
+            if jaccard - 0.0125 < similarity:
+                break
+            two[spot] = "other" + two[spot]
+            a, b = shingles(one), shingles(two)
+            jaccard = len(a & b) / len(a | b)
+        exact.append(jaccard)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    return rows, exact
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.75, 0.8, 0.81, 0.85, 0.9])
+def test_keep_one_links_by_similarity(docs_of, similarity):
+    rows, exact = pairs_near(similarity, 300, int(100 * similarity))
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(rows)).select("doc_id").collect()}
+    gone = [2 * k + 1 not in kept for k in range(len(exact))]
+    assert all(2 * k in kept for k in range(len(exact)))
+    above = [g for g, j in zip(gone, exact, strict=True) if j >= 0.8]
+    below = [g for g, j in zip(gone, exact, strict=True) if j < 0.8]
+    print(f"similarity {similarity} (mean {sum(exact) / len(exact):.3f}): linked {sum(above)} of {len(above)} at 0.8 or more, {sum(below)} of {len(below)} below")
+    assert not any(below) and sum(above) >= 0.99 * len(above)
+    assert bool(above) == (similarity >= 0.8)
+
+
+def test_keep_one_in_large_runs(docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN_LIMIT", 6)
+    monkeypatch.setattr(simhash, "SET_LIMIT", 6)
+    rng, base, rows = random.Random(8), words(120, 5).split(), []
+    for i in range(60):
+        mine = list(base)
+        for spot in rng.sample(range(120), rng.randint(0, 6)):
+            mine[spot] = f"x{i}y{spot}"
+        rows.append((i, " ".join(mine)))
+    sets = [{tuple(w[i : i + 5]) for i in range(116)} for w in (t.split() for _, t in rows)]
+    root = list(range(60))
+    for _ in range(60):
+        root = [min(root[j] for j in range(60) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in range(60)]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()) == sorted(set(root))
+
+
 @pytest.mark.parametrize("distance", [1, 4, 10])
 @pytest.mark.parametrize("distinct", [10, 10**6, 10**9])
 def test_block_plan_meets_every_close_pair(distance, distinct):

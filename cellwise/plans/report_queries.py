@@ -455,13 +455,12 @@ def utility_regression(spark, sf):
 
 @query("evaluate_all")
 def evaluate_all(spark, sf):
-    """All four metric families of one replicate in one long metrics table."""
+    """All four metric families of every replicate in one long metrics table."""
     return EV.evaluate(
         records(spark, sf, "customer"),
         lambda r: flatten(r, max_depth=1),
-        (1,),
+        (1, 2, 3),
         target="segment",
-        utility_options={"trees": 10, "depth": 3},
     )
 
 

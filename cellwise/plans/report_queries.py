@@ -443,13 +443,13 @@ def feature_importances(spark, sf):
 
 @query("utility_classification")
 def utility_classification(spark, sf):
-    metrics = L.utility_metrics(*both(spark, sf, "event"), "type", trees=20, depth=4)
+    metrics = L.utility_metrics(*both(spark, sf, "event"), "type")
     return L.score_from_metrics(metrics)
 
 
 @query("utility_regression")
 def utility_regression(spark, sf):
-    metrics = L.utility_metrics(*both(spark, sf, "event"), "props.k", task="regression", trees=10, depth=3)
+    metrics = L.utility_metrics(*both(spark, sf, "event"), "props.k", task="regression")
     return L.score_from_metrics(metrics, "regression")
 
 

@@ -148,6 +148,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text
     A word goes if a window over it also starts anywhere else, in the same document or another one.
     With ``verbatim``, a text that loses no word stays as it is.
     """
+    if window - kmer + 1 > 63:
+        raise ValueError("a piece has more windows than a mask has bits; window - kmer + 1 may be 63 at most")
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text_col, "kept_", "n_words_", "n_removed_")]
     rest = F.struct(F.lit(True).alias("_"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])

@@ -48,6 +48,11 @@ def test_substrings(docs_of, awkward):
     check_substrings(docs_of, awkward)
 
 
+def test_substrings_refuse_pieces_longer_than_a_mask():
+    with pytest.raises(ValueError, match="63"):
+        substrings.remove_repeats(None, 100, 12)
+
+
 def test_substrings_in_many_branches(docs_of):
     rng = random.Random(3)
     base = words(200, 9).split()

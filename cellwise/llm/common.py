@@ -48,10 +48,10 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -
         low = high
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, per document, the index of its first word."""
+def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words (``[^\\x20\\x09-\\x0D]+``, or runs of ``is_word`` bytes) and, per document, the index of its first word."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = is_word[data]
     begins = inside[1:-1] & ~inside[:-2]
     stops = inside[1:-1] & ~inside[2:]
     cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
@@ -66,9 +66,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray = _IS_WORD) -> pa.Array:
     """The words as one contiguous Arrow column."""
-    flat = data[_IS_WORD[data]]
+    flat = data[is_word[data]]
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])

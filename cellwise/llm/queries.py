@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import ann, bpe, chat, counting, lm, packing, quality, simhash, substrings, toxicity
+from cellwise.llm import ann, bpe, chat, counting, decontaminate, lm, packing, quality, simhash, substrings, toxicity
 from cellwise.session import table
 
 
@@ -68,5 +68,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_edits(table(spark, sf_dir, "documents"), counting.revision(), vocabulary_path())
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.suffix_shards(table(spark, sf_dir, "documents"))
+    found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
+    hits = found.select(F.col("doc.c0").alias("doc_id"), "n_words", decontaminate.hit_words().alias("n_hit"), "items", "best")
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "best")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts, "op13_decontamination": op13_decontamination}
 ORACLES: dict[str, str] = {"op7_chat": chat.CHECK_SQL}

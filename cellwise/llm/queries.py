@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import ann, bpe, chat, counting, decontaminate, lm, packing, quality, repair, simhash, substrings, toxicity
+from cellwise.llm import ann, bpe, chat, counting, decontaminate, lm, packing, quality, repair, simhash, substrings, toxicity, whitening
 from cellwise.session import table
 
 
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_edits(table(spark, sf_dir, "documents"), counting.revision(), vocabulary_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return repair.report(turns, repair.damage(turns))
@@ -81,5 +85,5 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "best")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts, "op12_repair": op12_repair, "op13_decontamination": op13_decontamination}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_neighbours": op4_neighbours, "op5_language_model": op5_language_model, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts, "op11_whitening": op11_whitening, "op12_repair": op12_repair, "op13_decontamination": op13_decontamination}
 ORACLES: dict[str, str] = {"op7_chat": chat.CHECK_SQL}

@@ -4,78 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from cellwise.operators.boosting import Fitted, Model, feature_rows, fit
 from cellwise.operators.cells import typed_view
-from cellwise.operators.features import (
-    NUMERIC,
-    encode_bool,
-    encode_features,
-    encode_numeric,
-    encode_ordinal,
-    informative_columns,
-    ordinal_codes,
-    require_columns,
-)
+from cellwise.operators.features import NUMERIC, encode_features
 from cellwise.operators.splitting import stratified_kfold
-from cellwise.operators.stats import roc_auc
+from cellwise.operators.stats import roc_auc, running_totals
 from cellwise.session import materialize
 
-MAX_CATEGORIES = 256  # a column with more levels is split by the order of its codes
 METHODS = ("trees", "logistic_regression")
+TREES, DEPTH = 10, 3
 
 
-def tree_vectors(cells: DataFrame, records: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """(rid, split, features) with one slot per typed column, and the slot names.
-
-    Text and dtype columns hold level codes and are marked as categories; absent numbers
-    and booleans take a value below the smallest one, so a tree can split on absence.
-    Only per-column facts (one row per column) reach the driver."""
-    keys = ("rid", "split")
-    typed = typed_view(cells, keys)
-    columns = require_columns(materialize(informative_columns(typed, records.agg(F.count(F.lit(1))), exclude)))
-    kept = typed.join(columns.select("path", "typ"), ["path", "typ"], "left_semi")
-    codes = materialize(ordinal_codes(kept, records, columns))
-    levels = {r["col"]: r["n"] for r in codes.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    absent = {
-        r["col"]: float(r["code"])
-        for r in codes.filter(F.col("s") == F.when(F.col("col").endswith(".dtype"), "missing").otherwise("NaN")).collect()
-    }
-    numbers = encode_numeric(kept, keys).unionByName(encode_bool(kept, keys))
-    low = {r["name"]: r["low"] for r in numbers.groupBy("name").agg(F.min("value").alias("low")).collect()}
-    names = [r["col"] for r in columns.select("col").orderBy("col").collect()]
-    fill = [absent.get(n, 0.0) if n in levels else (low.get(n) or 0.0) - 1.0 for n in names]
-    entries = numbers.unionByName(encode_ordinal(kept, records, columns, keys))
-    held = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
-    slots = F.zip_with(
-        F.array(*[F.lit(n) for n in names]),
-        F.array(*[F.lit(float(x)) for x in fill]),
-        lambda n, x: F.coalesce(F.element_at("m", n), x),
-    )
-    attrs: dict[str, list] = {"nominal": [], "numeric": []}
-    for i, n in enumerate(names):
-        if n in levels and levels[n] <= MAX_CATEGORIES:
-            attrs["nominal"].append({"idx": i, "name": n, "num_vals": int(levels[n])})
-        else:
-            attrs["numeric"].append({"idx": i, "name": n})
-    meta = {"ml_attr": {"attrs": {k: v for k, v in attrs.items() if v}, "num_attrs": len(names)}}
-    empty = F.create_map().cast("map<string,double>")
-    vectors = records.select(*keys).join(held, list(keys), "left").select(
-        *keys, F.coalesce("m", empty).alias("m")
-    ).select(*keys, array_to_vector(slots).alias("features", metadata=meta))
-    return vectors, names
-
-
-def max_bins(vectors: DataFrame) -> int:
-    attrs = vectors.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
-    return max([32, *[a["num_vals"] for a in attrs]])
-
-
-def with_folds(vectors: DataFrame, real: str, synth: str, n_splits: int, seed: int) -> tuple[DataFrame, int]:
-    labelled = vectors.filter(F.col("split").isin(real, synth)).withColumn(
+def with_folds(rows: DataFrame, real: str, synth: str, n_splits: int, seed: int) -> tuple[DataFrame, int]:
+    """Rows of both sides with ``label`` (1 for a real one) and ``fold``; the number of folds, 0 if there is no split."""
+    labelled = rows.filter(F.col("split").isin(real, synth)).withColumn(
         "label", (F.col("split") == real).cast("double")
     )
     sizes = labelled.groupBy("label").count().collect()
@@ -83,43 +32,104 @@ def with_folds(vectors: DataFrame, real: str, synth: str, n_splits: int, seed: i
     return materialize(stratified_kfold(labelled, "label", n_splits, seed)), folds
 
 
-def _linear_vectors(cells: DataFrame, records: DataFrame) -> DataFrame:
-    keys = ("rid", "split")
-    features = materialize(encode_features(typed_view(cells, keys), records, keys=keys))
-    names = [r["name"] for r in features.select("name").distinct().orderBy("name").collect()]
-    held = features.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
-    # an absent indicator is 0, an absent number or boolean stays null for imputation
-    open_ = "[.](" + "|".join((*NUMERIC, "bool")) + ")$"
-    slots = F.transform(
-        F.array(*[F.lit(n) for n in names]),
-        lambda n: F.coalesce(F.element_at("m", n), F.when(~n.rlike(open_), F.lit(0.0))),
-    )
-    return records.select(*keys).join(held, list(keys), "left").select(*keys, slots.alias("values"))
+def boosted_folds(cells: DataFrame, records: DataFrame, n_splits: int, seed: int, real: str, synth: str) -> Fitted | None:
+    """The models of all folds, fitted together; model f scores fold f."""
+    rows, features = feature_rows(cells, records)
+    folded, folds = with_folds(rows, real, synth, n_splits, seed)
+    if folds < 2:
+        return None
+    own = F.expr("shiftleft(1, cast(fold AS int))")
+    tagged = folded.select("rid", "label", (F.lit((1 << folds) - 1) - own).alias("member"), own.alias("scored"), "entries")
+    return fit(tagged, features, [Model(f, "logistic", [0.0, 1.0]) for f in range(folds)], TREES, DEPTH)
 
 
-def _scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fill nulls with the training mean, centre on the median, divide by the quartile range."""
-    facts = (
-        train.select(F.posexplode("values").alias("i", "x"))
-        .groupBy("i")
-        .agg(F.avg("x").alias("mean"), F.percentile_approx("x", [0.25, 0.5, 0.75], 100000).alias("q"))
-        .orderBy("i")
-        .collect()
-    )
-    mean = [float(r["mean"] or 0.0) for r in facts]
-    centre = [float(r["q"][1]) if r["q"] else 0.0 for r in facts]
-    width = [float(r["q"][2] - r["q"][0]) or 1.0 if r["q"] else 1.0 for r in facts]
-    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+def gain_per_use(ledger: DataFrame, features: Sequence[str], folds: int) -> DataFrame:
+    """(fold, feature, gain): mean gain of the cuts by a feature in each fold's model, 0 for one that is not used."""
+    spark = ledger.sparkSession
+    every = spark.range(folds).select(F.col("id").cast("int").alias("fold"), F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    used = ledger.groupBy(F.col("model").alias("fold"), "feature").agg(F.avg("gain").alias("gain"))
+    return every.join(used, ["fold", "feature"], "left").select("fold", "feature", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+
+
+# --- logistic regression on sparse rows
+
+
+def feature_numbers(entries: DataFrame) -> DataFrame:
+    """(name, index): features numbered by ranges of their names, as a written table."""
+    names = entries.select("name").distinct().withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
+    return materialize(running_totals(names, ["all"], "name", ["one"]).select("name", (F.col("cum_one") - 1).cast("int").alias("index")))
+
+
+def _between(low, high, place):
+    """Linear interpolation between the values at the floor and the ceiling of a place."""
+    return low + (high - low) * (place - F.floor(place))
+
 
-    def scale(df: DataFrame) -> DataFrame:
-        filled = F.zip_with("values", lit(mean), lambda x, m: F.coalesce(x, m))
-        centred = F.zip_with(filled, lit(centre), lambda x, c: x - c)
-        return df.withColumn("features", array_to_vector(F.zip_with(centred, lit(width), lambda x, w: x / w)))
+def scaling_facts(entries: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
+    """(model, name, centre, width) of every feature in the training rows of each fold's model.
 
-    return scale(train), scale(test)
+    Absent numbers take the training mean; the width is the distance of the quartiles (with linear interpolation) of the
+    column filled that way, 1 if they agree. An indicator's quartiles follow from its count."""
+    sizes = folds.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    counts = entries.join(folds, "rid").groupBy("model", "name", "value").agg(F.count(F.lit(1)).alias("m"))
+    counts = materialize(counts)
+    number = F.col("name").rlike("[.](" + "|".join((*NUMERIC, "bool")) + ")$")
+    numbers = counts.where(number)
+    means = numbers.groupBy("model", "name").agg((F.sum(F.col("value") * F.col("m")) / F.sum("m")).alias("centre"), F.sum("m").alias("present"))
+    means = materialize(means.join(sizes, "model"))
+    filled = numbers.select("model", "name", "value", "m").unionByName(
+        means.where("present < n").select("model", "name", F.col("centre").alias("value"), (F.col("n") - F.col("present")).alias("m"))
+    )
+    filled = filled.groupBy("model", "name", "value").agg(F.sum("m").alias("m"))
+    running = running_totals(filled, ["model", "name"], "value", ["m"]).join(means, ["model", "name"])
+    at = lambda place: F.min(F.when(F.col("cum_m") > place, F.col("value")))
+    quartile = {q: (F.col("n") - 1) * q for q in (0.25, 0.75)}
+    value = lambda q: _between(at(F.floor(quartile[q])), at(F.ceil(quartile[q])), F.max(quartile[q]))
+    wide = running.groupBy("model", "name").agg(F.max("centre").alias("centre"), (value(0.75) - value(0.25)).alias("width"))
+    ones = counts.where(~number).join(sizes, "model")
+    bit = lambda place: (place >= F.col("n") - F.col("m")).cast("double")
+    flag = lambda q: _between(bit(F.floor(quartile[q])), bit(F.ceil(quartile[q])), quartile[q])
+    flags = ones.select("model", "name", F.lit(0.0).alias("centre"), (flag(0.75) - flag(0.25)).alias("width"))
+    return wide.unionByName(flags).select("model", "name", "centre", F.when(F.col("width") == 0, 1.0).otherwise(F.col("width")).alias("width"))
+
+
+def sparse_rows(entries: DataFrame, numbers: DataFrame, facts: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (model, rid and more) with ``features``: a sparse vector of (index, scaled value), built without Python.
+
+    Values are taken from the centre. The shift of a column by a constant only moves the intercept, which is not
+    penalised, so indicators stay zero where they are absent, and a number filled with the mean is zero."""
+    scaled = entries.join(numbers, "name").join(facts, "name").select("model", "rid", "index", ((F.col("value") - F.col("centre")) / F.col("width")).alias("value"))
+    held = scaled.where("value != 0").groupBy("model", "rid").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("e"))
+    joined = rows.join(held, ["model", "rid"], "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<index:int,value:double>>")))
+    parts = [F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("e.index").alias("indices"), F.col("e.value").alias("values")]
+    laid = joined.select(*rows.columns, F.struct(*parts).alias("features"))  # the columns of a sparse vector
+    schema = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in laid.schema])
+    return materialize(laid, schema=schema)
+
+
+def logistic_folds(cells: DataFrame, records: DataFrame, n_splits: int, seed: int, real: str, synth: str) -> DataFrame | None:
+    """(fold, label, p) of the held-out rows of every fold; ridge penalty 1 over the training rows, as for C = 1."""
+    keys = ("rid", "split")
+    entries = materialize(encode_features(typed_view(cells, keys), records, keys=keys).select("rid", "name", "value"))
+    folded, folds = with_folds(records.select(*keys), real, synth, n_splits, seed)
+    if folds < 2:
+        return None
+    models = F.explode(F.array(*[F.lit(f) for f in range(folds)]))
+    each = folded.select("rid", "label", "fold", models.alias("model"))
+    training = materialize(each.where("model != fold").select("model", "rid"))
+    numbers = feature_numbers(entries)
+    ready = sparse_rows(entries, numbers, materialize(scaling_facts(entries, training, folds)), each, numbers.count())
+    predictions = None
+    for fold in range(folds):
+        own = ready.where(F.col("model") == fold)
+        train = own.where(F.col("fold") != fold)
+        model = LogisticRegression(maxIter=100, regParam=1.0 / train.count(), standardization=False).fit(train)
+        scored = model.transform(own.where(F.col("fold") == fold)).select("fold", "label", vector_to_array("probability")[1].alias("p"))
+        predictions = scored if predictions is None else predictions.unionByName(scored)
+    return predictions
 
 
-def detection_folds(
+def detection_predictions(
     cells: DataFrame,
     records: DataFrame,
     method: str = "trees",
@@ -127,41 +137,28 @@ def detection_folds(
     seed: int = 42,
     real: str = "train",
     synth: str = "synth",
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """(AUC per fold, importance per fold and feature); (None, None) when there are too few rows."""
+) -> tuple[DataFrame | None, Fitted | None]:
+    """(fold, label, p) of every held-out row, written, and the fitted trees if there are any."""
     if method not in METHODS:
         raise ValueError(f"Unsupported method: {method}")
     used = records.filter(F.col("split").isin(real, synth))
     own = cells.filter(F.col("split").isin(real, synth))
-    if method == "trees":
-        vectors, names = tree_vectors(own, used)
-    else:
-        vectors, names = _linear_vectors(own, used), []
-    meta = vectors.schema["features"].metadata if method == "trees" else None
-    folded, folds = with_folds(vectors, real, synth, n_splits, seed)
-    if folds < 2:
+    if method == "logistic_regression":
+        found = logistic_folds(own, used, n_splits, seed, real, synth)
+        return (None if found is None else materialize(found)), None
+    fitted = boosted_folds(own, used, n_splits, seed, real, synth)
+    if fitted is None:
         return None, None
-    if meta:
-        folded = folded.withColumn("features", F.col("features").alias("features", metadata=meta))
-    predictions, importances = None, []
-    for fold in range(folds):
-        train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        if method == "trees":
-            model = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.3, seed=seed, maxBins=max_bins(folded)).fit(train)
-            gains = model.featureImportances.toArray()
-            importances += [(fold, n, float(g)) for n, g in zip(names, gains)]
-        else:
-            train, test = _scaled(train, test)
-            model = LogisticRegression(maxIter=100).fit(train)
-        scored = model.transform(test).select(
-            F.lit(fold).alias("fold"), "label", vector_to_array("probability")[1].alias("p")
-        )
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-    aucs = roc_auc(predictions, ["fold"], "p", F.col("label") == 1.0)
-    gains = None
-    if importances:
-        gains = cells.sparkSession.createDataFrame(importances, "fold int, feature string, gain double")
-    return aucs, gains
+    return materialize(fitted.predictions.select(F.col("model").alias("fold"), "label", F.col("p")[1].alias("p"))), fitted
+
+
+def detection_folds(cells: DataFrame, records: DataFrame, **options) -> tuple[DataFrame | None, DataFrame | None]:
+    """(AUC per fold, importance per fold and feature); (None, None) when there are too few rows."""
+    predictions, fitted = detection_predictions(cells, records, **options)
+    if predictions is None:
+        return None, None
+    gains = gain_per_use(fitted.ledger, fitted.features.names, len(fitted.models)) if fitted else None
+    return roc_auc(predictions, ["fold"], "p", F.col("label") == 1.0), gains
 
 
 def detection_score(aucs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -67,8 +68,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` once as parquet in the shared folder and read it back.
+def materialize(df: DataFrame, *partition_by: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and read it back, as ``schema`` if given.
 
     Cuts lineage like a checkpoint, survives lost executors, keeps column pruning
     and filter pushdown, and gives the optimizer real sizes for its join choices.
@@ -79,7 +80,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

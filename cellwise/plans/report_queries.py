@@ -16,6 +16,7 @@ from cellwise.operators import utility as L
 from cellwise.operators.cells import flatten
 from cellwise.operators.generation import generate_replicates, pending_replicates
 from cellwise.plans import evaluate as EV
+from cellwise.plans.boosting_sql import boosted, fold_areas, fold_gains
 from cellwise.plans.common import both, cells, r6, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, fields_of, with_parts
 from cellwise.plans.registry import query
@@ -422,12 +423,18 @@ def impute_targets(spark, sf):
     return L.impute_targets(rows).select("rid", r6("target"))
 
 
-# -- models (checked by bounds in the tests) --------------------------------------------------
+# -- models -----------------------------------------------------------------------------------
 
+BOOSTED = with_parts(*cells_of("event"), TYPED, boosted(D.TREES, D.DEPTH))
 
-@query("detection_gbt")
+
+@query(
+    "detection_gbt",
+    BOOSTED + f""", {fold_areas(D.TREES)}
+SELECT round(1.0 - avg(greatest(0.5, auc) * 2.0 - 1.0), 6) AS detection, round(avg(auc), 6) AS roc_auc FROM areas""",
+)
 def detection_gbt(spark, sf):
-    return D.detection_metrics(*both(spark, sf, "event"))
+    return D.detection_metrics(*both(spark, sf, "event")).select(r6("detection"), r6("roc_auc"))
 
 
 @query("detection_logistic")
@@ -435,10 +442,14 @@ def detection_logistic(spark, sf):
     return D.detection_metrics(*both(spark, sf, "event"), method="logistic_regression")
 
 
-@query("feature_importances")
+@query(
+    "feature_importances",
+    BOOSTED + f""", {fold_gains(D.TREES, D.DEPTH)}
+SELECT col AS feature, round(avg(coalesce(gain, 0.0)), 6) AS gain FROM named CROSS JOIN (VALUES (0), (1), (2)) t(m) LEFT JOIN used_gain USING (m, f) GROUP BY col""",
+)
 def feature_importances(spark, sf):
     _, gains = D.detection_folds(*both(spark, sf, "event"))
-    return D.feature_importances(gains)
+    return D.feature_importances(gains).select("feature", r6("gain"))
 
 
 @query("utility_classification")

@@ -1,18 +1,21 @@
 """Privacy: exact copies and the distance of each synthetic record to its closest real one.
 
-The nearest-record search is exact without comparing every pair. References are grouped
-around pivots; each query first searches the group of its nearest pivot and then only the
-groups that the triangle inequality cannot rule out. Groups are cut into blocks of bounded
-size, so no task depends on how crowded one region is. Copies collapse to one vector first.
+The nearest-record search is exact without comparing every pair. References form a tree of balls,
+kept as tables, with leaves of bounded size; a query opens the balls that the triangle inequality
+cannot rule out. Queries and leaves meet in blocks of bounded size, so no task depends on how
+crowded one region is. Copies collapse to one vector first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.operators.cells import typed_view
@@ -20,9 +23,11 @@ from cellwise.operators.features import encode_features, scale_by_train_range
 from cellwise.operators.splitting import subsample_cap, subsample_equal
 from cellwise.session import materialize
 
-MIN_PIVOTS, MAX_PIVOTS = 64, 2048  # between them, the square root of the number of references
-BLOCK_ROWS = 1024
-BATCH_ROWS = 1024  # rows compared with all pivots at once
+FAN = 32  # balls that a node is split into
+LEAF_ROWS = 1024  # vectors in a leaf at most
+BLOCK_ROWS = 1024  # queries compared with the balls of a node, or with a leaf, at once
+DENSE_CELLS = 1 << 22  # cells of a matrix
+DRAWN_ROWS = 1 << 16  # rows of the projection matrix that a task keeps
 
 
 def record_hash(records: DataFrame) -> DataFrame:
@@ -47,8 +52,9 @@ def exact_matches(records: DataFrame, train="train", test="test", synth="synth")
 
 
 def sparse_vectors(features: DataFrame) -> DataFrame:
-    """One row per record: sorted feature ids and values (zeros left out), with a content key."""
-    entry = F.when(F.col("value") != 0, F.struct(F.xxhash64("name").alias("i"), "value"))
+    """One row per record: sorted feature ids (60 bits of the name's md5) and values (zeros left out), with a content key."""
+    number = F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    entry = F.when(F.col("value") != 0, F.struct(number.alias("i"), "value"))
     grouped = features.groupBy("rid", "split").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     packed = grouped.select(
         "rid",
@@ -59,216 +65,281 @@ def sparse_vectors(features: DataFrame) -> DataFrame:
     return packed.withColumn("vec", F.md5(F.to_json(F.struct("idx", "val")).cast("binary")))
 
 
-def random_projection(vectors: DataFrame, n_features: int, n_components: int, seed: int = 42) -> DataFrame:
-    """Sparse random projection of the vectors to ``n_components`` dimensions.
+# -- blocks of sparse rows, inside tasks -----------------------------------------------
 
-    The signed components of a feature come from a generator seeded by its id, so every
-    task draws the same matrix without sharing it. With no more features than components
-    the vectors are returned unchanged."""
-    if n_components >= n_features:
-        return vectors
-    density = 1.0 / np.sqrt(n_features)
-    scale = float(np.sqrt(1.0 / density) / np.sqrt(n_components))
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            idx_out, val_out = [], []
-            for idx, val in zip(pdf["idx"], pdf["val"]):
-                total = np.zeros(n_components)
-                for i, x in zip(idx, val):
-                    if i not in drawn:
-                        rng = np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFFFFFF])
-                        at = rng.choice(n_components, rng.binomial(n_components, density), replace=False)
-                        drawn[i] = (at, rng.choice([-scale, scale], len(at)))
-                    at, signs = drawn[i]
-                    total[at] += x * signs
-                used = np.flatnonzero(total)
-                idx_out.append(used)
-                val_out.append(total[used])
-            yield pdf[["rid", "split", "vec"]].assign(idx=idx_out, val=val_out)[["rid", "split", "idx", "val", "vec"]]
+@dataclass
+class Sparse:
+    """Rows in compressed form: the ids and values of row i lie from ``ends[i]`` to ``ends[i + 1]``."""
 
-    return vectors.mapInPandas(project, "rid bigint, split string, idx array<bigint>, val array<double>, vec string")
+    ends: np.ndarray
+    ids: np.ndarray
+    values: np.ndarray
 
+    @classmethod
+    def of(cls, idx: pa.ListArray, val: pa.ListArray) -> Sparse:
+        ends = idx.offsets.to_numpy()
+        return cls(ends - ends[0], idx.flatten().to_numpy(zero_copy_only=False), val.flatten().to_numpy(zero_copy_only=False))
 
-# -- blocks of sparse rows as dense matrices, inside tasks -----------------------------
+    def __len__(self) -> int:
+        return len(self.ends) - 1
 
+    def rows(self, low: int, high: int) -> Sparse:
+        a, b = self.ends[low], self.ends[high]
+        return Sparse(self.ends[low : high + 1] - a, self.ids[a:b], self.values[a:b])
 
-def _dense(ids: np.ndarray, idx, val) -> np.ndarray:
-    """Rows of (idx, val) over the sorted id list; ids not listed are ignored."""
-    lengths = [len(i) for i in idx]
-    out = np.zeros((len(lengths), len(ids)))
-    if len(ids) and sum(lengths):
-        flat, values = np.concatenate(list(idx)), np.concatenate(list(val))
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        rows = np.repeat(np.arange(len(lengths)), lengths)
-        known = ids[at] == flat
-        out[rows[known], at[known]] = values[known]
-    return out
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
 
+    def dense(self, ids: np.ndarray) -> np.ndarray:
+        """A matrix over the sorted ``ids``; others are ignored."""
+        out = np.zeros((len(self), len(ids)))
+        if len(ids) and len(self.ids):
+            at = np.minimum(np.searchsorted(ids, self.ids), len(ids) - 1)
+            known = ids[at] == self.ids
+            out[self.owner()[known], at[known]] = self.values[known]
+        return out
 
-def _all_ids(*parts) -> np.ndarray:
-    flat = [np.asarray(i) for part in parts for i in part if len(i)]
-    return np.unique(np.concatenate(flat)) if flat else np.empty(0, dtype=np.int64)
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.owner(), self.values * self.values, len(self))
 
 
-def _square_norms(val) -> np.ndarray:
-    return np.array([float(np.dot(v, v)) if len(v) else 0.0 for v in val])
+def _parts(a: Sparse, b: Sparse) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """Both sides as matrices over common ids, in parts of bounded size."""
+    ids = np.unique(np.concatenate([a.ids, b.ids]))
+    step = max(1, DENSE_CELLS // max(1, len(ids)))
+    for i in range(0, len(a), step):
+        left = a.rows(i, min(i + step, len(a))).dense(ids)
+        for j in range(0, len(b), step):
+            yield slice(i, i + len(left)), slice(j, min(j + step, len(b))), left, b.rows(j, min(j + step, len(b))).dense(ids)
 
 
-def _distances(a_idx, a_val, b_idx, b_val) -> np.ndarray:
+def distances(a: Sparse, b: Sparse) -> np.ndarray:
     """Euclidean distances between two blocks: |a|^2 + |b|^2 - 2ab, floored at zero."""
-    ids = _all_ids(b_idx)
-    product = _dense(ids, a_idx, a_val) @ _dense(ids, b_idx, b_val).T
-    squares = _square_norms(a_val)[:, None] + _square_norms(b_val)[None, :] - 2.0 * product
-    return np.sqrt(np.maximum(squares, 0.0))
+    out = np.empty((len(a), len(b)))
+    left, right = a.squares(), b.squares()
+    for i, j, x, y in _parts(a, b):
+        out[i, j] = left[i, None] + right[None, j] - 2.0 * (x @ y.T)
+    return np.sqrt(np.maximum(out, 0.0))
 
 
-def _nearest(query: pd.DataFrame, reference: pd.DataFrame) -> np.ndarray:
-    """Distance of each query row to its closest reference row. The winner's distance is
-    taken again by direct differences, so equal vectors give exactly zero."""
-    ids = _all_ids(query["idx"], reference["idx"])
-    q, r = _dense(ids, query["idx"], query["val"]), _dense(ids, reference["idx"], reference["val"])
-    squares = (r * r).sum(axis=1)[None, :] - 2.0 * (q @ r.T)
-    best = squares.argmin(axis=1)
-    return np.sqrt(((q - r[best]) ** 2).sum(axis=1))
+def nearest(a: Sparse, b: Sparse) -> np.ndarray:
+    """Distance of each row of ``a`` to its closest row of ``b``, taken again by direct differences, so that
+    equal rows give exactly zero."""
+    best = np.full(len(a), np.inf)
+    right = b.squares()
+    for i, j, x, y in _parts(a, b):
+        winner = (right[None, j] - 2.0 * (x @ y.T)).argmin(axis=1)
+        best[i] = np.minimum(best[i], np.sqrt(((x - y[winner]) ** 2).sum(axis=1)))
+    return best
 
 
-# -- exact nearest-record search ------------------------------------------------------
+# -- random projection ------------------------------------------------------------------
 
 
-def _pivot_distances(vectors: DataFrame, pivots: tuple[list, list], emit) -> DataFrame:
-    """Run ``emit(batch, distances to pivots)`` over Arrow batches."""
-    p_idx = [np.asarray(i, dtype=np.int64) for i in pivots[0]]
-    p_val = [np.asarray(v, dtype=np.float64) for v in pivots[1]]
-    fn, schema = emit
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), BATCH_ROWS):
-                part = pdf.iloc[start : start + BATCH_ROWS].reset_index(drop=True)
-                yield fn(part, _distances(part["idx"], part["val"], p_idx, p_val))
-
-    return vectors.mapInPandas(run, schema)
-
-
-def _search(queries: DataFrame, references: DataFrame, blocks: dict, block_rows: int) -> DataFrame:
-    """Exact minima between queries and references of the same (side, home).
-
-    ``blocks`` gives the number of references per (side, home). Both sides are cut into
-    pieces of about ``block_rows`` rows; every piece pair is one bounded task."""
-    spark = queries.sparkSession
-    asked = {(r["side"], r["home"]): r["n"] for r in queries.groupBy("side", "home").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [
-        (side, home, -(-blocks[(side, home)] // block_rows), -(-n // block_rows)) for (side, home), n in asked.items()
-    ]
-    pieces = spark.createDataFrame(plan, "side string, home int, n_blocks int, n_chunks int")
-    hashed = F.pmod(F.xxhash64("vec"), F.lit(1 << 30))
-    left = (
-        queries.join(F.broadcast(pieces), ["side", "home"])
-        .withColumn("chunk", (hashed % F.col("n_chunks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("side", "home", "block", "chunk", "vec", "idx", "val")
-    )
-    right = (
-        references.join(F.broadcast(pieces), ["side", "home"])
-        .withColumn("block", (hashed % F.col("n_blocks")).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .select("side", "home", "block", "chunk", "idx", "val")
-    )
-    task = ["side", "home", "block", "chunk"]
+def drawn_row(seed: int, feature: int, n_components: int, density: float) -> tuple[np.ndarray, np.ndarray]:
+    """Components and signs of one feature: the gaps between its components are geometric numbers from
+    md5 hashes of seed, feature and place, so any task draws the same row."""
+    at, out, signs, k = -1, [], [], 0
+    while True:
+        digest = hashlib.md5(f"{seed}.{feature}:{k}".encode()).hexdigest()
+        at += int(math.log(1.0 - int(digest[:13], 16) / 2.0**52) / math.log(1.0 - density)) + 1
+        if at >= n_components:
+            return np.array(out, np.int64), np.array(signs, float)
+        out.append(at)
+        signs.append(1.0 if int(digest[13], 16) >= 8 else -1.0)
+        k += 1
 
-    def closest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"side": [], "vec": [], "distance": []})
-        return pd.DataFrame({"side": q["side"], "vec": q["vec"], "distance": _nearest(q, r)})
 
-    found = left.groupBy(*task).cogroup(right.groupBy(*task)).applyInPandas(
-        closest, "side string, vec string, distance double"
-    )
-    return found.groupBy("side", "vec").agg(F.min("distance").alias("distance"))
+def random_projection(vectors: DataFrame, n_features: int, n_components: int, seed: int = 42) -> DataFrame:
+    """Sparse random projection of the vectors to ``n_components`` dimensions.
 
+    A feature has each component with probability 1 / sqrt(``n_features``), with a random sign. Batches of rows are
+    multiplied with the rows drawn for their features as two compressed matrices. With no more features than
+    components the vectors are returned unchanged."""
+    if n_components >= n_features:
+        return vectors
+    density = 1.0 / math.sqrt(n_features)
+    scale = math.sqrt(1.0 / density) / math.sqrt(n_components)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if len(drawn) > DRAWN_ROWS:
+                drawn.clear()
+            block = Sparse.of(batch.column("idx"), batch.column("val"))
+            features, which = np.unique(block.ids, return_inverse=True)
+            for f in features.tolist():
+                if f not in drawn:
+                    drawn[f] = drawn_row(seed, f, n_components, density)
+            rows = [drawn[f] for f in features.tolist()]
+            sizes = np.array([len(c) for c, _ in rows], np.int64)
+            columns, signs = (np.concatenate(x) if rows else np.zeros(0, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), ()), (np.int64, float), strict=True))
+            starts = np.cumsum(sizes) - sizes
+            each = sizes[which]  # every entry meets the components of its feature
+            entry = np.repeat(np.arange(len(which)), each)
+            place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + starts[which][entry]
+            key, at = np.unique(block.owner()[entry] * n_components + columns[place], return_inverse=True)
+            total = np.bincount(at, block.values[entry] * signs[place], len(key)) * scale
+            key, total = key[total != 0], total[total != 0]
+            row, column = np.divmod(key, n_components)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(block) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (column, total)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("split"), *lists, batch.column("vec")], names=["rid", "split", "idx", "val", "vec"])
+
+    return vectors.select("rid", "split", "idx", "val", "vec").mapInArrow(project, "rid bigint, split string, idx array<bigint>, val array<double>, vec string")
 
-def nearest_distances(vectors: DataFrame, synth: str = "synth", n_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distance of every distinct synthetic vector to the closest vector of each other split.
 
-    Returns (side, vec, distance). Only the pivot rows (at most 2,048) and three numbers per
-    pivot and split pass through the driver."""
-    refs = materialize(
-        vectors.filter(F.col("split") != synth).groupBy(F.col("split").alias("side"), "vec").agg(
-            F.first("idx").alias("idx"), F.first("val").alias("val")
-        )
-    )
-    if n_pivots is None:
-        n_pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, int(refs.count() ** 0.5)))
-    chosen = refs.select("vec", "idx", "val").dropDuplicates(["vec"]).orderBy("vec").limit(n_pivots).collect()
-    if not chosen:
-        raise ValueError("no reference records")
-    pivots = ([list(r["idx"]) for r in chosen], [list(r["val"]) for r in chosen])
+# -- exact nearest-record search ------------------------------------------------------
 
-    def place(pdf, d):
-        home = d.argmin(axis=1)
-        return pdf.assign(home=home.astype(np.int32), radius=d[np.arange(len(pdf)), home])
+BLOCK = "idxs array<array<bigint>>, vals array<array<double>>"
+
+
+def _blocks(rows: DataFrame, keys: Sequence[str], block_rows: int, extra: Sequence[str] = ()) -> DataFrame:
+    """Rows of each key in blocks of about ``block_rows``: lists ``vecs``, ``idxs``, ``vals`` and the extra columns'."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    dealt = rows.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
+    item = F.struct(F.col("vec"), F.col("idx"), F.col("val"), *extra)
+    held = dealt.groupBy(*keys, "part").agg(F.collect_list(item).alias("b"))
+    return held.select(*keys, *[F.col(f"b.{c}").alias(f"{c}s") for c in ("vec", "idx", "val", *extra)])
+
+
+def _sparse(row: dict, prefix: str = "") -> Sparse:
+    return Sparse.of(row[prefix + "idxs"].values, row[prefix + "vals"].values)
+
+
+def _each(df: DataFrame, make, schema: str) -> DataFrame:
+    """One output batch per row of ``df``; ``make`` sees the row's Arrow scalars."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield make({c: batch.column(c)[i] for c in batch.schema.names})
+
+    return df.mapInArrow(emit, schema)
+
+
+def ball_tree(refs: DataFrame, fan: int, leaf_rows: int) -> tuple[list[DataFrame], DataFrame]:
+    """Balls by level (side, node, child, idx, val, inner, outer) and the leaves' rows (side, node, vec, idx, val).
+
+    A node of more than ``leaf_rows`` vectors is split around ``fan`` of them, those of the lowest content keys. A child
+    holds the vectors nearest to its pivot; ``inner`` and ``outer`` are their least and largest distance from it. Vectors are
+    distinct, so every split leaves smaller nodes. Only row counts reach the driver."""
+    rows = materialize(refs.select("side", F.lit(1).cast("bigint").alias("node"), "vec", "idx", "val"))
+    levels, leaves = [], None
+    while True:
+        sizes = rows.groupBy("side", "node").agg(F.count(F.lit(1)).alias("n"))
+        full = materialize(sizes.where(F.col("n") > leaf_rows).select("side", "node"))
+        small = rows.join(full, ["side", "node"], "left_anti")
+        leaves = small if leaves is None else leaves.unionByName(small)
+        if full.isEmpty():
+            return levels, materialize(leaves)
+        rows = materialize(rows.join(full, ["side", "node"], "left_semi"))
+        order = Window.partitionBy("side", "node").orderBy("vec")
+        ranked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= fan)
+        item = F.struct("r", "idx", "val")
+        pivots = ranked.groupBy("side", "node").agg(F.array_sort(F.collect_list(item)).alias("p"))
+        pivots = materialize(pivots.select("side", "node", F.col("p.idx").alias("p_idxs"), F.col("p.val").alias("p_vals")))
+        work = _blocks(rows, ["side", "node"], BLOCK_ROWS).join(pivots, ["side", "node"])
+
+        def place(row: dict) -> pa.RecordBatch:
+            d = distances(_sparse(row), _sparse(row, "p_"))
+            near = d.argmin(axis=1)
+            n = len(d)
+            fixed = [pa.repeat(row["side"], n), pa.repeat(row["node"], n), pa.array(near.astype(np.int32)), pa.array(d[np.arange(n), near])]
+            return pa.RecordBatch.from_arrays([*fixed, row["vecs"].values, row["idxs"].values, row["vals"].values], names=["side", "node", "child", "radius", "vec", "idx", "val"])
+
+        placed = materialize(_each(work, place, "side string, node bigint, child int, radius double, vec string, idx array<bigint>, val array<double>"))
+        rings = placed.groupBy("side", "node", "child").agg(F.min("radius").alias("inner"), F.max("radius").alias("outer"))
+        centres = ranked.select("side", "node", (F.col("r") - 1).alias("child"), "idx", "val")
+        levels.append(materialize(rings.join(centres, ["side", "node", "child"])))
+        rows = placed.select("side", (F.col("node") * fan + F.col("child")).alias("node"), "vec", "idx", "val")
+
+
+def _opened(asked: DataFrame, level: DataFrame, fan: int, nearest_only: bool) -> DataFrame:
+    """Children of the nodes that queries stand at: the nearest one, or all that may hold something closer than ``best``."""
+    ball = F.struct("child", "inner", "outer", "idx", "val")
+    nodes = level.groupBy("side", "node").agg(F.array_sort(F.collect_list(ball)).alias("b"))
+    nodes = nodes.select("side", "node", *[F.col(f"b.{c}").alias(n) for c, n in (("child", "children"), ("inner", "inners"), ("outer", "outers"), ("idx", "p_idxs"), ("val", "p_vals"))])
+    work = _blocks(asked, ["side", "node"], BLOCK_ROWS, ["best"]).join(nodes, ["side", "node"])
+
+    def open_(row: dict) -> pa.RecordBatch:
+        d = distances(_sparse(row), _sparse(row, "p_"))
+        inner, outer, best = (row[c].values.to_numpy() for c in ("inners", "outers", "bests"))
+        bound = np.maximum(np.maximum(d - outer, inner - d), 0.0)
+        if nearest_only:
+            chosen = np.zeros(d.shape, bool)
+            chosen[np.arange(len(d)), d.argmin(axis=1)] = True
+        else:
+            chosen = bound < best[:, None] + 1e-9 * (1.0 + d)  # room for the rounding of the distances
+        q, c = np.nonzero(chosen)
+        node = row["node"].as_py() * fan + row["children"].values.to_numpy()[c]
+        pick = pa.array(q)
+        lists = [row[x].values.take(pick) for x in ("vecs", "idxs", "vals")]
+        return pa.RecordBatch.from_arrays([pa.repeat(row["side"], len(q)), pa.array(node.astype(np.int64)), *lists, pa.array(best[q]), pa.array(bound[q, c])], names=["side", "node", "vec", "idx", "val", "best", "bound"])
+
+    return _each(work, open_, "side string, node bigint, vec string, idx array<bigint>, val array<double>, best double, bound double")
+
+
+def _search(asked: DataFrame, leaves: DataFrame, leaf_rows: int) -> DataFrame:
+    """(side, vec, distance): the closest reference in the leaves that queries were sent to."""
+    held = leaves.groupBy("side", "node").agg(F.collect_list(F.struct("idx", "val")).alias("b"))
+    held = held.select("side", "node", F.col("b.idx").alias("p_idxs"), F.col("b.val").alias("p_vals"))
+    work = _blocks(asked.select("side", "node", "vec", "idx", "val"), ["side", "node"], BLOCK_ROWS).join(held, ["side", "node"])
+
+    def closest(row: dict) -> pa.RecordBatch:
+        best = nearest(_sparse(row), _sparse(row, "p_"))
+        return pa.RecordBatch.from_arrays([pa.repeat(row["side"], len(best)), row["vecs"].values, pa.array(best)], names=["side", "vec", "distance"])
+
+    found = _each(work, closest, "side string, vec string, distance double")
+    return found.groupBy("side", "vec").agg(F.min("distance").alias("distance"))
 
-    base = "vec string, idx array<bigint>, val array<double>"
-    placed = materialize(
-        _pivot_distances(refs, pivots, (place, f"side string, {base}, home int, radius double"))
-    )
-    stats = placed.groupBy("side", "home").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("inner"), F.max("radius").alias("outer")
-    ).collect()
-    blocks = {(r["side"], r["home"]): r["n"] for r in stats}
-    rings = {
-        side: (
-            np.array([r["home"] for r in stats if r["side"] == side]),
-            np.array([r["inner"] for r in stats if r["side"] == side]),
-            np.array([r["outer"] for r in stats if r["side"] == side]),
-        )
-        for side in {r["side"] for r in stats}
-    }
-
-    asked = materialize(
-        vectors.filter(F.col("split") == synth).groupBy("vec").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
-    )
 
-    def first_home(pdf, d):
-        parts = []
-        for side, (homes, _, _) in rings.items():
-            parts.append(pdf.assign(side=side, home=homes[d[:, homes].argmin(axis=1)].astype(np.int32)))
-        return pd.concat(parts, ignore_index=True)[["side", "vec", "idx", "val", "home"]]
-
-    begun = _pivot_distances(asked, pivots, (first_home, f"side string, {base}, home int"))
-    references = placed.select("side", "home", "vec", "idx", "val")
-    first = materialize(_search(begun, references, blocks, block_rows))
-
-    def other_homes(pdf, d):
-        sides, rows, homes_out = [], [], []
-        for side, (homes, inner, outer) in rings.items():
-            mine = np.flatnonzero((pdf["side"] == side).to_numpy())
-            if not len(mine):
-                continue
-            near = d[np.ix_(mine, homes)]
-            bound = np.maximum(np.maximum(near - outer, inner - near), 0.0)
-            best = pdf["distance"].to_numpy()[mine]
-            slack = 1e-9 * (1.0 + near)  # rounding of the pivot distances
-            open_ = bound < best[:, None] + slack
-            open_[np.arange(len(mine)), near.argmin(axis=1)] = False
-            r, c = np.nonzero(open_ & (best > 0)[:, None])
-            rows.append(mine[r])
-            homes_out.append(homes[c])
-            sides.append(np.repeat(side, len(r)))
-        at = np.concatenate(rows) if rows else np.empty(0, dtype=int)
-        out = pdf.iloc[at][["vec", "idx", "val"]].reset_index(drop=True)
-        return out.assign(
-            side=np.concatenate(sides) if sides else [],
-            home=(np.concatenate(homes_out) if rows else np.empty(0)).astype(np.int32),
-        )[["side", "vec", "idx", "val", "home"]]
-
-    left_open = materialize(
-        _pivot_distances(asked.join(first, "vec"), pivots, (other_homes, f"side string, {base}, home int"))
+def nearest_distances(vectors: DataFrame, synth: str = "synth", fan: int = FAN, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Distance of every distinct synthetic vector to the closest vector of each other split: (side, vec, distance).
+
+    Every query first goes down to the leaf of its nearest balls, which gives it a bound. From the root, it then opens
+    the balls that may hold something closer, and visits the leaves left open in the order of their bounds, a few
+    more in each round, while the bound falls."""
+    refs = materialize(
+        vectors.filter(F.col("split") != synth).groupBy(F.col("split").alias("side"), "vec").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
     )
-    second = _search(left_open, references, blocks, block_rows)
-    return first.unionByName(second).groupBy("side", "vec").agg(F.min("distance").alias("distance"))
+    sides = refs.select("side").distinct()
+    if sides.isEmpty():
+        raise ValueError("no reference records")
+    levels, leaves = ball_tree(refs, fan, leaf_rows)
+    queries = vectors.filter(F.col("split") == synth).groupBy("vec").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
+    start = materialize(queries.join(F.broadcast(sides)).select("side", F.lit(1).cast("bigint").alias("node"), "vec", "idx", "val", F.lit(float("inf")).alias("best"), F.lit(0.0).alias("bound")))
+    at, ends = start, None
+    for level in levels:  # a query that has come to a leaf finds no balls there, and stays behind
+        here = level.select("side", "node").distinct()
+        stay = at.join(here, ["side", "node"], "left_anti")
+        ends = stay if ends is None else ends.unionByName(stay)
+        at = materialize(_opened(at, level, fan, True))
+    first = at if ends is None else ends.unionByName(at)
+    best = materialize(_search(first, leaves, leaf_rows))
+    if not levels:
+        return best
+    seen = materialize(first.select("side", "vec", "node"))
+    bounded = start.drop("best").join(best.withColumnRenamed("distance", "best"), ["side", "vec"]).where("best > 0")
+    at, open_ = materialize(bounded.select(*start.columns)), None
+    for level in levels:
+        here = level.select("side", "node").distinct()
+        stay = at.join(here, ["side", "node"], "left_anti")
+        open_ = stay if open_ is None else open_.unionByName(stay)
+        at = materialize(_opened(at, level, fan, False))
+    open_ = materialize(open_.unionByName(at).drop("best").join(seen, ["side", "vec", "node"], "left_anti"))
+    visits = 4
+    order = Window.partitionBy("side", "vec").orderBy("bound", "node")  # the open leaves of one query
+    while True:
+        alive = open_.join(best, ["side", "vec"]).where(F.col("bound") < F.col("distance") * (1 + 1e-9) + 1e-9).drop("distance")
+        ranked = materialize(alive.withColumn("r", F.row_number().over(order)))
+        if ranked.isEmpty():
+            return best
+        more = _search(ranked.where(F.col("r") <= visits), leaves, leaf_rows)
+        best = materialize(best.unionByName(more).groupBy("side", "vec").agg(F.min("distance").alias("distance")))
+        open_ = ranked.where(F.col("r") > visits).drop("r")
+        visits *= 2
 
 
 def dcr_distances(vectors: DataFrame, synth="synth", train="train", test="test", **options) -> DataFrame:
@@ -300,7 +371,7 @@ def privacy_vectors(cells: DataFrame, records: DataFrame, n_components: int = 40
     ``n_components`` features."""
     keys = ("rid", "split")
     typed = typed_view(cells, keys)
-    features = materialize(scale_by_train_range(encode_features(typed, records, keys=keys)))
+    features = materialize(scale_by_train_range(materialize(encode_features(materialize(typed), records, keys=keys))))
     n_features = features.select("name").distinct().count()
     return random_projection(sparse_vectors(features), n_features, n_components, seed)
 

@@ -250,10 +250,27 @@ def privacy_overall(spark, sf):
     )
 
 
-@query("random_projection")
+PROJECTED = """named AS (SELECT DISTINCT name FROM features),
+size AS (SELECT 1.0 / sqrt(count(*)) AS density, sqrt(sqrt(count(*))) / sqrt(8.0) AS scale FROM named),
+ids AS (SELECT name, CAST('0x' || substr(md5(name), 1, 15) AS BIGINT) AS id FROM named),
+draws AS (SELECT name, k, md5('42.' || id || ':' || k) AS h FROM ids, range(8) t(k)),
+places AS (SELECT name, CASE WHEN CAST('0x' || substr(h, 14, 1) AS INTEGER) >= 8 THEN 1.0 ELSE -1.0 END AS sign,
+    sum(floor(ln(1.0 - CAST('0x' || substr(h, 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE) / ln(1.0 - density)) + 1) OVER (PARTITION BY name ORDER BY k) - 1 AS component
+  FROM draws, size),
+matrix AS (SELECT name, CAST(component AS INTEGER) AS component, sign * scale AS weight FROM places, size WHERE component < 8),
+widths AS (SELECT name, max(value) - min(value) AS w FROM numbers WHERE split = 'train' GROUP BY name),
+scaled AS (SELECT rid, split, name, value / coalesce(nullif(w, 0), 1) AS value FROM features LEFT JOIN widths USING (name))"""
+
+
+@query(
+    "random_projection",
+    with_parts(*cells_of("event"), TYPED, COLS, NUMERIC, BOOLS, ONEHOT, FEATURES, PROJECTED)
+    + """SELECT rid, CAST(component AS BIGINT) AS component, round(sum(value * weight), 6) + 0.0 AS value FROM scaled JOIN matrix USING (name) GROUP BY ALL
+HAVING abs(sum(value * weight)) > 1e-9""",
+)
 def random_projection(spark, sf):
-    """Feature vectors projected to fewer dimensions; squared norms are kept on average."""
-    fair = records(spark, sf, "event")
-    vectors = V.privacy_vectors(flatten(fair, max_depth=2), fair, n_components=8)
-    norm = F.aggregate(F.transform("val", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    return vectors.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 4).alias("mean_square_norm"))
+    """All entries of the feature vectors projected to eight dimensions."""
+    base = materialize(records(spark, sf, "event"))
+    vectors = V.privacy_vectors(flatten(base, max_depth=2), base, n_components=8)
+    entries = vectors.select("rid", F.explode(F.arrays_zip(F.col("idx").alias("component"), F.col("val").alias("value"))).alias("e"))
+    return entries.select("rid", "e.component", "e.value").where("abs(value) > 1e-9").select("rid", "component", r6("value"))

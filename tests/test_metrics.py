@@ -76,13 +76,13 @@ def brute_distances(vectors):
     }
 
 
-@pytest.mark.parametrize("pivots, block", [(1, 7), (5, 16), (40, 1000)])
-def test_nearest_record_equals_brute_force(to_records, pivots, block):
+@pytest.mark.parametrize("fan, leaf", [(2, 7), (5, 16), (32, 1024)])
+def test_nearest_record_equals_brute_force(to_records, fan, leaf):
     train, test = people(90, 5), people(70, 6)
     records = to_records(train=train, test=test, synth=people(60, 7) + train[:8] * 6)  # a crowd of copies
     vectors = V.privacy_vectors(flatten(records, max_depth=1), records)
     want = brute_distances(vectors)
-    got = {r["rid"]: (r["d_train"], r["d_test"]) for r in V.dcr_distances(vectors, n_pivots=pivots, block_rows=block).collect()}
+    got = {r["rid"]: (r["d_train"], r["d_test"]) for r in V.dcr_distances(vectors, fan=fan, leaf_rows=leaf).collect()}
     assert got.keys() == want.keys()
     for rid in want:
         assert got[rid] == pytest.approx(want[rid], abs=1e-9)
@@ -96,14 +96,34 @@ def test_privacy_counts_copies(to_records):
     assert 0 <= row["privacy_score"] <= 1
 
 
-def test_projection_keeps_distances_roughly(to_records):
+def test_projection_is_the_product_with_the_drawn_matrix(to_records):
+    """Every entry against a dense product; distances within the bound of 5 deviations of a projection to 400 dimensions."""
     records = to_records(train=people(60, 11), test=people(5, 12), synth=people(5, 13))
     typed = typed_view(flatten(records, max_depth=1), ("rid", "split"))
     full = V.sparse_vectors(E.scale_by_train_range(E.encode_features(typed, records, keys=("rid", "split"))))
     assert V.random_projection(full, 10, 40) is full
-    norm = lambda df: df.agg(F.avg(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    small = V.random_projection(full, 2000, 400)
-    assert norm(small) == pytest.approx(norm(full), rel=0.5)
+    rows = {r["rid"]: dict(zip(r["idx"], r["val"], strict=True)) for r in full.collect()}
+    small = {r["rid"]: dict(zip(r["idx"], r["val"], strict=True)) for r in V.random_projection(full, 2000, 400).collect()}
+    ids = sorted({i for r in rows.values() for i in r})
+    matrix, density = np.zeros((len(ids), 400)), 2000**-0.5
+    for k, i in enumerate(ids):
+        at, signs = V.drawn_row(42, i, 400, density)
+        matrix[k, at] = signs * density**-0.5 / 20
+    x = np.array([[rows[r].get(i, 0.0) for i in ids] for r in sorted(rows)])
+    y = np.array([[small[r].get(j, 0.0) for j in range(400)] for r in sorted(rows)])
+    assert np.allclose(y, x @ matrix, atol=1e-12)
+    square = lambda m: ((m[:, None] - m[None]) ** 2).sum(axis=2)
+    away = square(x) > 0
+    ratio = square(y)[away] / square(x)[away]
+    assert abs(ratio.mean() - 1) < 0.25
+
+
+def test_drawn_rows_have_the_density():
+    rows = [V.drawn_row(1, i, 5000, 0.02) for i in range(200)]
+    sizes = np.array([len(a) for a, _ in rows])
+    assert abs(sizes.mean() - 100) < 5 * (98 / 200) ** 0.5 + 1
+    assert all((np.diff(a) > 0).all() and a.max() < 5000 for a, _ in rows if len(a))
+    assert abs(np.concatenate([s for _, s in rows]).mean()) < 0.04
 
 
 def test_constant_columns_only_is_an_error(to_records):

@@ -26,17 +26,19 @@ KEYS = ("rid", "split", "replicate")
 CONTAINERS = ("array", "object")
 
 
-def _children(level: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """Direct members of the containers in ``level`` (scalars yield no rows)."""
-    spark = level.sparkSession
-    cols = ", ".join(f"p.{k}" for k in keys)
-    return spark.sql(
-        f"""SELECT {cols},
-                   concat_ws('.', p.path, coalesce(c.key, cast(c.pos AS string))) AS path,
-                   {depth} AS depth, c.value AS v
-            FROM {{level}} p, LATERAL variant_explode(p.v) c""",
-        level=level,
-    )
+def _members(v: str) -> str:
+    """Name and value of the direct members of a container, in SQL; none for a scalar."""
+    named = f"transform(map_entries(try_cast({v} AS map<string,variant>)), e -> named_struct('k', e.key, 'v', e.value))"
+    listed = f"transform(try_cast({v} AS array<variant>), (e, i) -> named_struct('k', cast(i AS string), 'v', e))"
+    return f"coalesce({named}, {listed}, array())"
+
+
+def nesting_depth(v: str = "v") -> str:
+    """Levels of containers in a record, in SQL: the deepest bracket of its text outside of strings."""
+    unescaped = rf"replace(replace(to_json({v}), '\\\\', ''), '\\\"', '')"
+    brackets = rf"""regexp_replace({unescaped}, '"[^"]*"|[^\\[\\]{{}}"]+', '')"""
+    step = "named_struct('now', a.now + if(c IN ('[', '{'), 1, -1), 'top', greatest(a.top, a.now + if(c IN ('[', '{'), 1, -1)))"
+    return f"aggregate(filter(split({brackets}, ''), c -> c <> ''), named_struct('now', 0, 'top', 0), (a, c) -> {step}, a -> a.top)"
 
 
 def explode_paths(
@@ -44,32 +46,24 @@ def explode_paths(
 ) -> DataFrame:
     """One row per path of every record: keys, dotted ``path``, ``depth``, VARIANT ``v``.
 
-    Each nesting level is one narrow generator over the level above, so no shuffle
-    is needed. Without ``max_depth`` the number of levels is found by asking each
-    level whether it has a row. With it, a deeper container raises: nothing is cut off.
+    A record is read once: the members of each level are listed from those above, inside the row, and
+    one generator yields a node and all below it. Without ``max_depth`` one aggregate finds the
+    deepest nesting first. With it, a deeper container raises: nothing is cut off.
     """
     keys = list(keys)
-    level = records.select(*keys, F.lit(None).cast("string").alias("path"), "v")
-    levels: list[DataFrame] = []
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        level = _children(level, keys, depth)
-        if max_depth is None and level.isEmpty():
-            if not levels:
-                levels.append(level)
-            break
-        levels.append(level)
+    depth = max_depth
+    if depth is None:
+        depth = max(1, records.select(F.max(F.expr(nesting_depth())).alias("d")).first()["d"] or 1)
+    node = "named_struct('path', {path}, 'depth', {depth}, 'v', m.v)"
+    out = records.select(*keys, F.expr(f"transform({_members('v')}, m -> {node.format(path='m.k', depth=1)})").alias("l1"))
+    for d in range(2, depth + 1):
+        below = node.format(path="concat_ws('.', n.path, m.k)", depth=d)
+        out = out.withColumn(f"l{d}", F.expr(f"flatten(transform(l{d - 1}, n -> transform({_members('n.v')}, m -> {below})))"))
+    nodes = F.concat(*[F.col(f"l{d}") for d in range(1, depth + 1)])
     if max_depth is not None:
-        shape = F.schema_of_variant("v")
-        nested = (shape.startswith("ARRAY") | shape.startswith("OBJECT")) & ~F.to_json("v").isin("[]", "{}")
-        levels[-1] = levels[-1].withColumn(
-            "v", F.when(nested, F.raise_error(F.lit("record nested deeper than max_depth"))).otherwise(F.col("v"))
-        )
-    out = levels[0]
-    for deeper in levels[1:]:
-        out = out.unionByName(deeper)
-    return out
+        deeper = F.expr(f"exists(l{depth}, n -> size({_members('n.v')}) > 0)")
+        nodes = F.when(deeper, F.raise_error(F.lit("record nested deeper than max_depth")).cast(out.schema["l1"].dataType)).otherwise(nodes)
+    return out.select(*keys, F.explode(nodes).alias("n")).select(*keys, "n.path", "n.depth", "n.v")
 
 
 def type_cells(paths: DataFrame, keys: Sequence[str] = KEYS, with_json: bool = False) -> DataFrame:
@@ -87,7 +81,11 @@ def type_cells(paths: DataFrame, keys: Sequence[str] = KEYS, with_json: bool = F
         F.when(F.col("dtype") == "date", try_timestamp(text)).alias("date"),
         F.when(F.col("dtype") == "bool", F.try_variant_get("v", "$", "boolean")).alias("bool"),
         F.when(F.col("dtype") == "array", F.size(F.expr("try_cast(v AS array<variant>)"))).alias("alen"),
-        F.when((F.col("dtype") == "num") & F.to_json("v").rlike("^-?[0-9]{16,}$"), F.to_json("v")).alias("whole"),
+        # only a number this large is printed to see whether it is whole
+        F.when(
+            (F.col("dtype") == "num") & (F.abs(F.try_variant_get("v", "$", "double")) >= 1e15) & F.to_json("v").rlike("^-?[0-9]{16,}$"),
+            F.to_json("v"),
+        ).alias("whole"),
     ]
     if with_json:
         cols.append(F.to_json("v").alias("json"))

@@ -291,6 +291,13 @@ def unflatten_all(spark, sf):
     return R.unflatten_all(cells(spark, sf, "order", with_json=True)).select("rid", F.col("json").alias("doc"))
 
 
+@query("unflatten_mixed", with_parts(DOCS["order"]) + "SELECT rid, doc FROM docs")
+def unflatten_mixed(spark, sf):
+    """A table that mixes records of leaf cells with records that also hold their containers."""
+    mixed = cells(spark, sf, "order", with_json=True).filter((F.col("rid") % 2 == 0) | ~F.col("dtype").isin(*C.CONTAINERS))
+    return R.unflatten(mixed).select("rid", F.col("json").alias("doc"))
+
+
 @query("unflatten_table", with_parts(DOCS["event"]) + "SELECT rid, doc FROM docs")
 def unflatten_table(spark, sf):
     base = cells(spark, sf, "event", leaf_only=True, with_json=True)

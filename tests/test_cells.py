@@ -122,3 +122,45 @@ def test_nested_predicates(to_records):
     assert not flat["is_nested"] and not flat["has_flattened_columns"]
     deep = C.nested_predicates(C.flatten(to_records(train=[{"a": {"b": 1}}]))).first()
     assert deep["is_nested"] and deep["has_flattened_columns"]
+
+
+def test_each_record_is_rebuilt_in_its_own_mode(spark):
+    rows = [
+        (1, "a", "array", "[]"), (1, "b.x", "num", "1"), (1, "b", "object", '{"x":1,"y":2}'),
+        (2, "a.0", "num", "7"), (2, "a.1", "num", "8"), (2, "b.x", "num", "1"),
+        (3, "b.x", "num", "2"),
+    ]
+    cells = spark.createDataFrame(rows, "rid bigint, path string, dtype string, json string")
+    got = {r["rid"]: json.loads(r["json"]) for r in R.unflatten(cells, ["rid"]).collect()}
+    assert got == {1: {"a": [], "b": {"x": 1, "y": 2}}, 2: {"a": [7, 8], "b": {"x": 1}}, 3: {"a": [], "b": {"x": 2}}}
+
+
+def test_equal_paths_give_one_member(spark):
+    cells = spark.createDataFrame([(1, "a.b", "1"), (1, "a.b", "2"), (1, "a.c", "3")], "rid bigint, path string, json string")
+    assert R.fold(cells, keys=["rid"]).first()["json"] == '{"a":{"b":1,"c":3}}'
+
+
+def test_flatten_reads_records_once_at_any_depth(to_records):
+    deep = {"x": 1}
+    for i in range(12):
+        deep = {f"k{i}": deep, "s": 'a"[{\\'} if i % 2 else {"l": [deep, {}, "]"]}
+    base = to_records(train=[deep, {"z": []}])
+    plan = C.flatten(base)._jdf.queryExecution().toString()
+    assert plan.count("Generate explode") >= 1
+    physical = plan[plan.index("== Physical Plan"):]
+    assert physical.count("Scan") == 1 and physical.count("Generate") == 1
+    leaves = {r["path"] for r in C.flatten(base).filter("dtype = 'num'").collect()}
+    assert any(p.count(".") > 12 for p in leaves)
+    back = {r["rid"]: json.loads(r["json"]) for r in R.unflatten_all(C.flatten(base, with_json=True)).collect()}
+    assert back == {0: deep, 1: {"z": []}}
+    with pytest.raises(Exception, match="nested deeper"):
+        C.flatten(base, max_depth=5).collect()
+
+
+def test_names_are_quoted_as_spark_does(spark):
+    names = ["plain", 'q"uote', "tab\tline\n", "\x01\x1f", "é€", "a/b", " "]
+    rows = [(1, n, "1") for n in names]
+    out = R.fold(spark.createDataFrame(rows, "rid bigint, path string, json string"), keys=["rid"])
+    quoted = spark.createDataFrame([(n,) for n in names], "n string").select(F.to_json(F.array("n")).alias("j")).collect()
+    text = out.first()["json"]
+    assert all(r["j"][1:-1] + ":1" in text for r in quoted)

@@ -21,6 +21,7 @@ from cellwise.functions.expr import (
     suffix_rank,
     try_timestamp,
 )
+from cellwise.session import materialize
 
 KEYS = ("rid", "split", "replicate")
 CONTAINERS = ("array", "object")
@@ -177,6 +178,31 @@ def homogeneous_paths(cells: DataFrame, n_records: int) -> DataFrame:
     )
 
 
+def separate_columns(
+    cells: DataFrame, n_records: int, columns: Sequence[str] | None = None, force: bool = False, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Fields as columns of a flat table: (keys, ``path``, ``typ``, ``col``, ``x``, ``s``, ``kept``).
+
+    A field of one value type that no record lacks keeps its name, and so does one outside of ``columns`` if they are
+    given; the other fields become typed columns, all of them with ``force``. A kept column has one row per cell: its dtype in
+    ``typ``, which is the recorded type needed to restore it, and its value; the text of a container is in ``s`` if
+    the cells have ``json``."""
+    uniform = homogeneous_paths(cells, n_records).select("path", (F.col("passthrough") & F.lit(not force)).alias("kept"))
+    if columns is not None:
+        uniform = uniform.select("path", (F.col("kept") | ~F.col("path").isin(*columns)).alias("kept"))
+    fields = materialize(uniform)
+    typed = typed_view(cells, keys).join(fields.filter("NOT kept").select("path"), "path")
+    separated = typed.select(*keys, "path", "typ", F.concat_ws(".", "path", "typ").alias("col"), "x", "s", F.lit(False).alias("kept"))
+    own = cells.join(fields.filter("kept").select("path"), "path")
+    value = F.when(F.col("dtype") == "num", F.col("num")).when(F.col("dtype") == "date", F.unix_micros("date").cast("double"))
+    exact = F.col("whole") if "whole" in cells.columns else F.lit(None).cast("string")
+    text = F.when(F.col("dtype") == "cat", F.col("cat")).when(F.col("dtype") == "num", exact).when(F.col("dtype") == "bool", python_bool(F.col("bool")))
+    if "json" in cells.columns:
+        text = F.when(F.col("dtype").isin(*CONTAINERS), F.col("json")).otherwise(text)
+    plain = own.select(*keys, "path", F.col("dtype").alias("typ"), F.col("path").alias("col"), value.alias("x"), text.alias("s"), F.lit(True).alias("kept"))
+    return separated.unionByName(plain)
+
+
 def column_catalog(cells: DataFrame) -> DataFrame:
     """Typed columns that exist: (path, typ, col) for every dtype seen at a path."""
     seen = cells.select("path", "dtype").distinct()

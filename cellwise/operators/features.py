@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellwise.operators.cells import KEYS
 from cellwise.operators.stats import running_totals
+from cellwise.session import materialize
 
 NUMERIC = ("num", "alen", "date")
 ABSENT_LABEL = "NaN"  # fixed value: category of an absent text
@@ -111,8 +112,11 @@ def ordinal_codes(typed: DataFrame, records: DataFrame, columns: DataFrame) -> D
 def encode_features(
     typed: DataFrame, records: DataFrame, exclude: Sequence[str] = (), keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """All features of all records: (keys, name, value), without null entries."""
-    columns = informative_columns(typed, records.agg(F.count(F.lit(1))), exclude)
+    """All features of all records: (keys, name, value), without null entries.
+
+    Typed rows and their columns are written first, since every kind of feature reads them."""
+    typed = materialize(typed)
+    columns = materialize(informative_columns(typed, records.agg(F.count(F.lit(1))), exclude))
     kept = typed.join(columns.select("path", "typ"), ["path", "typ"], "left_semi")
     return (
         encode_numeric(kept, keys)

@@ -192,29 +192,38 @@ def bin_edges(rows: DataFrame, real="train", synth="synth", replicates=None) ->
     return proven.select(*PAIR, "lo", "hi", "bins")
 
 
-def bin_of(x, lo, hi, bins):
-    """Index of the right-closed equal-width bin; the lowest value is in bin 0."""
+def cut_points(lo, hi, bins):
+    """Inner edges of equal-width bins; a value belongs to the bin after the edges below it."""
     width = (hi - lo) / bins
-    steps = [F.when((F.lit(i) < bins) & (x > lo + F.lit(float(i)) * width), 1).otherwise(0) for i in range(1, MAX_BINS)]
-    return sum(steps[1:], steps[0])
+    inner = F.transform(F.sequence(F.lit(1), F.greatest(bins, F.lit(2)) - 1), lambda i: lo + i.cast("double") * width)
+    return F.when(bins > 1, inner).otherwise(F.array().cast("array<double>"))
 
 
 def mixed_contingency(rows: DataFrame, real="train", synth="synth", replicates=None) -> DataFrame:
-    """Number-label pairs: bin the number over its co-present range, then total variation."""
+    """Number-label pairs: bin the number over its co-present range, then total variation.
+
+    The edges of all replicates of a pair cut the line into elementary intervals. Rows are counted by interval once;
+    the counts go to the replicates, where an interval lies in one bin."""
     edges = bin_edges(rows, real, synth, replicates)
-    mixed = _mixed(rows)
-    if replicates is None:
-        mixed = mixed.withColumn("replicate", F.lit(0))
-    else:
-        reps = F.array(*[F.lit(int(r)) for r in replicates])
-        mixed = mixed.withColumn("replicate", F.explode(F.when(F.col("split") == real, reps).otherwise(F.array("replicate"))))
-    binned = mixed.join(edges, list(PAIR)).select(
-        "split", *PAIR, F.col("k"), bin_of(F.col("x"), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")
+    own = F.struct("replicate", cut_points(F.col("lo"), F.col("hi"), F.col("bins")).alias("cuts"))
+    per_pair = materialize(
+        edges.groupBy("a", "b").agg(F.collect_list(own).alias("own")).withColumn("cuts", F.array_sort(F.array_distinct(F.flatten("own.cuts"))))
     )
-    is_real = F.col("split") == real
-    counts = binned.groupBy(*PAIR, "k", "bin").agg(
-        F.count_if(is_real).alias("n_real"), F.count_if(~is_real).alias("n_synth")
+    mixed = _side_replicate(_mixed(rows), real, replicates)
+    interval = F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("interval")
+    counted = (
+        mixed.join(per_pair.select("a", "b", "cuts"), ["a", "b"])
+        .select("split", "replicate", "a", "b", "k", interval)
+        .groupBy("split", "replicate", "a", "b", "k", "interval")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    bounds = per_pair.select("a", "b", F.col("cuts").alias("every"), F.explode("own").alias("o")).select("a", "b", "every", "o.replicate", "o.cuts")
+    below = F.filter("cuts", lambda c: c <= F.element_at("every", F.col("interval")))  # edges at or under the interval's lower end
+    placed = _to_replicates(counted, real, replicates).join(bounds, list(PAIR))
+    bin_ = F.when(F.col("interval") == 0, 0).otherwise(F.size(below)).alias("bin")
+    is_real = F.col("split") == real
+    n = lambda side: F.sum(F.when(side, F.col("n")).otherwise(0))
+    counts = placed.select("split", *PAIR, "k", bin_, "n").groupBy(*PAIR, "k", "bin").agg(n(is_real).alias("n_real"), n(~is_real).alias("n_synth"))
     return tv_complement(counts, PAIR)
 
 

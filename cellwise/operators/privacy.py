@@ -371,7 +371,7 @@ def privacy_vectors(cells: DataFrame, records: DataFrame, n_components: int = 40
     ``n_components`` features."""
     keys = ("rid", "split")
     typed = typed_view(cells, keys)
-    features = materialize(scale_by_train_range(materialize(encode_features(materialize(typed), records, keys=keys))))
+    features = materialize(scale_by_train_range(materialize(encode_features(typed, records, keys=keys))))
     n_features = features.select("name").distinct().count()
     return random_projection(sparse_vectors(features), n_features, n_components, seed)
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from cellwise.operators import cells as C
 from cellwise.operators import cleaning as K
 from cellwise.operators import rebuild as R
-from cellwise.plans.common import DEPTH, both, cells, docs, records
+from cellwise.plans.common import DEPTH, both, cells, cells_of as own_cells, docs, prepared, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, with_parts
 from cellwise.plans.registry import query
 from cellwise.session import scratch_dir, table
+from cellwise.sources import catalog as CATALOG
 from cellwise.sources import records as IO
 
 LEAVES = "dtype NOT IN ('array', 'object')"
@@ -52,6 +53,28 @@ def sink_jsonl(spark, sf):
     return IO.read_jsonl(spark, path)[0].select(F.to_json("v").alias("doc"))
 
 
+@query("catalog_set", with_parts(DOCS["event"]) + "SELECT split, doc FROM docs WHERE split <> 'synth'")
+def catalog_set(spark, sf):
+    """A registered set is loaded by its own path, with its canonical split."""
+    path = _fresh(spark)
+    base = records(spark, sf, "event")
+    for split in ("train", "test"):
+        IO.write_jsonl(base.filter(F.col("split") == split), f"{path}/{split}.jsonl")
+    entry = CATALOG.DataSet("event_files", "type", "multiclass", tabular=False, canonical_split=True, path=path)
+    return CATALOG.load_set(spark, entry).select("split", F.to_json("v").alias("doc"))
+
+
+@query(
+    "prepared_manifest",
+    with_parts(DOCS["event"]) + "SELECT split, count(*) AS n, true AS ok FROM docs GROUP BY split",
+)
+def prepared_manifest(spark, sf):
+    """Rows and digests of prepared splits against the manifest that was written last."""
+    path = _fresh(spark)
+    prepared = IO.prepare_splits(records(spark, sf, "event").select("rid", "split", "v"), path)
+    return IO.verify_splits(prepared, path)
+
+
 @query(
     "sink_prepared",
     with_parts(DOCS["event"]) + "SELECT split, count(*) AS n, min(doc) AS first_doc FROM docs GROUP BY split",
@@ -291,6 +314,22 @@ def unflatten_all(spark, sf):
     return R.unflatten_all(cells(spark, sf, "order", with_json=True)).select("rid", F.col("json").alias("doc"))
 
 
+@query(
+    "separate_columns",
+    with_parts(*cells_of("event"), TYPED)
+    + """, fields AS (SELECT path, path = 'ts' OR (count(DISTINCT dtype) FILTER (dtype <> 'null') <= 1 AND count(*) = (SELECT count(*) FROM docs)) AS kept FROM cells GROUP BY path)
+SELECT rid, path || '.' || typ AS col, typ, x, s, false AS kept FROM typed JOIN fields USING (path) WHERE NOT kept
+UNION ALL SELECT rid, path, dtype, CASE dtype WHEN 'num' THEN num WHEN 'date' THEN date_us::DOUBLE END,
+  CASE dtype WHEN 'cat' THEN cat WHEN 'bool' THEN CASE WHEN bool THEN 'True' ELSE 'False' END WHEN 'object' THEN json END, true FROM cells JOIN fields USING (path) WHERE kept""",
+)
+def separate_columns(spark, sf):
+    """Typed and kept columns in one call: uniform fields keep their name, and so does the one left out."""
+    base = prepared(spark, sf, "event")
+    own = own_cells(base, "event", with_json=True)
+    out = C.separate_columns(own, base.count(), columns=["props", "props.k", "type", "value", "vip"])
+    return out.select("rid", "col", "typ", "x", "s", "kept")
+
+
 @query("unflatten_mixed", with_parts(DOCS["order"]) + "SELECT rid, doc FROM docs")
 def unflatten_mixed(spark, sf):
     """A table that mixes records of leaf cells with records that also hold their containers."""

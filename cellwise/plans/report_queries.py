@@ -20,6 +20,7 @@ from cellwise.plans.boosting_sql import boosted, fold_areas, fold_gains
 from cellwise.plans.common import both, cells, r6, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, fields_of, with_parts
 from cellwise.plans.registry import query
+from cellwise.plans.sampling_queries import FAIR
 from cellwise.session import materialize, scratch_dir, spread, table
 from cellwise.sources import results as RS
 
@@ -216,13 +217,14 @@ steps AS (SELECT path, typ, x, lead(x) OVER w - x AS gap,
   FROM own WINDOW w AS (PARTITION BY path, typ ORDER BY x)),
 area AS (SELECT path, typ, coalesce(sum(abs(d) * gap), 0) AS w1 FROM steps GROUP BY path, typ)
 SELECT path, typ, round(sum(x * nr) / sum(nr), 4) AS mean_real, round(sqrt(greatest(sum(x * x * nr) / sum(nr) - (sum(x * nr) / sum(nr)) * (sum(x * nr) / sum(nr)), 0)), 4) AS sd_real,
-  round(sum(x * ns) / sum(ns), 4) AS mean_synth, round(any_value(w1), 4) AS wasserstein
+  round(sum(x * ns) / sum(ns), 4) AS mean_synth, round(sqrt(greatest(sum(x * x * ns) / sum(ns) - (sum(x * ns) / sum(ns)) * (sum(x * ns) / sum(ns)), 0)), 4) AS sd_synth,
+  round(any_value(w1), 4) AS wasserstein
 FROM own JOIN area USING (path, typ) GROUP BY path, typ HAVING sum(nr) > 0 AND sum(ns) > 0""",
 )
 def wasserstein(spark, sf):
     counts = S.value_counts(cells(spark, sf, "order")).filter("typ IN ('num', 'alen')")
     out = T.wasserstein(counts, ["path", "typ"]).filter("mean_real IS NOT NULL AND mean_synth IS NOT NULL")
-    return out.select("path", "typ", *[F.round(c, 4).alias(c) for c in ("mean_real", "sd_real", "mean_synth", "wasserstein")])
+    return out.select("path", "typ", *[F.round(c, 4).alias(c) for c in ("mean_real", "sd_real", "mean_synth", "sd_synth", "wasserstein")])
 
 
 @query(
@@ -395,12 +397,36 @@ def label_encode(spark, sf):
 
 @query(
     "utility_constant",
-    "SELECT event_id AS rid, 3.0::DOUBLE AS prediction FROM events WHERE event_id % 5 = 2",
+    """WITH codes AS (SELECT event_type AS t, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events WHERE event_id % 5 = 2
+    UNION SELECT min(event_type) FROM events UNION SELECT max(event_type) FROM events))
+SELECT trained_on, event_id AS rid, (SELECT code::DOUBLE FROM codes WHERE t = event_type) AS label, (SELECT code::DOUBLE FROM codes WHERE t = own) AS prediction, [1.0::DOUBLE] AS p
+FROM events, (SELECT 'real' AS trained_on, min(event_type) AS own FROM events UNION ALL SELECT 'synth', max(event_type) FROM events) WHERE event_id % 5 = 2""",
 )
 def utility_constant(spark, sf):
-    """Training rows of one class predict it for every test row."""
-    rows = table(spark, sf, "events").selectExpr("event_id AS rid", "cast(3 AS double) AS label")
-    return L.constant_prediction(rows.filter("rid % 5 = 0"), rows.filter("rid % 5 = 2")).select("rid", "prediction")
+    """Whole predictions for all test events of models that were trained on one class each."""
+    types = table(spark, sf, "events").agg(F.min("event_type").alias("low"), F.max("event_type").alias("high")).first()
+    own = F.try_variant_get("v", "$.type", "string")
+    one_class = ((F.col("split") == "train") & (own == types["low"])) | ((F.col("split") == "synth") & (own == types["high"]))
+    base = materialize(records(spark, sf, "event").filter((F.col("split") == "test") | one_class))
+    return L.utility_predictions(flatten(base, max_depth=2), base, "type").select("trained_on", "rid", "label", "prediction", "p")
+
+
+@query(
+    "target_exclusion",
+    with_parts(*cells_of("event"))
+    + """, fields AS (SELECT DISTINCT path FROM cells)
+SELECT path, count(*) AS n, (SELECT 'Target field ' || chr(39) || 'nothing' || chr(39) || ' not found. Available fields: [' || string_agg(chr(39) || path || chr(39), ', ' ORDER BY path) || ']' FROM fields) AS refused
+FROM cells WHERE path <> 'props' AND NOT starts_with(path, 'props.') GROUP BY path""",
+)
+def target_exclusion(spark, sf):
+    """Feature cells of a nested target, and the error for a target that does not exist."""
+    own = materialize(cells(spark, sf, "event"))
+    refused = ""
+    try:
+        L.check_target(own, "nothing")
+    except ValueError as error:
+        refused = str(error)
+    return L.feature_cells(own, "props").groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
 
 
 def U(name: str, seed: int = 42, rid: str = "rid") -> str:
@@ -477,18 +503,22 @@ def evaluate_all(spark, sf):
 
 @query(
     "evaluate_dcr",
-    with_parts(DOCS["customer"])
-    + """SELECT r AS replicate, metric, v::DOUBLE AS value FROM (
-  SELECT r, count(*) FILTER (d.split = 'train') AS num_train, count(*) FILTER (d.split = 'test') AS num_eval,
-    count(*) FILTER (d.split = 'synth' AND d.replicate = r) AS num_synth,
-    count(*) FILTER (d.split = 'synth' AND d.replicate = r AND doc IN (SELECT doc FROM docs WHERE split = 'train')) AS copies
-  FROM docs d, (VALUES (1), (2), (3)) t(r) GROUP BY r)
-UNPIVOT (v FOR metric IN (num_train, num_eval, num_synth, copies))""".replace("copies)", "privacy_exact_matches_train)").replace("AS copies", "AS privacy_exact_matches_train"),
+    with_parts(DOCS["customer"], FAIR)
+    + """, sides AS (SELECT r, d.rid, d.split, d.doc, d.doc IN (SELECT doc FROM docs WHERE split = 'train') AS a, d.doc IN (SELECT doc FROM docs WHERE split = 'test') AS b
+  FROM docs d, (VALUES (1), (2), (3)) t(r) WHERE d.split <> 'synth' OR d.replicate = r),
+facts AS (SELECT r, count(*) FILTER (s.split = 'train')::DOUBLE AS num_train, count(*) FILTER (s.split = 'test')::DOUBLE AS num_eval, count(*) FILTER (s.split = 'synth')::DOUBLE AS num_synth,
+    count(*) FILTER (s.split = 'synth' AND a)::DOUBLE AS privacy_exact_matches_train, count(*) FILTER (s.split = 'synth' AND b)::DOUBLE AS privacy_exact_matches_test,
+    count(*) FILTER (s.split = 'synth' AND a AND NOT b)::DOUBLE AS privacy_exact_matches_train_only,
+    avg(CASE WHEN d_train < d_test THEN 100.0 ELSE 0.0 END) FILTER (s.split = 'synth')::DOUBLE AS privacy_dcr_score
+  FROM sides s LEFT JOIN dcr USING (rid) GROUP BY r),
+scored AS (SELECT *, 1 - 2 * greatest(privacy_dcr_score / 100 - 0.5, 0) AS privacy FROM facts)
+SELECT CAST(r AS INTEGER) AS replicate, metric, round(value, 6) AS value FROM scored UNPIVOT (value FOR metric IN (num_train, num_eval, num_synth,
+  privacy_exact_matches_train, privacy_exact_matches_test, privacy_exact_matches_train_only, privacy_dcr_score, privacy))""",
 )
 def evaluate_dcr(spark, sf):
-    """Privacy mode per replicate: record counts and exact copies of the long metrics table."""
+    """Privacy mode per replicate: the whole long metrics table."""
     metrics = EV.evaluate_mode(records(spark, sf, "customer"), lambda r: flatten(r, max_depth=1), (1, 2, 3), mode="dcr")
-    return metrics.filter(F.col("metric").isin("num_train", "num_eval", "num_synth", "privacy_exact_matches_train"))
+    return metrics.select("replicate", "metric", r6("value"))
 
 
 # -- benchmark and generation -----------------------------------------------------------------

@@ -5,8 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cellwise.operators.splitting import resplit_half, split_random
+from cellwise.session import materialize
 from cellwise.sources import fixtures
+from cellwise.sources.records import read_lines
 
 
 @dataclass(frozen=True)
@@ -52,3 +56,27 @@ VIEWS = {"events": fixtures.event_docs, "orders": fixtures.order_docs, "conversa
 def load_documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     CATALOG.get(name)
     return VIEWS[name](spark, sf_dir)
+
+
+def load_set(spark: SparkSession, entry: DataSet | str, seed: int = 42, dcr: bool = False) -> DataFrame:
+    """Records (``rid``, ``split``, ``v``) of a data set from the JSON lines under its own path.
+
+    With a canonical split, ``train.jsonl`` and ``test.jsonl`` are kept apart; else all ``*.jsonl`` are split by the set's ratio.
+    ``dcr`` merges all rows and cuts them into halves. A corrupt line is an error."""
+    entry = CATALOG.get(entry) if isinstance(entry, str) else entry
+    if not entry.path:
+        raise ValueError(f"Dataset {entry.name} has no path")
+    parts = ("train", "test") if entry.canonical_split else ("*",)
+    rows = None
+    for part in parts:
+        parsed = read_lines(spark, f"{entry.path}/{part}.jsonl")
+        sound = F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("corrupt line in "), F.col("file")))).otherwise(F.col("v"))
+        tagged = parsed.select(F.lit(part).alias("split"), sound.alias("v"))
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("rid"), "split", "v"))
+    if dcr:
+        halves = resplit_half(rows.filter(F.col("split") == parts[0]), rows.filter(F.col("split") != parts[0]), seed)
+        return halves.select("rid", F.col("part").alias("split"), "v")
+    if entry.canonical_split:
+        return rows
+    return split_random(rows, entry.split_ratio, seed).select("rid", F.col("part").alias("split"), "v")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, VariantType
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,16 +29,64 @@ def write_jsonl(records: DataFrame, path: str, mode: str = "errorifexists") -> N
     records.select(F.to_json("v").alias("value")).write.mode(mode).text(path)
 
 
+MANIFEST = "run string, split string, n bigint, digest bigint, splits int"
+
+
+def split_facts(records: DataFrame) -> DataFrame:
+    """(split, n, digest): rows and an order-free digest of every column, per split."""
+    text = [F.to_json(f.name) if isinstance(f.dataType, VariantType) else F.col(f.name) for f in records.schema if f.name != "split"]
+    return records.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), *text)).alias("digest"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """Manifest rows of the first complete run under ``path``, or None. Only a missing folder counts as none:
+    any other error is the caller's."""
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{path}/_manifest")
+        runs = rows.groupBy("run").agg(F.count(F.lit(1)).alias("held"), F.max("splits").alias("splits")).filter("held = splits")
+        first = runs.agg(F.min("run").alias("run")).first()["run"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.filter(F.col("run") == first) if first else None
+
+
 def prepare_splits(records: DataFrame, path: str) -> DataFrame:
-    """Write records once, partitioned by split; a folder that an earlier call completed is kept.
+    """Write records once, partitioned by split; splits that an earlier call completed are kept.
 
-    A folder without the success mark of its writer is left over from a failed write and replaced."""
+    Every call writes a folder of its own, and then the manifest (rows and digest of each split) in one file. A
+    failed write has no manifest row and is never read, and nothing is ever overwritten."""
     spark = records.sparkSession
-    try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").isEmpty()
-    except AnalysisException:
-        records.write.mode("overwrite").partitionBy("split").parquet(path)
-    return spark.read.parquet(path)
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        run = uuid.uuid4().hex
+        records.write.partitionBy("split").parquet(f"{path}/run-{run}")
+        written = spark.read.schema(_split_last(records)).parquet(f"{path}/run-{run}")
+        facts = split_facts(written)
+        count = facts.agg(F.count(F.lit(1)).cast("int")).scalar()
+        rows = facts.select(F.lit(run).alias("run"), "split", "n", "digest", count.alias("splits"))
+        rows.coalesce(1).write.mode("append").json(f"{path}/_manifest")  # one row per split, one file: all or nothing
+        manifest = read_manifest(spark, path)
+        if manifest is None:  # a table without rows has no splits to list
+            return written
+    run = manifest.first()["run"]
+    return spark.read.schema(_split_last(records)).parquet(f"{path}/run-{run}")
+
+
+def _split_last(records: DataFrame) -> StructType:
+    fields = [f for f in records.schema if f.name != "split"]
+    return StructType([*fields, *(f for f in records.schema if f.name == "split")])
+
+
+def verify_splits(prepared: DataFrame, path: str) -> DataFrame:
+    """(split, n, ok): each split of the manifest, and whether the rows read agree with it."""
+    manifest = read_manifest(prepared.sparkSession, path)
+    if manifest is None:
+        raise ValueError(f"no complete preparation under {path}")
+    found = split_facts(prepared).select("split", F.col("n").alias("n_read"), F.col("digest").alias("digest_read"))
+    same = F.col("n").eqNullSafe(F.col("n_read")) & F.col("digest").eqNullSafe(F.col("digest_read"))
+    return manifest.join(found, "split", "left").select("split", "n", same.alias("ok"))
 
 
 def read_replicates(spark: SparkSession, folder: str, stem: str = "synthetic") -> DataFrame:

@@ -164,3 +164,14 @@ def test_names_are_quoted_as_spark_does(spark):
     quoted = spark.createDataFrame([(n,) for n in names], "n string").select(F.to_json(F.array("n")).alias("j")).collect()
     text = out.first()["json"]
     assert all(r["j"][1:-1] + ":1" in text for r in quoted)
+
+
+def test_columns_are_kept_or_separated(to_records):
+    base = to_records(train=[{"a": 1, "b": "x", "c": [1]}, {"a": 2.5, "b": 3, "c": []}, {"a": 3, "b": None, "c": [2]}])
+    cells = C.flatten(base, with_json=True, max_depth=2).filter("depth = 1")
+    cols = lambda **k: {r["col"] for r in C.separate_columns(cells, 3, **k).collect()}
+    assert cols() == {"a", "b.dtype", "b.num", "b.cat", "c"}
+    assert cols(force=True) == {"a.dtype", "a.num", "b.dtype", "b.num", "b.cat", "c.dtype", "c.alen"}
+    assert cols(columns=["a"]) == {"a", "b", "c"} and cols(columns=["a"], force=True) == {"a.dtype", "a.num", "b", "c"}
+    kept = {(r["col"], r["typ"], r["x"], r["s"]) for r in C.separate_columns(cells, 3, columns=[]).collect()}
+    assert {("b", "cat", None, "x"), ("b", "num", 3.0, None), ("b", "null", None, None), ("c", "array", None, "[]")} <= kept

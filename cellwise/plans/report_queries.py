@@ -16,7 +16,7 @@ from cellwise.operators import utility as L
 from cellwise.operators.cells import flatten
 from cellwise.operators.generation import generate_replicates, pending_replicates
 from cellwise.plans import evaluate as EV
-from cellwise.plans.boosting_sql import boosted, fold_areas, fold_gains
+from cellwise.plans.boosting_sql import FOLDS, boosted, by_class, class_predictions, fold_areas, fold_gains
 from cellwise.plans.common import both, cells, r6, records
 from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, fields_of, with_parts
 from cellwise.plans.registry import query
@@ -451,7 +451,7 @@ def impute_targets(spark, sf):
 
 # -- models -----------------------------------------------------------------------------------
 
-BOOSTED = with_parts(*cells_of("event"), TYPED, boosted(D.TREES, D.DEPTH))
+BOOSTED = with_parts(*cells_of("event"), TYPED, boosted(FOLDS, D.TREES, D.DEPTH))
 
 
 @query(
@@ -478,6 +478,17 @@ def feature_importances(spark, sf):
     return D.feature_importances(gains).select("feature", r6("gain"))
 
 
+@query(
+    "utility_predictions",
+    with_parts(*cells_of("event"), TYPED, boosted(by_class("type", 5), 5, 3, 5), class_predictions(5, 5))
+    + "SELECT trained_on, rid, prediction, round(p, 5) AS p FROM predicted",
+)
+def utility_predictions(spark, sf):
+    """Class and probability of every test event by five rounds of five-class trees, trained on real and on synthetic events."""
+    found = L.utility_predictions(*both(spark, sf, "event"), "type", trees=5, depth=3)
+    return found.select("trained_on", "rid", "prediction", F.round(F.array_max("p"), 5).alias("p"))
+
+
 @query("utility_classification")
 def utility_classification(spark, sf):
     metrics = L.utility_metrics(*both(spark, sf, "event"), "type")

@@ -39,9 +39,32 @@ def _literal_text(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def literal_to_json(texts: pd.Series) -> pd.Series:
-    """Python literal texts to JSON text; a text that is no literal stays a JSON string."""
-    return texts.map(_literal_text)
+def _parsed_literal(texts: pd.Series) -> pd.Series:
+    return texts.map(_literal_text, na_action="ignore")
+
+
+# Forms that need no parser: whole numbers, plain texts, lists of both, and words, which are no literal.
+_WHOLE = "(?:0|-?[1-9][0-9]*)"
+_PLAIN = "'[A-Za-z0-9 _.:/+-]*'"
+_LIST = rf"\[(?:(?:{_PLAIN}|{_WHOLE})(?:, (?:{_PLAIN}|{_WHOLE}))*)?\]"
+_WORDS = "[A-Za-z][A-Za-z0-9]*(?:[ -][A-Za-z][A-Za-z0-9]*)*"
+
+
+def literal_to_json(texts: Column | str) -> Column:
+    """Python literal texts to JSON text; a text that is no literal stays a JSON string.
+
+    The common forms are rewritten by built-in functions; only other texts reach Python."""
+    texts = F.col(texts) if isinstance(texts, str) else texts
+    whole = lambda pattern: texts.rlike(rf"\A(?:{pattern})\z")
+    common = (
+        F.when(texts == "True", "true")
+        .when(texts == "False", "false")
+        .when(texts == "None", "null")
+        .when(whole(_WHOLE), texts)
+        .when(whole(f"{_PLAIN}|{_LIST}"), F.replace(texts, F.lit("'"), F.lit('"')))
+        .when(whole(_WORDS), F.concat(F.lit('"'), texts, F.lit('"')))
+    )
+    return F.coalesce(common, _parsed_literal(F.when(common.isNull(), texts)))
 
 
 def clean_categoricals(

@@ -45,15 +45,11 @@ def pair_columns(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def pair_catalog(columns: DataFrame) -> DataFrame:
-    """All pairs of kept columns, first before second in column order."""
-    listed = columns.groupBy("replicate").agg(
-        F.sort_array(F.collect_list(F.struct("o", "col", "continuous"))).alias("cols")
-    )
-    first = listed.select("replicate", "cols", F.posexplode("cols").alias("i", "x"))
-    return first.select(
-        "replicate", "x", F.explode(F.expr("slice(cols, i + 2, size(cols))")).alias("y")
-    ).select(
-        "replicate",
+    """All pairs of kept columns, first before second in column order: a join of the written columns with themselves."""
+    columns = materialize(columns.select("replicate", "o", "col", "continuous"))
+    x, y = columns.alias("x"), columns.alias("y")
+    return x.join(y, (F.col("x.replicate") == F.col("y.replicate")) & (F.col("x.o") < F.col("y.o"))).select(
+        F.col("x.replicate").alias("replicate"),
         F.col("x.o").alias("a"),
         F.col("y.o").alias("b"),
         F.concat_ws("|", "x.col", "y.col").alias("pair"),
@@ -271,8 +267,9 @@ def pair_fidelity(
 
 def pair_weights(pairs: DataFrame) -> DataFrame:
     """Share of each pair in the total co-presence; raw weights when the total is zero."""
-    total = F.sum("presence").over(Window.partitionBy("replicate"))
-    return pairs.withColumn("weight", F.when(total > 0, F.col("presence") / total).otherwise(F.col("presence")))
+    totals = pairs.groupBy("replicate").agg(F.sum("presence").alias("total"))
+    weight = F.when(F.col("total") > 0, F.col("presence") / F.col("total")).otherwise(F.col("presence"))
+    return pairs.join(F.broadcast(totals), "replicate").select(*pairs.columns, weight.alias("weight"))  # one row per replicate
 
 
 def column_pair_trends(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -304,12 +304,12 @@ def nearest_distances(vectors: DataFrame, synth: str = "synth", fan: int = FAN,
     refs = materialize(
         vectors.filter(F.col("split") != synth).groupBy(F.col("split").alias("side"), "vec").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
     )
-    sides = refs.select("side").distinct()
-    if sides.isEmpty():
+    if refs.isEmpty():
         raise ValueError("no reference records")
+    sides = refs.agg(F.collect_set("side")).scalar()
     levels, leaves = ball_tree(refs, fan, leaf_rows)
     queries = vectors.filter(F.col("split") == synth).groupBy("vec").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
-    start = materialize(queries.join(F.broadcast(sides)).select("side", F.lit(1).cast("bigint").alias("node"), "vec", "idx", "val", F.lit(float("inf")).alias("best"), F.lit(0.0).alias("bound")))
+    start = materialize(queries.select(F.explode(sides).alias("side"), F.lit(1).cast("bigint").alias("node"), "vec", "idx", "val", F.lit(float("inf")).alias("best"), F.lit(0.0).alias("bound")))
     at, ends = start, None
     for level in levels:  # a query that has come to a leaf finds no balls there, and stays behind
         here = level.select("side", "node").distinct()

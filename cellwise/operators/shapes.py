@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions.expr import VALUE_TYPES
@@ -119,9 +119,9 @@ def field_fidelity(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def with_weights(fields: DataFrame, raw: str = "presence") -> DataFrame:
     """Add the share of each field in the total presence (uniform when it is zero)."""
-    every = Window.partitionBy("replicate")
-    total, n = F.sum(raw).over(every), F.count(F.lit(1)).over(every)
-    return fields.withColumn("weight", F.when(total > 0, F.col(raw) / total).otherwise(F.lit(1.0) / n))
+    totals = fields.groupBy("replicate").agg(F.sum(raw).alias("total"), F.count(F.lit(1)).alias("fields"))
+    weight = F.when(F.col("total") > 0, F.col(raw) / F.col("total")).otherwise(F.lit(1.0) / F.col("fields"))
+    return fields.join(F.broadcast(totals), "replicate").select(*fields.columns, weight.alias("weight"))  # one row per replicate
 
 
 def column_shapes(fields: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from cellwise.operators import detection as D
 from cellwise.operators import profiling as N
 from cellwise.operators import reporting as O
 from cellwise.operators import shapes as S
+from cellwise.operators import specification as SP
 from cellwise.operators import stats as T
 from cellwise.operators import utility as L
 from cellwise.operators.cells import flatten
@@ -532,6 +533,119 @@ def evaluate_dcr(spark, sf):
     return metrics.select("replicate", "metric", r6("value"))
 
 
+# -- a specification over the given tables ------------------------------------------------------
+
+EVENT_FACTS = [
+    ("miss_ts", "missing", "ts", None, None, None),
+    ("miss_value", "missing", "value", None, None, None),
+    ("miss_type", "missing", "type", None, None, None),
+    ("miss_ts_vip", "missing", "ts", "vip", None, "True"),
+    ("miss_ts_plain", "missing", "ts", "vip", None, "False"),
+    ("corr_value_k", "correlation", "value", "props.k", None, None),
+    ("mean_value", "mean", "value", None, None, None),
+    ("mean_value_click", "mean", "value", "type", None, "click"),
+    ("mean_k_vip", "mean", "props.k", "vip", None, "True"),
+    ("share_vip", "share", "vip", None, "True", None),
+    ("share_click", "share", "type", None, "click", None),
+    ("share_click_vip", "share", "type", "vip", "click", "True"),
+    ("types", "distinct", "type", None, None, None),
+    ("ks", "distinct", "props.k", None, None, None),
+    ("flags", "distinct", "vip", None, None, None),
+    ("odd_value", "odd", "value", None, "num", None),
+    ("odd_type", "odd", "type", None, "cat", None),
+    ("nothing", "mean", "no_such_field", None, None, None),
+]
+EVENT_CHECKS = [
+    ("type_is_there", "at_most", "miss_type", None, 0.02, None, False),
+    ("ts_is_missing", "near", "miss_ts", None, 0.14, 0.05, True),
+    ("value_is_dense", "at_most", "miss_value", None, 0.001, None, True),
+    ("ts_missing_alike", "same", "miss_ts", None, None, 0.05, False),
+    ("ts_missing_for_vip", "above", "miss_ts_vip", "miss_ts_plain", None, 0.2, False),
+    ("correlation_kept", "same", "corr_value_k", None, None, 0.15, False),
+    ("mean_kept", "same", "mean_value", None, None, 5.0, False),
+    ("vip_balance", "same", "share_vip", None, None, 0.15, False),
+    ("click_balance", "same", "share_click_vip", None, None, 0.15, True),
+    ("all_types", "near", "types", None, 5.0, 0.5, False),
+    ("value_types", "at_most", "odd_value", None, 0.0, None, True),
+    ("type_types", "at_most", "odd_type", None, 0.0, None, False),
+    ("no_field", "same", "nothing", None, None, 1.0, True),
+]
+AMONG = {"vip": "vip = {}", "type": "type = '{}'"}
+
+
+def _fact_sql(name, measure, field, other, value, among):
+    column, kind = {"props.k": "k"}.get(field, field), f"t_{field.replace('.', '_')}"
+    where = f" FILTER (WHERE {AMONG[other].format(among)})" if among else ""
+    if field == "no_such_field":
+        x = "NULL::DOUBLE"
+    elif measure == "missing":
+        x = f"avg((coalesce({kind}, 'null') = 'null')::INT){where}"
+    elif measure == "share":
+        x = f"avg(coalesce(CAST({column} AS VARCHAR) = '{value.lower() if field == 'vip' else value}', false)::INT){where}"
+    elif measure == "mean":
+        x = f"avg({column}){where}"
+    elif measure == "correlation":
+        x = f"corr({column}, k)"
+    elif measure == "odd":
+        x = f"count(*) FILTER (WHERE {kind} NOT IN ('null', '{value}'))"
+    else:
+        x = f"count(DISTINCT {column})"
+    return f"SELECT split, '{name}' AS name, CAST({x} AS DOUBLE) AS value FROM wide GROUP BY split"
+
+
+EVENT_WIDE = """wide AS (SELECT d.rid, d.split, max(c.num) FILTER (path = 'value') AS value, max(c.num) FILTER (path = 'props.k') AS k, max(c.cat) FILTER (path = 'type') AS type,
+    bool_or(c.bool) FILTER (path = 'vip') AS vip, max(c.dtype) FILTER (path = 'ts') AS t_ts, max(c.dtype) FILTER (path = 'value') AS t_value,
+    max(c.dtype) FILTER (path = 'type') AS t_type FROM docs d LEFT JOIN cells c USING (rid) GROUP BY d.rid, d.split)"""
+EVENT_FACTS_SQL = f"{EVENT_WIDE}, facts AS ({' UNION ALL '.join(_fact_sql(*f) for f in EVENT_FACTS)})"
+
+
+def _event_facts(spark, sf, *splits):
+    base = materialize(records(spark, sf, "event"))
+    own = materialize(flatten(base, max_depth=2))
+    wanted = SP.fact_table(spark, EVENT_FACTS)
+    return [SP.facts(own.filter(F.col("split") == s), base.filter(F.col("split") == s), wanted) for s in splits]
+
+
+@query("specified_facts", with_parts(*cells_of("event"), EVENT_FACTS_SQL) + "SELECT split, name, round(value, 6) AS value FROM facts WHERE split <> 'test'")
+def specified_facts(spark, sf):
+    """Every fact of a specification about the events, for the real and the synthetic side."""
+    train, synth = _event_facts(spark, sf, "train", "synth")
+    both = train.withColumn("split", F.lit("train")).unionByName(synth.withColumn("split", F.lit("synth")))
+    return both.select("split", "name", r6("value"))
+
+
+def _sql(x):
+    return "NULL" if x is None else repr(x) if isinstance(x, str) else str(x)
+
+
+@query(
+    "specified_audit",
+    with_parts(*cells_of("event"), EVENT_FACTS_SQL)
+    + f"""SELECT name, CASE WHEN ok THEN 'PASS' WHEN soft THEN 'WARN' ELSE 'FAIL' END AS status, round(actual, 6) AS actual, round(expected, 6) AS expected FROM (
+  SELECT *, coalesce(CASE rule WHEN 'at_most' THEN actual <= expected WHEN 'above' THEN actual > expected + tolerance ELSE abs(actual - expected) < tolerance END, false) AS ok FROM (
+    SELECT c.name, c.rule, c.soft, c.tolerance::DOUBLE AS tolerance, s.value AS actual, CASE c.rule WHEN 'same' THEN r.value WHEN 'above' THEN o.value ELSE c.number::DOUBLE END AS expected
+    FROM (VALUES {', '.join('(' + ', '.join(_sql(x) for x in c) + ')' for c in EVENT_CHECKS)}) c(name, rule, fact, against, number, tolerance, soft)
+    LEFT JOIN facts s ON s.split = 'synth' AND s.name = c.fact LEFT JOIN facts r ON r.split = 'train' AND r.name = c.fact LEFT JOIN facts o ON o.split = 'synth' AND o.name = c.against))""",
+)
+def specified_audit(spark, sf):
+    """Every check of a specification about the events, the synthetic side against the real one."""
+    train, synth = _event_facts(spark, sf, "train", "synth")
+    checks = SP.audit(synth, train, SP.check_table(spark, EVENT_CHECKS))
+    return checks.select("name", "status", r6("actual"), r6("expected"))
+
+
+@query(
+    "true_marginals",
+    with_parts(*cells_of("event"))
+    + """, truth AS (SELECT 'vip' AS path, avg((user_id % 3 = 0)::INT) AS true_p FROM events)
+SELECT replicate, path, count(*) AS n, round(avg(bool::INT), 6) AS p, round(abs(avg(bool::INT) - any_value(true_p)), 6) AS error FROM cells JOIN truth USING (path) WHERE dtype = 'bool' GROUP BY replicate, path""",
+)
+def true_marginals(spark, sf):
+    """Shares of true values per replicate of the events, against the share in the given table."""
+    truth = table(spark, sf, "events").agg(F.avg((F.col("user_id") % 3 == 0).cast("double")).alias("true_p")).withColumn("path", F.lit("vip"))
+    return N.path_marginals(cells(spark, sf, "event"), truth).select("replicate", "path", "n", r6("p"), r6("error"))
+
+
 # -- benchmark and generation -----------------------------------------------------------------
 
 SHARES = B.region_shares(42)

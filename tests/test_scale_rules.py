@@ -74,3 +74,13 @@ def test_long_integers_survive_type_separation(spark):
     assert sorted(r["json"] for r in merged.collect()) == sorted(texts)
     flat = tabularize(flatten(records_, leaf_only=True), 2)
     assert sorted(r["json"] for r in untabularize(flat, 3).collect()) == sorted(texts)
+
+
+def test_literals_by_built_ins_equal_the_parser(spark):
+    from cellwise.operators.cleaning import _literal_text
+
+    texts = ["1", "-0", "0", "007", "-12", "1.50", "True", "None", "none", "True-True", "a b", "x-y", "not x", "'a'", "'a\\n'", "'é'", "['a', 'b c']", "[1, 'x']", "[1,2]", "[]", "[01]",
+             "{'k': 1}", "(1, 2)", "it's", "5\n", "abc\n", " 5", "", "inf", "nan", "b", "u'x'", "'a' 'b'", "['a'", "\"q\"", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["j"] for r in rows.select("i", literal_to_json(F.col("t")).alias("j")).orderBy("i").collect()]
+    assert got == [_literal_text(t) for t in texts]

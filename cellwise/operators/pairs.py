@@ -195,6 +195,16 @@ def cut_points(lo, hi, bins):
     return F.when(bins > 1, inner).otherwise(F.array().cast("array<double>"))
 
 
+def edges_below(cuts, x):
+    """Number of edges under a value."""
+    return F.size(F.filter(cuts, lambda c: c < x))
+
+
+def bin_of(x, lo, hi, bins):
+    """Index of the right-closed equal-width bin; the lowest value is in bin 0."""
+    return edges_below(cut_points(lo, hi, bins), x)
+
+
 def mixed_contingency(rows: DataFrame, real="train", synth="synth", replicates=None) -> DataFrame:
     """Number-label pairs: bin the number over its co-present range, then total variation.
 
@@ -206,7 +216,7 @@ def mixed_contingency(rows: DataFrame, real="train", synth="synth", replicates=N
         edges.groupBy("a", "b").agg(F.collect_list(own).alias("own")).withColumn("cuts", F.array_sort(F.array_distinct(F.flatten("own.cuts"))))
     )
     mixed = _side_replicate(_mixed(rows), real, replicates)
-    interval = F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("interval")
+    interval = edges_below(F.col("cuts"), F.col("x")).alias("interval")
     counted = (
         mixed.join(per_pair.select("a", "b", "cuts"), ["a", "b"])
         .select("split", "replicate", "a", "b", "k", interval)

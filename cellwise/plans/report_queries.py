@@ -19,7 +19,7 @@ from cellwise.operators.generation import generate_replicates, pending_replicate
 from cellwise.plans import evaluate as EV
 from cellwise.plans.boosting_sql import FOLDS, boosted, by_class, class_predictions, fold_areas, fold_gains
 from cellwise.plans.common import both, cells, r6, records
-from cellwise.plans.oracle_parts import DOCS, TYPED, cells_of, fields_of, with_parts
+from cellwise.plans.oracle_parts import DOCS, PAIRS, TYPED, cells_of, fields_of, with_parts
 from cellwise.plans.registry import query
 from cellwise.plans.sampling_queries import FAIR
 from cellwise.session import materialize, scratch_dir, spread, table
@@ -513,6 +513,42 @@ def evaluate_all(spark, sf):
     )
 
 
+def _one_replicate(r: int) -> tuple[str, ...]:
+    """The customers without the synthetic rows of other replicates, their cells and typed cells."""
+    own = f"docs AS (SELECT * FROM every_doc WHERE split <> 'synth' OR replicate = {r})"
+    return DOCS["customer"].replace("docs AS (", "every_doc AS (", 1), own, *cells_of("customer")[1:], TYPED
+
+
+def _detection_sql(r: int) -> str:
+    return f"""SELECT {r} AS replicate, unnest(['detection', 'detection_roc_auc']) AS metric, unnest([1.0 - avg(greatest(0.5, auc) * 2.0 - 1.0), avg(auc)]) AS value FROM (
+{with_parts(*_one_replicate(r), boosted(FOLDS, D.TREES, D.DEPTH), fold_areas(D.TREES))} SELECT auc FROM areas)"""
+
+
+def _utility_sql(r: int) -> str:
+    return f"""SELECT {r}, unnest(['utility', 'utility_trtr_f1_weighted', 'utility_tstr_f1_weighted']), unnest([least(max(f1) FILTER (trained_on = 'synth') / greatest(max(f1) FILTER (trained_on = 'real'), 1e-10), 1.0),
+  max(f1) FILTER (trained_on = 'real'), max(f1) FILTER (trained_on = 'synth')]) FROM (
+{with_parts(*_one_replicate(r), boosted(by_class('segment', 5), 5, 3, 5), class_predictions(5, 5))}, judged AS (SELECT trained_on, class, prediction FROM predicted JOIN used USING (rid)),
+per_class AS (SELECT trained_on, c, count(*) FILTER (class = c) AS t, count(*) FILTER (prediction = c) AS g, count(*) FILTER (class = c AND prediction = c) AS hit FROM judged, range(5) k(c) GROUP BY trained_on, c)
+SELECT trained_on, sum(t * 2.0 * hit / nullif(t + g, 0)) / sum(t) AS f1 FROM per_class GROUP BY trained_on)"""
+
+
+STANDARD = f"""SELECT replicate, unnest(['num_train', 'num_eval', 'num_synth']) AS metric, unnest([a, b, c]::DOUBLE[]) AS value FROM (
+  WITH {DOCS['customer']} SELECT r AS replicate, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'test') AS b, count(*) FILTER (split = 'synth' AND replicate = r) AS c
+  FROM docs, (VALUES (1), (2), (3)) t(r) GROUP BY r)
+UNION ALL SELECT rep, unnest(['fidelity', 'fidelity_shapes', 'fidelity_trends']), unnest([(shapes + trends) / 2, shapes, trends]) FROM (
+{with_parts(*fields_of('customer', replicated=True), PAIRS)} SELECT rep, shapes, trends FROM (SELECT rep, sum(presence * score) / sum(presence) AS shapes FROM fields GROUP BY rep)
+  JOIN (SELECT rep, sum(presence * score) / sum(presence) AS trends FROM pairs GROUP BY rep) USING (rep))
+UNION ALL {' UNION ALL '.join(part(r) for r in (1, 2, 3) for part in (_detection_sql, _utility_sql))}"""
+
+
+@query("evaluate_standard", f"SELECT CAST(replicate AS INTEGER) AS replicate, metric, round(value, 6) AS value FROM ({STANDARD})")
+def evaluate_standard(spark, sf):
+    """Every metric of the standard mode for all replicates; utility by five rounds of trees, so that SQL can grow them too."""
+    run = lambda r: flatten(r, max_depth=1)
+    metrics = EV.evaluate_mode(records(spark, sf, "customer"), run, (1, 2, 3), mode="standard", target="segment", utility_options={"trees": 5, "depth": 3})
+    return metrics.select("replicate", "metric", r6("value"))
+
+
 @query(
     "evaluate_dcr",
     with_parts(DOCS["customer"], FAIR)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from cellwise.operators.privacy import privacy_metrics
 from cellwise.operators.utility import score_from_metrics, utility_metrics
 from cellwise.session import materialize
 
+PARALLEL_REPLICATES = 4
 MODES = {"standard": ("fidelity", "utility", "detection"), "dcr": ("privacy",)}
 
 
@@ -54,44 +56,40 @@ def evaluate(
             "replicate", "fidelity", F.col("shapes").alias("fidelity_shapes"), F.col("trends").alias("fidelity_trends")
         )
         out = out.unionByName(_long(scores))
-    for r in reps:
+    def scored(r: int) -> list[DataFrame]:
+        """Metrics of one replicate; its jobs are independent of the other replicates'."""
+        found = []
         own = base.filter((F.col("split") != "synth") | (F.col("replicate") == r))
         own_cells = cells.filter((F.col("split") != "synth") | (F.col("replicate") == r)) if cells is not None else None
         if "utility" in parts and target:
-            scored = score_from_metrics(
-                utility_metrics(own_cells, own, target, task, **(utility_options or {})), task
-            )
+            row = score_from_metrics(utility_metrics(own_cells, own, target, task, **(utility_options or {})), task)
             primary = "f1_weighted" if task == "classification" else "r2"
-            out = out.unionByName(
-                _long(
-                    scored.select(
-                        F.lit(r).alias("replicate"),
-                        "utility",
-                        F.col("trtr").alias(f"utility_trtr_{primary}"),
-                        F.col("tstr").alias(f"utility_tstr_{primary}"),
-                    )
+            found.append(
+                row.select(
+                    F.lit(r).alias("replicate"),
+                    "utility",
+                    F.col("trtr").alias(f"utility_trtr_{primary}"),
+                    F.col("tstr").alias(f"utility_tstr_{primary}"),
                 )
             )
         if "privacy" in parts:
-            scored = privacy_metrics(own, flatten, **(privacy_options or {}))
-            out = out.unionByName(
-                _long(
-                    scored.select(
-                        F.lit(r).alias("replicate"),
-                        F.col("privacy_score").alias("privacy"),
-                        F.col("dcr_score").alias("privacy_dcr_score"),
-                        *[
-                            F.col(f"exact_matches_{k}").cast("double").alias(f"privacy_exact_matches_{k}")
-                            for k in ("train", "test", "train_only")
-                        ],
-                    )
+            row = privacy_metrics(own, flatten, **(privacy_options or {}))
+            copies = [F.col(f"exact_matches_{k}").cast("double").alias(f"privacy_exact_matches_{k}") for k in ("train", "test", "train_only")]
+            found.append(
+                row.select(
+                    F.lit(r).alias("replicate"), F.col("privacy_score").alias("privacy"), F.col("dcr_score").alias("privacy_dcr_score"), *copies
                 )
             )
         if "detection" in parts:
-            scored = detection_metrics(own_cells, own, **(detection_options or {}))
-            out = out.unionByName(
-                _long(scored.select(F.lit(r).alias("replicate"), "detection", F.col("roc_auc").alias("detection_roc_auc")))
-            )
+            row = detection_metrics(own_cells, own, **(detection_options or {}))
+            found.append(row.select(F.lit(r).alias("replicate"), "detection", F.col("roc_auc").alias("detection_roc_auc")))
+        return [_long(wide) for wide in found]
+
+    # driver threads only submit jobs, so that the small ones of several replicates share the cluster
+    with ThreadPoolExecutor(max_workers=PARALLEL_REPLICATES) as pool:
+        for found in pool.map(scored, reps):
+            for part in found:
+                out = out.unionByName(part)
     return out
 
 

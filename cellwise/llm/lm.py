@@ -144,7 +144,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def reply() -> pa.RecordBatch:
         keys = [_unpack(b, "<u8", "<u4") for _, b in rows]
         every, where = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
-        totals = np.bincount(where, np.concatenate([c for _, c in keys]), len(every)).astype("<u4")
+        totals = np.bincount(where, np.concatenate([c for _, c in keys]), len(every)).astype("<u8")  # a corpus may hold a token more than 2**32 times
         out, low = [], 0
         for k, _ in keys:
             out.append(_pack(totals[where[low : low + len(k)]]))
@@ -175,7 +175,7 @@ def _traverse(batches: Iterator[pa.RecordBatch], orders: int, total: int, kinds:
             counts, numbers, held, words = opened
             answers: dict[int, list] = {}
             for r in sorted(replies.as_py(), key=lambda r: (r["order"], r["bucket"])):
-                answers.setdefault(r["order"], []).append(_unpack(r["reply"], "<u4")[0])
+                answers.setdefault(r["order"], []).append(_unpack(r["reply"], "<u8")[0])
             arcs, states = {}, {}
             for order, keys, _ in _requests(opened, orders):
                 have = np.concatenate(answers[order]).astype(np.float64)

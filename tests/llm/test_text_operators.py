@@ -7,9 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cellwise.llm import lm, quality, simhash, substrings, toxicity
+from cellwise.llm.bpe import _pack, _unpack
 from pyspark.sql import functions as F
 
 from .conftest import words
@@ -292,6 +294,17 @@ def test_language_model(docs_of, order):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
 
 
+def test_counts_beyond_four_bytes():
+    """Two chunks that hold a token three thousand million times each."""
+    keys = np.array([5, 9], "<u8")
+    blocks = [_pack(keys, np.array([3_000_000_000, n], "<u4")) for n in (0, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array([1, 1], pa.int32()), pa.array([0, 0], pa.int32()), pa.array(blocks, pa.binary())], names=["chunk", "order", "bucket", "block"])
+    out = pa.Table.from_batches(lm._add_up(iter([batch])))
+    for reply in out.column("reply").to_pylist():
+        assert _unpack(reply, "<u8")[0].tolist() == [6_000_000_000, 7]
+    assert sum(out.column("total").to_pylist()) == 6_000_000_007 and sum(out.column("kinds").to_pylist()) == 2
+
+
 def test_language_model_edges(docs_of, awkward):
     assert lm.score(docs_of([]), lm.held_out()).count() == 0
     rows = lm.score(docs_of(awkward), lm.held_out()).collect()

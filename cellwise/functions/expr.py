@@ -71,10 +71,6 @@ def json_quote(text: Column) -> Column:
     )
 
 
-def path_depth(path: Column) -> Column:
-    return F.length(path) - F.length(F.replace(path, F.lit("."), F.lit(""))) + F.lit(1)
-
-
 def last_segment(path: Column) -> Column:
     return F.substring_index(path, ".", -1)
 

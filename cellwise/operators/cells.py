@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions.expr import (
-    CONTINUOUS,
     TYPED_SUFFIXES,
     VALUE_TYPES,
     cell_dtype,
@@ -262,7 +261,3 @@ def nested_predicates(cells: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(container), F.lit(False)).alias("has_nested_cells"),
         F.coalesce(F.bool_or(F.col("path").contains(".")), F.lit(False)).alias("has_flattened_columns"),
     )
-
-
-def is_continuous(typ):
-    return typ.isin(*CONTINUOUS)

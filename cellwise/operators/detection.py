@@ -65,7 +65,7 @@ def _between(low, high, place):
     return low + (high - low) * (place - F.floor(place))
 
 
-def scaling_facts(entries: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
+def scaling_facts(entries: DataFrame, folds: DataFrame) -> DataFrame:
     """(model, name, centre, width) of every feature in the training rows of each fold's model.
 
     Absent numbers take the training mean; the width is the distance of the quartiles (with linear interpolation) of the
@@ -118,7 +118,7 @@ def logistic_folds(cells: DataFrame, records: DataFrame, n_splits: int, seed: in
     each = folded.select("rid", "label", "fold", models.alias("model"))
     training = materialize(each.where("model != fold").select("model", "rid"))
     numbers = feature_numbers(entries)
-    ready = sparse_rows(entries, numbers, materialize(scaling_facts(entries, training, folds)), each, numbers.count())
+    ready = sparse_rows(entries, numbers, materialize(scaling_facts(entries, training)), each, numbers.count())
     predictions = None
     for fold in range(folds):
         own = ready.where(F.col("model") == fold)

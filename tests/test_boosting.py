@@ -257,7 +257,7 @@ def test_a_hundred_thousand_levels(spark):
     numbers = D.feature_numbers(entries)
     assert numbers.agg(F.countDistinct("index"), F.min("index"), F.max("index")).first() == (n, 0, n - 1)
     each = records.select("rid", F.lit(0).alias("model"))
-    facts = D.scaling_facts(entries, each, 1)
+    facts = D.scaling_facts(entries, each)
     rows = D.sparse_rows(entries, numbers, facts, each, n)
     assert rows.count() == n
     vector = rows.where("rid = 77").first()["features"]

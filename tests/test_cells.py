@@ -175,3 +175,13 @@ def test_columns_are_kept_or_separated(to_records):
     assert cols(columns=["a"]) == {"a", "b", "c"} and cols(columns=["a"], force=True) == {"a.dtype", "a.num", "b", "c"}
     kept = {(r["col"], r["typ"], r["x"], r["s"]) for r in C.separate_columns(cells, 3, columns=[]).collect()}
     assert {("b", "cat", None, "x"), ("b", "num", 3.0, None), ("b", "null", None, None), ("c", "array", None, "[]")} <= kept
+
+
+def test_absent_arrays_are_joined_when_fields_are_too_many(spark, monkeypatch):
+    rows = [(1, "a", "array", "[]"), (2, "a.0", "num", "7"), (2, "b.x", "num", "1"), (3, "b.x", "num", "2"), (3, "b.l.0", "num", "1"), (4, "b.x", "num", "5")]
+    cells = spark.createDataFrame(rows, "rid bigint, path string, dtype string, json string")
+    read = lambda: {r["rid"]: json.loads(r["json"]) for r in R.unflatten(cells, ["rid"]).collect()}
+    want = {1: {"a": []}, 2: {"a": [7], "b": {"x": 1, "l": []}}, 3: {"a": [], "b": {"x": 2, "l": [1]}}, 4: {"a": [], "b": {"x": 5, "l": []}}}
+    assert read() == want
+    monkeypatch.setattr(R, "SMALL_TABLE_BYTES", -1)
+    assert read() == want

@@ -8,7 +8,8 @@ fingerprints (longer keys for more of them) and never changes the result. Inside
 tasks compare members with numpy and emit a spanning forest of the links, never all pairs; runs above
 ``RUN_LIMIT`` are dealt out as pairs of tiles. Components come from hooking and contraction over joins.
 
-``keep_one`` takes Hamming distances over 128 bits for candidates only. They meet under keys of shingle minima,
+``keep_representatives`` keeps one row of each component. ``keep_one`` does so for another notion of likeness, the similarity
+of shingle sets; it takes Hamming distances over 128 bits for candidates only. They meet under keys of shingle minima,
 because 34 of 128 bits leave no block choice that is selective. The components of the candidates bound where links
 can be; inside them the five-word shingle sets are compared, and only pairs of Jaccard 0.8 or more are linked.
 
@@ -27,8 +28,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellwise.llm.common import binaries, lowered, mix, packed_words, signed, slices, small_batches, utf8, word_spans
 from cellwise.session import materialize
@@ -105,21 +107,32 @@ def _shingle_sets(hashes: np.ndarray, index: np.ndarray) -> tuple[list[np.ndarra
     return sets, np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (64 bits as BIGINT), one row per input row."""
-    small_batches(docs.sparkSession)
+def _fingerprinted(picked: DataFrame, size: int) -> DataFrame:
+    """The columns of ``picked`` with ``fp`` (64 bits as BIGINT) in place of ``text``."""
+    small_batches(picked.sparkSession)
+    others = [c for c in picked.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 hashes, index = _shingle_hashes(*utf8(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), signed(_majority(hashes, index))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], signed(_majority(hashes, index))], names=[*others, "fp"])
+
+    return picked.mapInArrow(run, T.StructType([picked.schema[c] for c in others]).add("fp", "long"))
+
+
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp`` (64 bits as BIGINT), one row per input row."""
+    return _fingerprinted(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), size)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+
+def _marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``mark`` (a digest of the text, null for a null) and ``text``."""
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.md5(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id``, ``digest`` of the shingle set, 128 fingerprint bits (``fp``, ``more``) and ``bands``, one row per input row."""
+    """``doc_id``, ``mark`` of the text, ``digest`` of the shingle set, 128 fingerprint bits (``fp``, ``more``) and ``bands``, one row per input row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +142,16 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                 keys = np.r_[0, np.cumsum((np.diff(index) > 0) * BANDS)].astype(np.int32)
                 columns = [
                     part.column("doc_id"),
+                    part.column("mark"),
                     signed(_shingle_sets(hashes, index)[1]),
                     signed(_majority(hashes, index)),
                     signed(_majority(mix(hashes + np.uint64(SEED)), index)),
                     pa.ListArray.from_arrays(pa.array(keys), signed(_bands(hashes, index).ravel())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "more", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "digest", "fp", "more", "bands"])
 
-    schema = "doc_id bigint, digest bigint, fp bigint, more bigint, bands array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, mark string, digest bigint, fp bigint, more bigint, bands array<bigint>"
+    return _marked(docs).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -330,22 +344,57 @@ def similar(docs: DataFrame, distinct: DataFrame, size: int, distance: int) -> D
     members = distinct.select("digest", "fp", "more", F.explode("bands").alias("key"))
     groups = components(_linked(members, members, "digest", distance, RUN_LIMIT))
     inside = materialize(distinct.join(groups, F.col("digest") == F.col("node")).select("digest", "fp", "more", "low", F.col("root").alias("key")))
-    wanted = inside.select(F.col("low").alias("low_")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low_")), "left_semi")
+    wanted = inside.select(F.col("low.doc_id").alias("low_"), F.col("low.mark").alias("mark_")).distinct()
+    texts = _marked(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("low_")) & F.col("mark").eqNullSafe(F.col("mark_")), "left_semi")
     members = inside.select("digest", "fp", "more", "key").join(_sets(texts, size), "digest")
     return _linked(members, inside, "digest", distance, SET_LIMIT)
 
 
+def _lowest() -> Column:
+    """The row that stands for a group: the smallest id, null ids last, then the smallest ``mark``."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+
+
+def _staying(docs: DataFrame, rows: DataFrame, lowest: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each ``low`` of ``lowest``, unchanged; of rows that repeat its id and text, one."""
+    chosen = lowest.select(F.col("low.doc_id").alias("stay_"), F.col("low.mark").alias("mark_"))
+    times = rows.groupBy("doc_id", "mark").count()
+    chosen = chosen.join(times, F.col("stay_").eqNullSafe(F.col("doc_id")) & F.col("mark_").eqNullSafe(F.col("mark"))).select("stay_", "mark_", (F.col("count") > 1).alias("more_"))
+    chosen = materialize(chosen)
+    mark = F.md5(docs[text_col])
+
+    def matching(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted, docs[id_col].cast("bigint").eqNullSafe(wanted["stay_"]) & mark.eqNullSafe(wanted["mark_"]), "left_semi")
+
+    once, more = matching(chosen.where("not more_")), chosen.where("more_")
+    if more.isEmpty():
+        return once
+    # repeated rows meet map-side first, however many there are; the written table tells Spark how few keys they have
+    some = matching(materialize(more)).groupBy(docs[id_col], mark).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return once.union(some.select("row.*"))
+
+
+def keep_representatives(docs: DataFrame, size: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``near_duplicates``, unchanged: the one with the smallest id.
+
+    The choice is made among rows, not ids: null ids come last (a group without any other id keeps one of its rows), rows
+    with the same id and different texts are told apart, and of rows equal in id and text one stays.
+    """
+    rows = materialize(_fingerprinted(_marked(docs, id_col, text_col), size))
+    by_fp = materialize(rows.groupBy("fp").agg(_lowest().alias("low")))
+    known = by_fp.join(components(links(by_fp, distance)).withColumnRenamed("node", "fp"), "fp", "left")
+    return _staying(docs, rows, known.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low")), id_col, text_col)
+
+
 def keep_one(docs: DataFrame, size: int = 5, distance: int = 34) -> DataFrame:
-    """The rows whose id is the smallest of its near-duplicate group; repeated rows of that id count as that document.
+    """One row of each group of similar texts, chosen as ``keep_representatives`` does.
 
     Documents are linked when the Jaccard similarity of their five-word shingle sets is 0.8 or more. That is a cosine
     of 0.89: 19.4 of 128 fingerprint bits are expected to differ, with a standard deviation of 4.1, so a bound of 34
-    leaves out about one pair in 10,000 at 0.8. Rows with a null id are kept if their whole group has none.
+    leaves out about one pair in 10,000 at 0.8.
     """
     rows = materialize(signatures(docs, size))
-    distinct = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "more", "bands")]))
+    distinct = materialize(rows.groupBy("digest").agg(_lowest().alias("low"), *[F.first(c).alias(c) for c in ("fp", "more", "bands")]))
     roots = components(similar(docs, distinct, size, distance))
     known = distinct.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left")
-    stay = known.groupBy(F.coalesce("root", "digest")).agg(F.min("low").alias("stay_")).select("stay_").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_"]), "left_semi")
+    return _staying(docs, rows, known.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("low").alias("low")), "doc_id", "text")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,16 +142,12 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, verbatim: bool) -> Iter
             )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text_col: str = "text", verbatim: bool = False) -> DataFrame:
-    """The other columns of ``docs`` with ``kept_`` (the words left, joined by one space), ``n_words_`` and ``n_removed_``.
-
-    A word goes if a window over it also starts anywhere else, in the same document or another one.
-    With ``verbatim``, a text that loses no word stays as it is.
-    """
+def _without(docs: DataFrame, window: int, kmer: int, text_col: str, verbatim: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with ``kept_``, ``n_words_`` and ``n_removed_``, and the other columns of ``docs`` by name, taken from a struct beside these."""
     if window - kmer + 1 > 63:
         raise ValueError("a piece has more windows than a mask has bits; window - kmer + 1 may be 63 at most")
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (text_col, "kept_", "n_words_", "n_removed_")]
+    others = [c for c in docs.columns if c != text_col]
     rest = F.struct(F.lit(True).alias("_"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
     source = docs.select(F.monotonically_increasing_id().alias("row_"), rest.alias("rest_"), docs[text_col].alias("text"))
     stored = bucketed(source, "row_")
@@ -179,9 +175,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text
     ready = stored.join(marks, "row_", "left").select("rest_", "text", F.coalesce("marks", none).alias("marks"))
     schema = T.StructType([T.StructField("rest_", stored.schema["rest_"].dataType)]).add("kept_", "string").add("n_words_", "long").add("n_removed_", "long")
     cut = ready.mapInArrow(lambda it: _cut(it, window, verbatim), schema)
-    return cut.select(*[F.col("rest_").getField(f"c{i}").alias(c) for i, c in enumerate(others)], "kept_", "n_words_", "n_removed_")
+    return cut, {c: F.col("rest_").getField(f"c{i}").alias(c) for i, c in enumerate(others)}
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text_col: str = "text", verbatim: bool = False) -> DataFrame:
+    """The other columns of ``docs`` with ``kept_`` (the words left, joined by one space), ``n_words_`` and ``n_removed_``.
+
+    A word goes if a window over it also starts anywhere else, in the same document or another one.
+    With ``verbatim``, a text that loses no word stays as it is. Columns of ``docs`` with the names of the three
+    results are left out; ``without_repeats`` keeps them.
+    """
+    cut, others = _without(docs, window, kmer, text_col, verbatim)
+    results = ("kept_", "n_words_", "n_removed_")
+    return cut.select(*[column for name, column in others.items() if name not in results], *results)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``; ``text`` loses the words under repeated windows and stays as it is if there are none."""
-    return remove_repeats(docs, verbatim=True).withColumnRenamed("kept_", "text").select(*docs.columns)
+    """The columns of ``docs``, whatever their names; ``text`` loses the words under repeated windows and stays as it is if there are none."""
+    cut, others = _without(docs, WINDOW, KMER, "text", True)
+    return cut.select(*[F.col("kept_").alias("text") if name == "text" else others[name] for name in docs.columns])

@@ -90,7 +90,7 @@ def _windows(batches: Iterator[pa.RecordBatch], names: np.ndarray, strengths: np
                 hit = np.flatnonzero(kinds[low:high])
                 begin = max(0, min((int(hit[0]) if len(hit) else 0) - WINDOW // 4, high - low - WINDOW))
                 rows.append(kinds[low + begin : min(high, low + begin + WINDOW)].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "kinds"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("order"), pa.array(rows, pa.binary())], names=["toxic", "order", "kinds"])
 
 
 def fit_chain(kinds: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 150, rate: float = 1.0, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -187,13 +187,17 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain fitted on at most ``sample`` labelled documents, chosen by a hash of their ids."""
+    """A chain fitted on at most ``sample`` labelled documents, chosen by a hash of their ids.
+
+    Equal texts count once, as toxic if any of them is labelled so.
+    """
     small_batches(docs.sparkSession)
     known = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("label_id_")).agg(F.max("toxic").alias("label_"))
     picked = known.orderBy(F.xxhash64("label_id_"), "label_id_").limit(sample)
     # at most `sample` ids, so the broadcast is bounded
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id_") == F.col("label_id_"))
-    rows = materialize(rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label_").cast("bigint").alias("toxic")).dropDuplicates(["text"]))
+    rows = rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("label_").cast("bigint").alias("toxic"))
+    rows = materialize(rows.withColumn("order", F.xxhash64("text")))
     totals = rows.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic, n_clean = totals[0] or 0, totals[1] - (totals[0] or 0)
     nothing = np.zeros(0, np.uint64), np.zeros(0, np.int8)
@@ -205,8 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     best.sort(key=lambda r: np.int64(r["form"]).view(np.uint64))
     names = np.array([r["form"] for r in best], np.int64).view(np.uint64)
     strengths = np.array([min(CLASSES - 1, int(r["lean"]) - 1) for r in best], np.int8)
-    seen = rows.orderBy(F.desc("toxic"), F.xxhash64("text")).limit(WINDOWS // 3).union(rows.where("toxic = 0").orderBy(F.xxhash64("text")).limit(WINDOWS - WINDOWS // 3))
-    taken = seen.mapInArrow(lambda it: _windows(it, names, strengths), "toxic bigint, kinds binary").collect()
+    # texts shrink to their windows before they are put in order
+    cut = materialize(rows.mapInArrow(lambda it: _windows(it, names, strengths), "toxic bigint, order bigint, kinds binary"))
+    most = cut.orderBy(F.desc("toxic"), "order").limit(WINDOWS // 3)
+    taken = most.union(cut.where("toxic = 0").orderBy("order").limit(WINDOWS - WINDOWS // 3)).collect()
     taken = [r for r in taken if r["kinds"]]
     kinds, marks = np.zeros((len(taken), WINDOW), np.int64), np.zeros((len(taken), WINDOW), np.int64)
     lengths = np.array([len(r["kinds"]) for r in taken])

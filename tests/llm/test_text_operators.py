@@ -72,10 +72,20 @@ def test_substrings_in_many_branches(docs_of):
 
 def test_substrings_empty(docs_of):
     assert substrings.remove_repeats(docs_of([])).count() == 0
-    kept = substrings.without_repeats(docs_of([(1, "two  words"), (2, None)]).drop("kept_"))
+    kept = substrings.without_repeats(docs_of([(1, "two  words"), (2, None)]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "two  words"), (2, None)]
 
 
+def test_without_repeats_keeps_columns_of_any_name(docs_of):
+    passage = words(40, 3)
+    names = {"n_words_": F.lit(7), "n_removed_": F.lit("n"), "rest_": F.lit(0.5), "marks": F.array(F.lit(1))}
+    docs = docs_of([(1, passage + " a b"), (2, "c " + passage), (3, "d")]).withColumns(names)
+    kept = substrings.without_repeats(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: "a b", 2: "c", 3: "d"}
+    assert {(r.n_words_, r.n_removed_, r.rest_, tuple(r.marks), r.kept_) for r in kept.collect()} == {(7, "n", 0.5, (1,), 0.5)}
+
+
 # --- SimHash
 
 
@@ -147,6 +157,50 @@ def test_keep_one(docs_of):
     assert simhash.keep_one(docs_of([])).count() == 0
 
 
+def brute_groups(texts):
+    fps = [brute_fingerprint(t, 4) for t in texts]
+    root = list(range(len(fps)))
+    for _ in fps:
+        root = [min(root[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4) for i in range(len(fps))]
+    return root
+
+
+@pytest.mark.parametrize("limit", [8192, 5])
+def test_keep_representatives_against_brute_force(docs_of, awkward, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "RUN_LIMIT", limit)
+    rng, rows = random.Random(21), list(awkward)
+    for k in range(12):
+        base = words(150, 900 + k).split()
+        for i in range(6):
+            mine = list(base)
+            for spot in rng.sample(range(150), rng.randint(0, 2)):
+                mine[spot] = f"x{i}"
+            rows.append((rng.choice([None, 1000 + 10 * k + i, 5]), " ".join(mine)))
+    rng.shuffle(rows)
+    groups = collections.defaultdict(list)
+    for row, root in zip(rows, brute_groups([t for _, t in rows]), strict=True):
+        groups[root].append(row)
+    docs = docs_of(rows).withColumns({"mark": F.lit(1), "stay_": F.lit(2), "row": F.lit(3), "low": F.lit(4), "more_": F.lit(5)})
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    small = lambda r: (r[0] is None, r[0] or 0)
+    # the id is settled; of several texts with that id in one group any may stay, and the same one each time
+    assert len(got) == len(groups)
+    assert sorted(i for i, _ in got) == sorted(min(g, key=small)[0] or 0 for g in groups.values())
+    assert {t for _, t in got} <= {t or "" for g in groups.values() for t in [x[1] for x in g if x[0] == min(g, key=small)[0]]}
+    assert got == sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_representatives(docs.repartition(7)).collect())
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, simhash.keep_representatives])
+def test_null_and_repeated_ids_are_decided_by_row(docs_of, keep):
+    """Null-id copies go with their group; equal rows and copies under one id leave one row."""
+    five, six, three = (words(120, s) for s in (61, 62, 63))
+    rows = [(5, five), (5, five), (None, five), (6, six), (None, six), (None, words(120, 64)), (3, three), (5, three), (7, three)]
+    got = sorted((r.doc_id or 0, r.text) for r in keep(docs_of(rows)).collect())
+    assert got == sorted([(5, five), (6, six), (0, words(120, 64)), (3, three)])
+
+
 def pairs_near(similarity: float, many: int, seed: int) -> tuple[list, list]:
     """Rows of pairs with about this Jaccard of five-word shingles, and the exact similarity of each pair."""
     rng = random.Random(seed)
@@ -357,6 +411,17 @@ def test_toxicity_learns_and_points_at_words(spark, docs_of):
     assert kept.columns == docs.columns and kept.count() == 163
 
 
+def test_equal_texts_with_different_labels_count_once_as_toxic(spark, docs_of):
+    rows = [(i, f"{words(20, i // 2)} {'scum' if i % 4 < 2 else 'fine'}") for i in range(80)]
+    marks = [(i, 1, int(i % 4 == 0)) for i, _ in rows]  # the copy of each toxic text is labelled clean
+    scores = []
+    for order in (rows, rows[::-1]):
+        chain = toxicity.fit(docs_of(order), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+        scores.append({r.doc_id: r.score for r in toxicity.score(docs_of(rows), chain).collect()})
+    assert scores[0] == scores[1]
+    assert all((scores[0][i] >= toxicity.THRESHOLD) == (i % 4 < 2) for i in range(80))
+
+
 def test_toxicity_without_labels(spark, docs_of, awkward):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs_of(awkward), toxicity.fit(docs_of(awkward), none)).collect()} == {0.0}

@@ -11,8 +11,9 @@ used whose leave-one-out likelihood of the training texts is largest.
    are written as a table bucketed by chunk; texts are not read again.
 2. Each order asks, per chunk and bucket of hashes, for the counts of the chunk's distinct n-grams and
    brings its own training counts along. Buckets add them up over the whole corpus and reply.
-3. Replies join their chunk. The automaton restricted to the chunk's n-grams is then all that its
-   documents can reach, and each is traversed from left to right.
+3. Replies join their chunk. Its seen histories become states with failure arcs, its seen n-grams arcs:
+   the part of the automaton that its documents can reach. Each document is read from left to right; it
+   carries its state, follows failure arcs where the state has no arc for the word, and adds up log weights.
 
 N-grams are told apart by 64-bit hashes. A frequent n-gram is one entry per chunk.
 
@@ -24,6 +25,7 @@ one unknown word; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from cellwise.session import materialize
 
 ORDER = 2
 CHUNK_WORDS = 1 << 20
+LANE_WORDS = 1024  # words of a text that are read one after another
 PRIORS = (0.5, 2.0, 8.0, 32.0, 128.0, 1024.0, 1e9)  # the last one is the base alone
 END = np.uint64(0x5851F42D4C957F2D)  # an end token, unlike any word
 START = np.uint64(0x14057B7EF767814F)  # the history at the start of a text
@@ -168,47 +171,137 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield reply()
 
 
+class Automaton(NamedTuple):
+    """States are numbered from the empty history (0); arcs are sorted by ``state * words + word``, those of state 0 first."""
+
+    words: int
+    start: int  # the state before a text's first token
+    failure: np.ndarray  # per state, the longest shorter history
+    back: np.ndarray  # log weight of the failure arc, per state and prior
+    arcs: np.ndarray
+    weight: np.ndarray  # log probability, per arc and prior
+    target: np.ndarray  # per arc, the state it leads to
+
+
+def _automaton(chunk: tuple, answers: dict[int, np.ndarray], orders: int, size: float, priors: tuple[float, ...]) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """The automaton of a chunk's seen n-grams; per token the training count of its word, per text and prior the leave-one-out likelihood."""
+    counts, numbers, held, names = chunk
+    mu, width = np.array(priors), len(names)
+    own = np.repeat(held == 0, counts).astype(np.float64)  # a training token counts itself
+    first = np.cumsum(counts) - counts
+    seen = answers[1]  # per word: keys of the first order are the words in their order
+    token_counts = seen[numbers]
+    state = np.zeros(len(numbers), np.int64)  # before each token, the longest history that is a state
+    failure, back = [np.zeros(1, np.int64)], [np.zeros((1, len(mu)))]
+    arcs, prob = [np.arange(width)], [np.repeat((seen[:, None] + 0.5) / size, len(mu), 1)]
+    target: list[np.ndarray] = []
+    grams, keys, lower = names[numbers], names, numbers  # n-grams at tokens, distinct ones, and their place among these
+    kept = np.arange(width)  # n-grams of the order below that are arcs, by their place among the keys
+    likely = np.repeat((np.maximum(token_counts - own + 0.5, 0.5) / size)[None, :], len(mu), 0)
+    states = 1
+    for order in range(2, orders + 1):
+        histories, spot, where = np.unique(_histories(grams, counts, order - 1), return_index=True, return_inverse=True)
+        times = answers[1 - order]
+        known = times > 0
+        number = np.where(known, states + np.cumsum(known) - 1, 0)
+        states += int(known.sum())
+        failure.append(state[spot[known]])
+        back.append(np.log10(mu / (times[known, None] + mu)))
+        # an arc of the order below leads to the history that ends with its word
+        at = np.minimum(np.searchsorted(histories, keys[kept]), len(histories) - 1)
+        target.append(np.where(histories[at] == keys[kept], number[at], 0))
+        state = np.where(known[where], number[where], state)
+        grams = _grams(names, counts, numbers, order)
+        keys, spot, here = np.unique(grams, return_index=True, return_inverse=True)
+        seen = answers[order]
+        place = np.zeros(max(int(lower.max()) + 1, 1), np.int64)
+        place[kept] = np.arange(len(kept))
+        kept = np.flatnonzero(seen > 0)
+        spot = spot[kept]
+        below = place[lower[spot]]
+        arcs.append(state[spot] * width + numbers[spot])
+        prob.append((seen[kept, None] + mu * prob[-1][below]) / (times[where[spot], None] + mu))
+        rest, history = np.maximum(seen[here] - own, 0), np.maximum(times[where] - own, 0)
+        for k, m in enumerate(priors):
+            likely[k] = (rest + m * likely[k]) / (history + m)
+        lower = here
+        if order == orders:
+            target.append(target[-1][below])
+    if orders == 1:
+        target.append(np.zeros(width, np.int64))
+    alone = np.stack([np.add.reduceat(np.log10(row) * own, first) for row in likely], 1)
+    every = np.concatenate(arcs)
+    sort = np.argsort(every)
+    weight = np.concatenate(prob)[sort]
+    np.log10(weight, out=weight)
+    automaton = Automaton(width, int(state[0]), np.concatenate(failure), np.concatenate(back), every[sort], weight, np.concatenate(target)[sort])
+    return automaton, token_counts, alone
+
+
+def _walk(automaton: Automaton, numbers: np.ndarray, counts: np.ndarray, orders: int) -> np.ndarray:
+    """Log probability of each text, per prior: read from left to right, many texts abreast, each with its state.
+
+    A state depends on the last ``orders`` - 1 words alone, so the parts of a long text go abreast too: each first
+    reads so many words before it, from the empty history.
+    """
+    first = np.cumsum(counts) - counts
+    parts = -(-counts // LANE_WORDS)
+    text = np.repeat(np.arange(len(counts)), parts)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    lead = np.where(nth > 0, orders - 1, 0)
+    begin = first[text] + nth * LANE_WORDS - lead
+    length = np.minimum(counts[text] - nth * LANE_WORDS, LANE_WORDS) + lead
+    order = np.argsort(-length, kind="stable")
+    begin, length, lead = begin[order], length[order], lead[order]
+    state = np.where(nth[order] > 0, 0, automaton.start)
+    score = np.zeros((len(order), automaton.weight.shape[1]))
+    for step in range(int(length[0])):
+        n = int(np.searchsorted(-length, -step, "left"))  # parts with a word at this step
+        word, now = numbers[begin[:n] + step], state[:n]
+        arc = word.astype(np.int64)
+        gain = np.zeros((n, score.shape[1]))
+        open_ = np.flatnonzero(now)
+        while len(open_):
+            wanted = now[open_] * automaton.words + word[open_]
+            at = np.minimum(np.searchsorted(automaton.arcs, wanted), len(automaton.arcs) - 1)
+            found = automaton.arcs[at] == wanted
+            arc[open_[found]] = at[found]
+            open_ = open_[~found]
+            gain[open_] += automaton.back[now[open_]]  # the failure arc
+            now[open_] = automaton.failure[now[open_]]
+            open_ = open_[now[open_] > 0]
+        gain += automaton.weight[arc]
+        state[:n] = automaton.target[arc]
+        if step < orders - 1:
+            gain[lead[:n] > step] = 0
+        score[:n] += gain
+    back = np.empty_like(score)
+    back[order] = score
+    return np.add.reduceat(back, np.cumsum(parts) - parts, axis=0)
+
+
 def _traverse(batches: Iterator[pa.RecordBatch], orders: int, total: int, kinds: int, priors: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
+    size = total + 0.5 * (kinds + 1)
+    several = pa.list_(pa.float64())
     for batch in batches:
         for docs, names, replies in zip(batch.column("docs"), batch.column("names"), batch.column("replies"), strict=True):
             ids, absent, opened = _open(docs.as_py(), names.as_py())
-            counts, numbers, held, words = opened
-            answers: dict[int, list] = {}
+            counts, numbers, held, _ = opened
+            blocks: dict[int, list] = {}
             for r in sorted(replies.as_py(), key=lambda r: (r["order"], r["bucket"])):
-                answers.setdefault(r["order"], []).append(_unpack(r["reply"], "<u8")[0])
-            arcs, states = {}, {}
-            for order, keys, _ in _requests(opened, orders):
-                have = np.concatenate(answers[order]).astype(np.float64)
-                if order > 0:
-                    arcs[order] = have[np.searchsorted(keys, _grams(words, counts, numbers, order))]
-                else:
-                    before = _histories(_grams(words, counts, numbers, -order), counts, -order)
-                    states[-order] = have[np.searchsorted(keys, before)]
-            known = arcs[1] > 0
-            size = total + 0.5 * (kinds + 1)
-            base = np.log10((arcs[1] + 0.5) / size)
-            own = np.repeat(held == 0, counts).astype(np.float64)  # a training token counts itself
+                blocks.setdefault(r["order"], []).append(_unpack(r["reply"], "<u8")[0])
+            answers = {order: np.concatenate(parts).astype(np.float64) for order, parts in blocks.items()}
+            automaton, seen, alone = _automaton(opened, answers, orders, size, priors)
             first = np.cumsum(counts) - counts
-            full, alone = [], []
-            for mu in priors:
-                p = (arcs[1] + 0.5) / size
-                q = np.maximum(arcs[1] - own + 0.5, 0.5) / size
-                for order in range(2, orders + 1):
-                    h = states[order - 1]
-                    p = (arcs[order] + mu * p) / (h + mu)
-                    q = (np.maximum(arcs[order] - own, 0) + mu * q) / (np.maximum(h - own, 0) + mu)
-                full.append(np.add.reduceat(np.log10(p), first))
-                alone.append(np.add.reduceat(np.log10(q) * own, first))
-            several = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, mask=absent.astype(bool)),
                     pa.array(held.astype(bool)),
                     pa.array(counts),
-                    pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                    pa.array(np.add.reduceat(base, first)),
-                    pa.array(np.stack(full, 1).tolist(), several),
-                    pa.array(np.stack(alone, 1).tolist(), several),
+                    pa.array(np.add.reduceat((seen > 0).astype(np.int64), first)),
+                    pa.array(np.add.reduceat(np.log10((seen + 0.5) / size), first)),
+                    pa.array(_walk(automaton, numbers, counts, orders).tolist(), several),
+                    pa.array(alone.tolist(), several),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "scores", "alone"],
             )

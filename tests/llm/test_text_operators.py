@@ -348,6 +348,41 @@ def test_language_model(docs_of, order):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_walk_over_parts_of_long_texts(monkeypatch, order):
+    """A text in parts gets the score of the text as a whole, and the sum of its words' interpolated probabilities."""
+    rng = random.Random(order)
+    texts = [[rng.randrange(6) for _ in range(n)] + [6] for n in (0, 1, 5, 40, 41, 300)]
+    counts = np.array([len(t) for t in texts])
+    names = np.sort(np.array([rng.getrandbits(64) for _ in range(6)] + [2**63], np.uint64))
+    numbers = np.array([w for t in texts for w in t], np.int32)
+    held = np.array([0, 0, 1, 0, 1, 0])
+    chunk = (counts, numbers, held, names)
+    answers = {o: c.astype(float) for o, _, c in lm._requests(chunk, order)}
+    size = answers[1].sum() + 0.5 * ((answers[1] > 0).sum() + 1)
+    automaton, _, _ = lm._automaton(chunk, answers, order, size, (0.5, 8.0))
+    whole = lm._walk(automaton, numbers, counts, order)
+    monkeypatch.setattr(lm, "LANE_WORDS", 7)
+    assert np.allclose(lm._walk(automaton, numbers, counts, order), whole, rtol=1e-12)
+    seen = collections.Counter()
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            line = [-1] * (order - 1) + t
+            for k in range(order - 1, len(line)):
+                for n in range(order + 1):
+                    seen[tuple(line[k + 1 - n : k + 1])] += 1
+                    seen["h", tuple(line[k - n : k])] += n < order
+    for i, t in enumerate(texts):
+        line, want = [-1] * (order - 1) + t, np.zeros(2)
+        for k in range(order - 1, len(line)):
+            p = np.full(2, (seen[(line[k],)] + 0.5) / size)
+            for n in range(2, order + 1):
+                mu = np.array([0.5, 8.0])
+                p = (seen[tuple(line[k + 1 - n : k + 1])] + mu * p) / (seen["h", tuple(line[k + 1 - n : k])] + mu)
+            want += np.log10(p)
+        assert np.allclose(whole[i], want, rtol=1e-9)
+
+
 def test_counts_beyond_four_bytes():
     """Two chunks that hold a token three thousand million times each."""
     keys = np.array([5, 9], "<u8")

@@ -70,6 +70,42 @@ def test_substrings_in_many_branches(docs_of):
     check_substrings(docs_of, rows, window=12, kmer=4)
 
 
+def test_substrings_in_long_paths(docs_of):
+    """Long copies that enter and leave each other's paths, periodic texts and copies with changed words."""
+    rng = random.Random(8)
+    book = words(3000, 21).split()
+    rows = [(1, " ".join(book)), (2, " ".join(book)), (3, " ".join(book[700:2200])), (4, " ".join(book[:1500] + book[400:900]))]
+    for i in range(10, 16):
+        copy = book[rng.randint(0, 500) : rng.randint(900, 3000)]
+        for _ in range(6):
+            copy[rng.randrange(len(copy))] = f"changed{i}"
+        rows.append((i, " ".join(copy)))
+    period = words(90, 22).split()
+    rows += [(20, " ".join(period * 7)), (21, " ".join(period[30:] + period * 2))]
+    check_substrings(docs_of, rows)
+    check_substrings(docs_of, rows, window=20, kmer=5)
+
+
+def test_paths_compact_where_degrees_are_one(spark):
+    """A path of 300 pieces, a fork, a piece that ends a document, and a piece with a second predecessor."""
+    rows = [(i, 3, 2, i + 1, i + 1, 3) for i in range(299)] + [(299, 3, 2, None, None, 0)]
+    rows += [(400, 4, 5, 401, 402, 4), (401, 2, 1, 403, 403, 2), (402, 2, 1, 403, 403, 2), (403, 4, 7, None, None, 0)]
+    rows += [(500, 3, 2, 501, 501, 2), (501, 2, 2, 502, 502, 2), (502, 2, 9, None, None, 0)]
+    pieces = spark.createDataFrame(rows, "piece bigint, n bigint, windows tinyint, low bigint, high bigint, followed bigint")
+    got = {r.piece: r.windows for r in substrings.compact(pieces).collect()}
+    assert got == {0: 600, 400: 5, 401: 1, 402: 1, 403: 7, 500: 2, 501: 11}
+
+
+def test_spans_are_confirmed_by_their_words(spark):
+    """One path given for two equal spans and one of other words: only the blocks with equal words stay."""
+    text = words(60, 31)
+    half = " ".join(text.split()[:40]) + " " + words(20, 32)
+    texts = spark.createDataFrame([(1, text), (2, "a b " + text.replace(" ", "\n ")), (3, half), (4, words(60, 33))], "row_ bigint, text string")
+    spans = spark.createDataFrame([(row, 7, 2 if row == 2 else 0, 51) for row in (1, 2, 3, 4)], "row_ bigint, path bigint, start int, windows int")
+    got = sorted(tuple(r) for r in substrings.confirmed(texts, spans, window=10, block=20).select("row_", "start", "windows").collect())
+    assert got == [(1, 0, 20), (1, 20, 20), (1, 40, 11), (2, 2, 20), (2, 22, 20), (2, 42, 11), (3, 0, 20)]
+
+
 def test_substrings_empty(docs_of):
     assert substrings.remove_repeats(docs_of([])).count() == 0
     kept = substrings.without_repeats(docs_of([(1, "two  words"), (2, None)]))

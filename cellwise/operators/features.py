@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.functions.expr import many
 from cellwise.operators.cells import KEYS
 from cellwise.operators.stats import running_totals
 from cellwise.session import materialize
@@ -67,7 +68,7 @@ def encode_onehot(
     held = labels.groupBy(*keys).agg(F.collect_set("col").alias("held"))
     absent = (
         records.select(*keys)
-        .join(held, list(keys), "left")
+        .join(many(held), list(keys), "left")
         .select(*keys, F.explode(F.array_except(wanted, F.coalesce("held", F.array().cast("array<string>")))).alias("col"))
         .select(
             *keys,
@@ -93,7 +94,7 @@ def encode_ordinal(typed: DataFrame, records: DataFrame, columns: DataFrame, key
 def ordinal_codes(typed: DataFrame, records: DataFrame, columns: DataFrame) -> DataFrame:
     """(col, s, code) of every level, including the level that stands for absence."""
     kept = columns.filter(F.col("typ").isin("cat", "dtype"))
-    counts = (
+    counts = materialize(  # one row per level, read twice
         typed.join(kept.select("path", "typ"), ["path", "typ"])
         .groupBy(F.concat_ws(".", "path", "typ").alias("col"), "typ", "s")
         .agg(F.count(F.lit(1)).alias("m"))

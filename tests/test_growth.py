@@ -26,3 +26,10 @@ def test_onehot_does_not_broadcast_records(spark, to_records):
     out = E.encode_onehot(typed, columns, base)
     assert joins(out) == 0
     assert {r["name"] for r in out.filter("rid = 7").collect()} == {"a.cat_NaN", "a.dtype_missing", "b.dtype_num"}
+
+
+def test_targets_do_not_broadcast_records(spark, to_records):
+    base = S.materialize(to_records(**RECORDS))
+    found = L.target_values(C.flatten(base, max_depth=1), base, "b", "regression")
+    assert joins(found) == 0
+    assert {r["rid"]: r["target"] for r in found.collect()} == {**{i: float(i) for i in range(6)}, 6: None, 7: 2.0, 8: None}

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwise.functions.expr import many
 from cellwise.session import spread, table
 
 SPLIT = "CASE WHEN {id} % 5 IN (0, 1) THEN 'train' WHEN {id} % 5 = 2 THEN 'test' ELSE 'synth' END"
@@ -60,6 +61,7 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select("l_orderkey", F.array_join(F.col("lines.item"), ",").alias("items"))
     )
+    lines = many(lines)
     doc = """concat('{"customer":{"key":', o_custkey, '},"date":"', cast(cast(o_orderdate AS date) AS string),
         '","items":[', coalesce(items, ''), '],"status":"', o_orderstatus, '","total":', total, '}')"""
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr(
@@ -97,7 +99,7 @@ def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr(
         "c_custkey AS rid", "CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 3 ELSE c_custkey END AS src"
     )
-    return keys.join(customers, "src").selectExpr(
+    return keys.join(many(customers), "src").selectExpr(
         "rid", f"{SPLIT.format(id='rid')} AS split", "cast(rid % 3 + 1 AS int) AS replicate", "doc"
     )
 

@@ -33,3 +33,10 @@ def test_targets_do_not_broadcast_records(spark, to_records):
     found = L.target_values(C.flatten(base, max_depth=1), base, "b", "regression")
     assert joins(found) == 0
     assert {r["rid"]: r["target"] for r in found.collect()} == {**{i: float(i) for i in range(6)}, 6: None, 7: 2.0, 8: None}
+
+
+def test_a_scan_has_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 10, raising=False)
+    rows = S.materialize(spark.range(1000).withColumnRenamed("id", "rid"))
+    assert S.spread(rows, "rid").rdd.getNumPartitions() == 100
+    assert S.spread(rows, "rid").agg(F.sum("rid")).first()[0] == 499500

@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.operators.cells import typed_view
+from cellwise.session import materialize
 
 
 def cardinalities(cells: DataFrame) -> DataFrame:
     """Distinct values of every text, number and boolean column; values are deduplicated
     before they are counted, so no task holds the values of a whole column."""
-    values = typed_view(cells).filter(F.col("typ").isin("cat", "num", "bool")).groupBy("path", "typ", "x", "s").agg(
-        F.count(F.lit(1)).alias("m")
-    )
-    return values.groupBy("path", "typ").agg(F.count(F.lit(1)).alias("cardinality")).select(
+    return cardinalities_of(distinct_values(cells))
+
+
+def distinct_values(cells: DataFrame) -> DataFrame:
+    """(path, typ, x, s, m): every distinct value of the typed columns and its cells."""
+    return typed_view(cells).groupBy("path", "typ", "x", "s").agg(F.count(F.lit(1)).alias("m"))
+
+
+def cardinalities_of(values: DataFrame) -> DataFrame:
+    return values.filter(F.col("typ").isin("cat", "num", "bool")).groupBy("path", "typ").agg(F.count(F.lit(1)).alias("cardinality")).select(
         "path", "typ", F.concat_ws(".", "path", "typ").alias("col"), "cardinality"
     )
 
@@ -30,10 +37,12 @@ def dataset_stats(leaves: DataFrame, records: DataFrame) -> DataFrame:
         F.count_if(F.col("split") == "test").alias("n_test"),
         F.count(F.lit(1)).alias("n_total"),
     )
-    paths = leaves.groupBy("path").agg(F.count_if(F.col("dtype") != "null").alias("filled")).agg(
+    values = materialize(distinct_values(leaves))  # one pass over the cells for all that follows
+    dtypes = values.filter("typ = 'dtype'")
+    paths = dtypes.groupBy("path").agg(F.sum(F.when(F.col("s") != "null", F.col("m")).otherwise(0)).alias("filled")).agg(
         F.count(F.lit(1)).alias("n_flat_cols"), F.sum("filled").alias("filled")
     )
-    kinds = cardinalities(leaves).agg(
+    kinds = cardinalities_of(values).agg(
         *[F.count_if(F.col("typ") == t).alias(f"n_{t}") for t in ("cat", "num", "bool")],
         F.sum(F.when(F.col("typ") != "num", F.col("cardinality")).otherwise(0)).alias("total_discrete"),
     )

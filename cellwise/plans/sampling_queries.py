@@ -103,7 +103,7 @@ def _typed(spark, sf, kind="event"):
 
 
 def _columns(typed, recs):
-    return E.informative_columns(typed, recs.agg(F.count(F.lit(1))))
+    return materialize(E.informative_columns(typed, recs.agg(F.count(F.lit(1)))))
 
 
 @query("informative_columns", with_parts(*cells_of("event"), TYPED, COLS) + "SELECT col FROM cols")

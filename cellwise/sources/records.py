@@ -110,7 +110,9 @@ def flat_columns(cells: DataFrame) -> list[str]:
 def flat_table(cells: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("rid", "split")) -> DataFrame:
     """One text column per leaf path, the same for every split; needs cells with ``json``."""
     leaves = cells.filter(~F.col("dtype").isin("array", "object"))
-    text = F.when(F.col("dtype").isin("cat", "date"), F.try_variant_get(F.parse_json("json"), "$", "string")).otherwise(
+    inner = F.col("json").substr(F.lit(2), F.length("json") - F.lit(2))
+    plain = F.when(F.contains("json", F.lit("\\")), F.try_variant_get(F.parse_json("json"), "$", "string")).otherwise(inner)
+    text = F.when(F.col("dtype").isin("cat", "date"), plain).otherwise(
         F.nullif(F.col("json"), F.lit("null"))
     )
     return leaves.select(*keys, "path", text.alias("text")).groupBy(*keys).pivot("path", list(columns)).agg(F.first("text"))

@@ -40,3 +40,43 @@ def test_a_scan_has_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
     rows = S.materialize(spark.range(1000).withColumnRenamed("id", "rid"))
     assert S.spread(rows, "rid").rdd.getNumPartitions() == 100
     assert S.spread(rows, "rid").agg(F.sum("rid")).first()[0] == 499500
+
+
+def test_records_of_one_shape_are_folded_once(monkeypatch):
+    calls = []
+    fold = R.folded_record
+    monkeypatch.setattr(R, "folded_record", lambda *a: calls.append(a) or fold(*a))
+    folded = R.Folder({"": ["items"]})
+    paths = ["b.x", "a", "c\0.0"]
+    for i in range(50):
+        got = folded(paths, [str(i), f'"t{i}"', "null"], [None] * 3, [None] * 3)
+        assert json.loads(got) == {"a": f"t{i}", "b": {"x": i}, "c\0": [None], "items": []}
+    assert len(calls) == 1
+
+
+def test_folded_shapes_agree_with_single_folds():
+    empty = {"": ["l"], "o": ["m"]}
+    records = [
+        [("o", '{"z":1}', "object", None), ("o.k", "1", "num", None), ("l", "[]", "array", 0)],
+        [("o", None, "object", None), ("o.k", "1", "num", None), ("l", None, "array", 2), ("l.1", "5", "num", None)],
+        [("o", "3", "num", None), ("o.k", "1", "num", None)],
+        [("a", '"x"', None, None), ("a", '"b"', None, None)],
+        [("a", '"x"', None, None), ("a", None, None, None)],
+        [("o.k", "1", None, None)],
+        [("o.k", None, None, None)],
+    ]
+    folded = R.Folder(empty)
+    for _ in range(2):
+        for cells in records:
+            assert folded(*map(list, zip(*cells))) == R.folded_record(cells, empty)
+
+
+def test_cells_are_typed_by_their_text(spark):
+    values = ["1", "-1.5", "true", "false", "null", '"x"', '"2020-01-02"', '"{"', "[]", "{}", "[1]"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "rid int, doc string").select("rid", F.parse_json("doc").alias("v"))
+    dates = spark.sql("SELECT 20 AS rid, cast(date'2020-01-02' AS variant) AS v UNION ALL SELECT 21, cast(double('-Infinity') AS variant) UNION ALL SELECT 22, cast(double('NaN') AS variant) UNION ALL SELECT 23, cast(X'00' AS variant)")
+    got = C.type_cells(rows.unionByName(dates).selectExpr("rid", "'p' AS path", "1 AS depth", "v"), ["rid"])
+    from cellwise.functions.expr import cell_dtype
+
+    want = {r["rid"]: r["d"] for r in rows.unionByName(dates).select("rid", cell_dtype(F.col("v")).alias("d")).collect()}
+    assert {r["rid"]: r["dtype"] for r in got.collect()} == want

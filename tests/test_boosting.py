@@ -262,3 +262,34 @@ def test_a_hundred_thousand_levels(spark):
     assert rows.count() == n
     vector = rows.where("rid = 77").first()["features"]
     assert vector.size == n and len(vector.indices) == 1 and vector.values[0] == 1.0
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 24])
+def test_equal_rows_grow_the_same_trees_as_one(spark, monkeypatch, cells):
+    """A fit holds no more rows than the bins allow, and its trees and predictions are those of all records."""
+    rng = random.Random(5)
+    table = [[rng.choice([None, *range(3)]), rng.randint(0, 2)] for _ in range(3000)]
+    labels = [float((r[0] is None) + (r[1] == 1) + (rng.random() < 0.3)) for r in table]
+    member, scored = [rng.choice([1, 2]) for _ in table], [rng.choice([2, 3]) for _ in table]
+    features = B.Features(["a", "b"], [3, 3], [np.arange(1.0, 3), None], [-1, 0])
+    rows = rows_of(spark, features, table, labels, member, scored)
+    models = [B.Model(0, "softmax", [0.0, 1.0, 2.0]), B.Model(1, "softmax", [0.0, 1.0, 2.0])]
+    held, found, grow = [], [], B._fitted
+    monkeypatch.setattr(B, "_fitted", lambda state, n, *a: held.append(n) or grow(state, n, *a))
+    for most in (B.different_rows, lambda state, features, n: n):
+        monkeypatch.setattr(B, "different_rows", most)
+        fitted = B.fit(rows, features, models, 3, 2, local_cells=cells)
+        p = sorted((r["model"], r["rid"], r["label"], tuple(r["p"])) for r in fitted.predictions.collect())
+        found.append((p, sorted(map(tuple, fitted.ledger.collect()))))
+    assert held[0] <= 4 * 3 * 3 * 4 and held[1] == 3000
+    assert found[0][1] == found[1][1]
+    assert [x[:3] for x in found[0][0]] == [x[:3] for x in found[1][0]] and len(found[0][0]) == 3000 + scored.count(3)
+    assert np.allclose([x[3] for x in found[0][0]], [x[3] for x in found[1][0]], atol=1e-12)
+
+
+def test_heavy_rows_are_summed_as_whole_numbers():
+    features = B.Features(["a"], [2], [np.array([1.0])], [-1])
+    sums = B.Histograms(features, [[1]])
+    big, one = np.array([(1 << 60) + 1, 3]), np.zeros(2, np.int64)
+    sums.add(0, one, np.array([[0, 1]]), big, big)
+    assert sums.held[0, 0][0].tolist() == [0, (1 << 60) + 1, 3]

@@ -34,12 +34,13 @@ def with_folds(rows: DataFrame, real: str, synth: str, n_splits: int, seed: int)
 
 def boosted_folds(cells: DataFrame, records: DataFrame, n_splits: int, seed: int, real: str, synth: str) -> Fitted | None:
     """The models of all folds, fitted together; model f scores fold f."""
-    rows, features = feature_rows(cells, records)
-    folded, folds = with_folds(rows, real, synth, n_splits, seed)
+    # folds are dealt to ids, and the entries, which weigh far more, meet them once
+    folded, folds = with_folds(records.select("rid", "split"), real, synth, n_splits, seed)
+    rows, features = feature_rows(cells, records, onto=folded)
     if folds < 2:
         return None
     own = F.expr("shiftleft(1, cast(fold AS int))")
-    tagged = folded.select("rid", "label", (F.lit((1 << folds) - 1) - own).alias("member"), own.alias("scored"), "entries")
+    tagged = rows.select("rid", "label", (F.lit((1 << folds) - 1) - own).alias("member"), own.alias("scored"), "entries")
     return fit(tagged, features, [Model(f, "logistic", [0.0, 1.0]) for f in range(folds)], TREES, DEPTH)
 
 

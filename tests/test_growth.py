@@ -1,12 +1,17 @@
 """What grows with the table stays out of the driver, and tasks grow in number instead of size."""
 
 import json
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellwise import session as S
 from cellwise.operators import cells as C
+from cellwise.operators import detection as D
 from cellwise.operators import features as E
+from cellwise.operators import privacy as V
 from cellwise.operators import rebuild as R
 from cellwise.operators import utility as L
 
@@ -80,3 +85,13 @@ def test_cells_are_typed_by_their_text(spark):
 
     want = {r["rid"]: r["d"] for r in rows.unionByName(dates).select("rid", cell_dtype(F.col("v")).alias("d")).collect()}
     assert {r["rid"]: r["dtype"] for r in got.collect()} == want
+
+
+def test_folds_are_dealt_without_entries(spark, to_records, monkeypatch):
+    """The entries of the records meet the folds once, and are not moved to deal them."""
+    base = S.materialize(to_records(train=[{"a": i % 3, "b": i} for i in range(30)], synth=[{"a": i % 2, "b": -i} for i in range(30)]))
+    seen, deal = [], D.with_folds
+    monkeypatch.setattr(D, "with_folds", lambda rows, *a: seen.append(rows.columns) or deal(rows, *a))
+    fitted = D.boosted_folds(C.flatten(base, max_depth=1), base, 3, 42, "train", "synth")
+    assert seen == [["rid", "split"]]
+    assert fitted.predictions.count() == 60

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from cellwise.functions.expr import many
 from cellwise.operators.boosting import Fitted, Model, feature_rows, fit
 from cellwise.operators.cells import typed_view
 from cellwise.operators.features import NUMERIC, encode_features
@@ -98,10 +99,18 @@ def sparse_rows(entries: DataFrame, numbers: DataFrame, facts: DataFrame, rows:
     """``rows`` (model, rid and more) with ``features``: a sparse vector of (index, scaled value), built without Python.
 
     Values are taken from the centre. The shift of a column by a constant only moves the intercept, which is not
-    penalised, so indicators stay zero where they are absent, and a number filled with the mean is zero."""
-    scaled = entries.join(numbers, "name").join(facts, "name").select("model", "rid", "index", ((F.col("value") - F.col("centre")) / F.col("width")).alias("value"))
-    held = scaled.where("value != 0").groupBy("model", "rid").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("e"))
-    joined = rows.join(held, ["model", "rid"], "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<index:int,value:double>>")))
+    penalised, so indicators stay zero where they are absent, and a number filled with the mean is zero.
+    The entries of a record are gathered once, each with its values in all models."""
+    models = sorted(r["model"] for r in facts.select("model").distinct().collect())  # as many as folds
+    fact = lambda f, c: F.max(F.when(F.col("model") == f, F.col(c)))
+    wide = facts.groupBy("name").agg(*[fact(f, c).alias(f"{c}_{f}") for f in models for c in ("centre", "width")])
+    known = materialize(numbers.join(wide, "name"))
+    values = [((F.col("value") - F.col(f"centre_{f}")) / F.col(f"width_{f}")).alias(f"v_{f}") for f in models]
+    item = F.struct("index", *[f"v_{f}" for f in models])
+    held = entries.join(known, "name").select("rid", "index", *values).groupBy("rid").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    own = [F.when(F.col("model") == f, F.arrays_zip(F.col("all.index").alias("index"), F.col(f"all.v_{f}").alias("value"))) for f in models]
+    none = F.array().cast("array<struct<index:int,value:double>>")
+    joined = rows.join(many(held), "rid", "left").withColumn("e", F.coalesce(F.filter(F.coalesce(*own, none), lambda e: e["value"] != 0), none))
     parts = [F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("e.index").alias("indices"), F.col("e.value").alias("values")]
     laid = joined.select(*rows.columns, F.struct(*parts).alias("features"))  # the columns of a sparse vector
     schema = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in laid.schema])

@@ -95,3 +95,23 @@ def test_folds_are_dealt_without_entries(spark, to_records, monkeypatch):
     fitted = D.boosted_folds(C.flatten(base, max_depth=1), base, 3, 42, "train", "synth")
     assert seen == [["rid", "split"]]
     assert fitted.predictions.count() == 60
+
+
+def test_entries_are_gathered_once_for_all_models(spark, monkeypatch):
+    entries = spark.createDataFrame([(i, "x.num", float(i)) for i in range(8)] + [(0, "y.cat_a", 1.0)], "rid bigint, name string, value double")
+    folds = spark.createDataFrame([(i, m) for i in range(8) for m in (0, 1) if i % 2 != m], "rid bigint, model int")
+    each = spark.createDataFrame([(i, m) for i in range(9) for m in (0, 1)], "rid bigint, model int")
+    facts = S.materialize(D.scaling_facts(entries, folds))
+    plans, keep = [], D.materialize
+    monkeypatch.setattr(D, "materialize", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, *a, **k))
+    rows = D.sparse_rows(entries, D.feature_numbers(entries), facts, each, 2)
+    gathered = [line for line in plans[-1].splitlines() if "collect_list" in line]
+    assert gathered and all("Aggregate [rid" in line for line in gathered)
+    known = {(r["model"], r["name"]): r for r in facts.collect()}
+    for r in rows.collect():
+        fact = known[r["model"], "x.num"]
+        value = (r["rid"] - fact["centre"]) / fact["width"]
+        want = {0: value} if value and r["rid"] < 8 else {}
+        if r["rid"] == 0 and (r["model"], "y.cat_a") in known:
+            want[1] = 1.0 / known[r["model"], "y.cat_a"]["width"]
+        assert dict(zip(r["features"].indices.tolist(), r["features"].values.tolist())) == want

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwise.functions.expr import many
 from cellwise.operators.cells import typed_view
 from cellwise.operators.features import encode_features, scale_by_train_range
 from cellwise.operators.splitting import subsample_cap, subsample_equal
@@ -256,8 +257,14 @@ def ball_tree(refs: DataFrame, fan: int, leaf_rows: int) -> tuple[list[DataFrame
         rows = placed.select("side", (F.col("node") * fan + F.col("child")).alias("node"), "vec", "idx", "val")
 
 
-def _opened(asked: DataFrame, level: DataFrame, fan: int, nearest_only: bool) -> DataFrame:
-    """Children of the nodes that queries stand at: the nearest one, or all that may hold something closer than ``best``."""
+OPENED = "side string, node bigint, vec string, best double, bound double"
+VECTOR = "idx array<bigint>, val array<double>"
+
+
+def _opened(asked: DataFrame, level: DataFrame, fan: int, nearest_only: bool, with_vectors: bool = True) -> DataFrame:
+    """Children of the nodes that queries stand at: the nearest one, or all that may hold something closer than ``best``.
+
+    ``with_vectors`` repeats the query's vector for each of them."""
     ball = F.struct("child", "inner", "outer", "idx", "val")
     nodes = level.groupBy("side", "node").agg(F.array_sort(F.collect_list(ball)).alias("b"))
     nodes = nodes.select("side", "node", *[F.col(f"b.{c}").alias(n) for c, n in (("child", "children"), ("inner", "inners"), ("outer", "outers"), ("idx", "p_idxs"), ("val", "p_vals"))])
@@ -275,10 +282,13 @@ def _opened(asked: DataFrame, level: DataFrame, fan: int, nearest_only: bool) ->
         q, c = np.nonzero(chosen)
         node = row["node"].as_py() * fan + row["children"].values.to_numpy()[c]
         pick = pa.array(q)
-        lists = [row[x].values.take(pick) for x in ("vecs", "idxs", "vals")]
-        return pa.RecordBatch.from_arrays([pa.repeat(row["side"], len(q)), pa.array(node.astype(np.int64)), *lists, pa.array(best[q]), pa.array(bound[q, c])], names=["side", "node", "vec", "idx", "val", "best", "bound"])
+        columns = [pa.repeat(row["side"], len(q)), pa.array(node.astype(np.int64)), row["vecs"].values.take(pick), pa.array(best[q]), pa.array(bound[q, c])]
+        names = ["side", "node", "vec", "best", "bound"]
+        if with_vectors:
+            columns, names = columns + [row[x].values.take(pick) for x in ("idxs", "vals")], [*names, "idx", "val"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _each(work, open_, "side string, node bigint, vec string, idx array<bigint>, val array<double>, best double, bound double")
+    return _each(work, open_, f"{OPENED}, {VECTOR}" if with_vectors else OPENED)
 
 
 def _search(asked: DataFrame, leaves: DataFrame, leaf_rows: int) -> DataFrame:
@@ -300,7 +310,8 @@ def nearest_distances(vectors: DataFrame, synth: str = "synth", fan: int = FAN,
 
     Every query first goes down to the leaf of its nearest balls, which gives it a bound. From the root, it then opens
     the balls that may hold something closer, and visits the leaves left open in the order of their bounds, a few
-    more in each round, while the bound falls."""
+    more in each round, while the bound falls. Leaves that are only open are kept without the query's vector, which joins
+    again when a leaf is visited: far more are opened than visited."""
     refs = materialize(
         vectors.filter(F.col("split") != synth).groupBy(F.col("split").alias("side"), "vec").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
     )
@@ -320,24 +331,27 @@ def nearest_distances(vectors: DataFrame, synth: str = "synth", fan: int = FAN,
     best = materialize(_search(first, leaves, leaf_rows))
     if not levels:
         return best
-    seen = materialize(first.select("side", "vec", "node"))
+    known = best.join(first.select("side", "vec", F.col("node").alias("seen")), ["side", "vec"])  # each went down to one leaf
     bounded = start.drop("best").join(best.withColumnRenamed("distance", "best"), ["side", "vec"]).where("best > 0")
     at, open_ = materialize(bounded.select(*start.columns)), None
-    for level in levels:
+    slim = ["side", "vec", "node", "bound"]
+    for i, level in enumerate(levels):
         here = level.select("side", "node").distinct()
-        stay = at.join(here, ["side", "node"], "left_anti")
+        stay = at.join(here, ["side", "node"], "left_anti").select(*slim)
         open_ = stay if open_ is None else open_.unionByName(stay)
-        at = materialize(_opened(at, level, fan, False))
-    open_ = materialize(open_.unionByName(at).drop("best").join(seen, ["side", "vec", "node"], "left_anti"))
+        at = materialize(_opened(at, level, fan, False, with_vectors=i + 1 < len(levels)))
+    open_ = open_.unionByName(at.select(*slim))
+    asked = start.select("side", "vec", "idx", "val")
     visits = 4
     order = Window.partitionBy("side", "vec").orderBy("bound", "node")  # the open leaves of one query
     while True:
-        alive = open_.join(best, ["side", "vec"]).where(F.col("bound") < F.col("distance") * (1 + 1e-9) + 1e-9).drop("distance")
+        alive = open_.join(known, ["side", "vec"]).where((F.col("bound") < F.col("distance") * (1 + 1e-9) + 1e-9) & (F.col("node") != F.col("seen"))).select(*slim)
         ranked = materialize(alive.withColumn("r", F.row_number().over(order)))
         if ranked.isEmpty():
             return best
-        more = _search(ranked.where(F.col("r") <= visits), leaves, leaf_rows)
+        more = _search(ranked.where(F.col("r") <= visits).join(many(asked), ["side", "vec"]), leaves, leaf_rows)
         best = materialize(best.unionByName(more).groupBy("side", "vec").agg(F.min("distance").alias("distance")))
+        known = best.withColumn("seen", F.lit(0))  # the rows left have not been visited
         open_ = ranked.where(F.col("r") > visits).drop("r")
         visits *= 2
 

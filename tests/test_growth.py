@@ -115,3 +115,17 @@ def test_entries_are_gathered_once_for_all_models(spark, monkeypatch):
         if r["rid"] == 0 and (r["model"], "y.cat_a") in known:
             want[1] = 1.0 / known[r["model"], "y.cat_a"]["width"]
         assert dict(zip(r["features"].indices.tolist(), r["features"].values.tolist())) == want
+
+
+def test_open_leaves_are_kept_without_vectors(spark, monkeypatch):
+    rng = random.Random(4)
+    points = [(i, "synth" if i % 3 == 0 else ("train", "test")[i % 2], [0, 1, 2, 3], [rng.random() for _ in range(4)]) for i in range(1500)]
+    vectors = S.materialize(spark.createDataFrame(points, "rid bigint, split string, idx array<bigint>, val array<double>").withColumn("vec", F.md5(F.col("rid").cast("string").cast("binary"))))
+    ranked, keep = [], V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, *a: ranked.append(df.columns) or keep(df, *a))
+    got = {r["rid"]: (r["d_train"], r["d_test"]) for r in V.dcr_distances(vectors, fan=4, leaf_rows=16).collect()}
+    assert [c for c in ranked if "r" in c] and not [c for c in ranked if "r" in c and "idx" in c]
+    near = lambda p, side: min(math.dist(p, x) for _, s, _, x in points if s == side)
+    for rid, split, _, p in points:
+        if split == "synth":
+            assert got[rid] == pytest.approx((near(p, "train"), near(p, "test")), abs=1e-9)

@@ -148,11 +148,18 @@ def bucketed(df: DataFrame, key: str, buckets: int | None = None, spread: bool =
     return spark.table(name)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``materialize`` with a denser codec, for intermediate tables that hold texts or ids."""
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``materialize`` with a denser codec, for intermediate tables that hold texts or ids.
+
+    Parquet asks for the size of its pages and row groups once in a hundred rows at most, and keeps the least and the greatest value of
+    every row group up to the end of the file. For rows of megabytes ``rows`` bounds a row group and leaves these values out, so that
+    a task holds one row group of its file when it writes or reads it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if rows:
+        writer = writer.option("parquet.block.row.count.limit", rows).option("parquet.column.statistics.enabled", "false")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -115,7 +115,9 @@ def _shard(parts: list[pa.RecordBatch], carry: Sequence[str]) -> pa.RecordBatch:
 
 
 def suffix_shards(docs: DataFrame, carry: Sequence[str] = ("doc_id",), text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The written index: ``shard`` and the suffix array of its documents, which keep the columns ``carry``."""
+    """The written index: ``shard`` and the suffix array of its documents, which keep the columns ``carry``.
+
+    Each shard is a row group of its own: a task holds one at a time, however many its part of the documents makes."""
     small_batches(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def suffix_shards(docs: DataFrame, carry: Sequence[str] = ("doc_id",), text_col:
     columns = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
     schema = T.StructType([T.StructField("docs", T.ArrayType(columns)), *T.StructType.fromDDL("first array<int>, vocabulary binary, symbols binary, suffixes binary")])
     shards = docs.select(*kept, docs[text_col].alias("text")).mapInArrow(emit, schema)
-    return stored(shards.withColumn("shard", F.monotonically_increasing_id()))
+    return stored(shards.withColumn("shard", F.monotonically_increasing_id()), rows=1)
 
 
 class Items:

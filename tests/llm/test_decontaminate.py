@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from cellwise.llm import decontaminate
 from cellwise.llm.queries import op13_decontamination
@@ -145,3 +146,17 @@ def test_query(spark):
     digest = lambda names: hashlib.sha256(",".join(names).encode()).hexdigest()
     assert got == sorted((i, n, h, len(s), digest(s), h > 0) for i, n, h, s in brute(docs, items, 10))
     assert any(r[5] for r in got)
+
+
+def test_a_task_holds_one_shard_of_its_file(spark, docs_of):
+    """A file of many shards is written and read a shard at a time."""
+    docs = [(i, words(60, 500 + i)) for i in range(30)]
+    index = decontaminate.suffix_shards(docs_of(docs).coalesce(1), shard_bytes=1 << 10)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(files) == 1 and len(groups) > 10
+    assert set(groups) == {1}
+    chunks = [files[0].row_group(i).column(c) for i in range(len(groups)) for c in range(files[0].num_columns)]
+    assert not any(c.is_stats_set and c.statistics.has_min_max for c in chunks)
+    found = decontaminate.search(index, spark.createDataFrame([(1, docs[7][1])], "item_id bigint, text string"))
+    assert [r.doc.c0 for r in found.where("size(items) > 0").collect()] == [7]

@@ -293,3 +293,55 @@ def test_heavy_rows_are_summed_as_whole_numbers():
     big, one = np.array([(1 << 60) + 1, 3]), np.zeros(2, np.int64)
     sums.add(0, one, np.array([[0, 1]]), big, big)
     assert sums.held[0, 0][0].tolist() == [0, (1 << 60) + 1, 3]
+
+
+def grown_tree(rng, depth, sizes, levels):
+    tree = B.Tree(depth)
+    for node in range(1, 1 << depth):
+        if node == 1 or (tree.cut[node // 2] and rng.random() < 0.8):
+            f = rng.randrange(len(sizes))
+            tree.cut[node], tree.feature[node] = True, f
+            if f in levels:
+                tree.listed[node] = (np.array(rng.sample(range(-1, sizes[f]), min(5, sizes[f])), np.int32), rng.random() < 0.5)
+            else:
+                tree.below[node], tree.absent_left[node] = rng.randrange(sizes[f] + 1), rng.random() < 0.5
+    tree.value = np.array([rng.random() for _ in tree.value])
+    return tree
+
+
+@pytest.mark.parametrize("sizes", [[6, 40, 256], [6, 9000, 256]])
+def test_places_are_those_of_the_steps(sizes):
+    rng = random.Random(5)
+    bins = np.array([[rng.randrange(-1, s) for _ in range(700)] for s in sizes], np.int32)
+    for _ in range(20):
+        tree = grown_tree(rng, 5, sizes, (0, 1))
+        at = np.ones(700, np.int64)
+        for level in range(5):
+            at = tree.step(bins, at, level)
+        assert tree.places(bins).tolist() == at.tolist()
+
+
+def test_margins_move_on_once_a_round(spark, monkeypatch):
+    """A round's trees are read once, by the rows that its models train on or score, and nothing is kept after the fit."""
+    rng = random.Random(6)
+    table = [(rng.randrange(40), rng.random()) for _ in range(400)]
+    labels, member, scored = [i % 3 for i in range(400)], [i % 4 for i in range(400)], [3 * (i % 2) for i in range(400)]
+    features = B.Features(["a", "b"], [40, 30], [None, np.arange(1, 30) / 30], [0, -1])
+    models = [B.Model(0, "softmax", [0.0, 1.0, 2.0]), B.Model(1, "softmax", [0.0, 1.0, 2.0])]
+    rows = rows_of(spark, features, table, labels, member, scored)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    moved, after = [], B._after
+    monkeypatch.setattr(B, "_after", lambda *a: moved.append(a) or after(*a))
+    monkeypatch.setattr(B, "KEEP", 3)
+    passes = B.fit(rows, features, models, 5, 3, local_cells=0)
+    assert len(moved) == 5
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    whole = B.fit(rows, features, models, 5, 3)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(passes.ledger) == key(whole.ledger)
+    assert key(passes.predictions) == key(whole.predictions)
+    block = B.Block(np.zeros(400), np.array(member), np.array(scored), None, np.zeros((2, 400), np.int32), np.zeros((6, 400)))
+    seen, places = [], B.Tree.places
+    monkeypatch.setattr(B.Tree, "places", lambda tree, b: seen.append(b.shape[1]) or places(tree, b))
+    B._advanced(block, models, [grown_tree(rng, 3, [40, 30], (0,)) for _ in range(6)])
+    assert seen == [sum((m | s) >> k & 1 for m, s in zip(member, scored, strict=True)) for k in (0, 0, 0, 1, 1, 1)]
